@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricegrain.llm import simhash
-from pricegrain.llm.shared import table
+from pricegrain.llm import decontam, packing, simhash, tokenfile
+from pricegrain.llm.shared import shared_folder, table
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    listed = F.sha2(F.array_join(F.array_sort("items"), ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed.alias("items_sha256"), "contaminated")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,5 +26,16 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op8_simhash": op8_simhash}
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    tokenfile.write_tokens(table(spark, sf_dir, "documents"), path)
+    return tokenfile.token_digests(tokenfile.read_tokens(spark, path))
+
+
+QUERIES = {
+    "op2_packing": op2_packing,
+    "op6_decontamination": op6_decontamination,
+    "op8_simhash": op8_simhash,
+    "op10_token_files": op10_token_files,
+}
 ORACLE_SQL: dict[str, str] = {}
