@@ -17,17 +17,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pricegrain.llm.features import fold_table, grams
-from pricegrain.llm.shared import flat, held_out, runs
+from pricegrain.llm.shared import flat, forget, held_out, runs, written
 
-SIZES = (3, 4, 5)
-BITS = 18
+SIZES = (3, 4, 5, 6, 7, 8)
+BITS = 20
 #: Labelled documents of each class that the model is fitted on, at most: those with the least hashed ids.
 PER_CLASS = 2_500
 THRESHOLD = 0.7
 #: Scale of the summed features; epochs and step of the fit.
-SCALE, EPOCHS, STEP = 0.05, 60, 0.1
-#: N-grams in fewer training documents than this weigh nothing.
-LEAST = 4
+SCALE, EPOCHS, STEP = 0.05, 150, 0.1
+#: N-grams in fewer training documents than this weigh nothing, nor those whose shares of toxic and of
+#: clean documents differ by fewer standard errors than this.
+LEAST, DEVIATIONS = 4, 4.5
 #: Bytes of text hashed at once.
 CHUNK = 1_000_000
 _FOLD = fold_table()
@@ -39,27 +40,47 @@ class Model:
     bias: float
 
 
-def _text_features(data: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
-    """The set of features of each text."""
-    sets = [((hashes >> np.uint64(64 - BITS)).astype(np.int32), spans) for _, hashes, spans in grams(_FOLD[data], at, SIZES)]
-    last = np.zeros(1 << BITS, np.int64)
-    for k in range(len(at) - 1):
-        every = [hashes[spans[k, 0] : spans[k, 1]] for hashes, spans in sets]
-        found = np.concatenate(every) if every else np.zeros(0, np.int32)
-        order = np.arange(len(found))
-        last[found] = order
-        yield found[last[found] == order]
-
-
-def _features(column: pa.Array) -> Iterator[np.ndarray]:
+def _present(column: pa.Array, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, feature) of each used feature that is present, once for each text, sorted by text."""
     data, at = flat(column)
+    found = []
     for a, b in runs(at, CHUNK):
-        yield from _text_features(data[at[a] : at[b]], at[a : b + 1] - at[a])
+        part, offsets = _FOLD[data[at[a] : at[b]]], at[a : b + 1] - at[a]
+        keys = []
+        for n, hashes, _ in grams(part, offsets, SIZES):
+            features = (hashes >> np.uint64(64 - BITS)).astype(np.int64)
+            places = np.flatnonzero(used[features])
+            texts = np.searchsorted(offsets, places, "right") - 1
+            inside = places + n <= offsets[texts + 1]
+            keys.append(((texts[inside] + a) << BITS) | features[places[inside]])
+        if keys:
+            found.append(np.unique(np.concatenate(keys)))
+    keys = np.concatenate(found) if found else np.zeros(0, np.int64)
+    return keys >> BITS, keys & ((1 << BITS) - 1)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, toxic, clean): in how many toxic and clean texts of this partition each feature is present."""
+    toxic, clean, every = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64), np.ones(1 << BITS, bool)
+    for batch in batches:
+        text, feature = _present(batch.column("text"), every)
+        of = batch.column("toxic").to_numpy()[text] == 1
+        toxic += np.bincount(feature[of], minlength=1 << BITS)
+        clean += np.bincount(feature[~of], minlength=1 << BITS)
+    seen = np.flatnonzero(toxic + clean)
+    yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(toxic[seen]), pa.array(clean[seen])], ["feature", "toxic", "clean"])
 
 
-def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(list(_features(batch.column("text"))), pa.list_(pa.int32()))], ["toxic", "features"])
+def _chosen(broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used = broadcast.value
+        for batch in batches:
+            text, feature = _present(batch.column("text"), used)
+            cuts = np.r_[0, np.cumsum(np.bincount(text, minlength=batch.num_rows))]
+            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(feature.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), lists], ["toxic", "features"])
+
+    return rows
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
@@ -76,47 +97,54 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    """Fit on a bounded, documented sample of labelled rows; its features are made by Spark, the fit runs on the driver."""
-    rows = training_rows(docs, labels, per_class).select("toxic", "text").mapInArrow(_sample_features, "toxic int, features array<int>").toArrow()
-    y = rows.column("toxic").to_numpy().astype(np.float64)
-    if not len(y) or y.min() == y.max():
-        # One class or none: nothing to tell apart, and the share of toxic rows is every score.
-        return Model(np.zeros(1 << BITS, np.float32), 20.0 if len(y) and y[0] else -20.0)
-    lists = rows.column("features").combine_chunks()
-    at, found = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
-    lengths = np.diff(at)
-    toxic = np.repeat(y > 0, lengths)
-    size = 1 << BITS
-    with_, without = np.bincount(found[toxic], minlength=size), np.bincount(found[~toxic], minlength=size)
-    ratio = np.log((with_ + 1) / (y.sum() + 2)) - np.log((without + 1) / ((1 - y).sum() + 2))
-    ratio[with_ + without < LEAST] = 0
-    # Only n-grams that are counted; of these the fit has one weight each.
-    kept = np.flatnonzero(ratio)
-    place = np.full(size, -1, np.int32)
-    place[kept] = np.arange(len(kept), dtype=np.int32)
-    of = np.repeat(np.arange(len(y), dtype=np.int32), lengths)
-    use = place[found] >= 0
-    column, row, ratio = place[found[use]], of[use], ratio[kept]
-    weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())  # both classes count alike
-    w, bias = np.zeros(len(kept)), 0.0
-    first, second = np.zeros(len(kept)), np.zeros(len(kept))
+    """Fit on a bounded, documented sample of labelled rows.
+
+    Spark counts the features and returns those that tell the classes apart, then each document's list
+    of these; the driver gets at most 2 ** BITS counts and 2 * per_class short lists, and fits on them.
+    """
+    spark = docs.sparkSession
+    sample = written(training_rows(docs, labels, per_class).select("toxic", "text"), "toxicity")
+    sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    size, n_toxic, n_clean = 1 << BITS, sizes.get(1, 0), sizes.get(0, 0)
+    if not n_toxic or not n_clean:
+        # One class or none: nothing to tell apart, and every text scores as that class.
+        return Model(np.zeros(size, np.float32), 20.0 if n_toxic else -20.0)
+    counted = sample.mapInArrow(_count, "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    pooled = (F.col("toxic") + F.col("clean")) / (n_toxic + n_clean)
+    error = F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-9)) * (1 / n_toxic + 1 / n_clean))
+    apart = F.abs(F.col("toxic") / n_toxic - F.col("clean") / n_clean) / error
+    kept = counted.where((F.col("toxic") + F.col("clean") >= LEAST) & (apart >= DEVIATIONS)).orderBy("feature").toArrow()
+    feature, with_, without = (kept.column(c).to_numpy() for c in ("feature", "toxic", "clean"))
+    ratio = np.log((with_ + 1) / (n_toxic + 2)) - np.log((without + 1) / (n_clean + 2))
+    used = np.zeros(size, bool)
+    used[feature] = True
+    rows = sample.mapInArrow(_chosen(spark.sparkContext.broadcast(used)), "toxic int, features array<int>").toArrow()
+    forget(sample)
+    y, lists = rows.column("toxic").to_numpy().astype(np.float64), rows.column("features").combine_chunks()
+    row = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy()))
+    column = np.searchsorted(feature, lists.values.to_numpy())
+    weight = np.where(y > 0, 0.5 / n_toxic, 0.5 / n_clean)  # both classes count alike
+    w, bias = np.zeros(len(feature)), 0.0
+    first, second = np.zeros(len(feature)), np.zeros(len(feature))
     for epoch in range(1, EPOCHS + 1):
         z = np.bincount(row, (w * ratio)[column], len(y)) * SCALE + bias
         error = (1 / (1 + np.exp(-z)) - y) * weight
-        slope = np.bincount(column, (error * SCALE)[row], len(kept)) * ratio
+        slope = np.bincount(column, (error * SCALE)[row], len(feature)) * ratio
         first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope * slope
         w -= STEP * (first / (1 - 0.9**epoch)) / (np.sqrt(second / (1 - 0.99**epoch)) + 1e-8)
         bias -= 0.5 * error.sum()
     weights = np.zeros(size, np.float32)
-    weights[kept] = w * ratio * SCALE
+    weights[feature] = w * ratio * SCALE
     return Model(weights, float(bias))
 
 
 def _scorer(broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = broadcast.value
+        used = model.weights != 0
         for batch in batches:
-            z = np.fromiter((model.weights[x].sum(dtype=np.float64) for x in _features(batch.column("text"))), np.float64, batch.num_rows) + model.bias
+            text, feature = _present(batch.column("text"), used)
+            z = np.bincount(text, model.weights[feature].astype(np.float64), batch.num_rows) + model.bias
             out = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "score"])
 
