@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricegrain.llm import decontam, langid, packing, simhash, tokenfile, toxicity
+from pricegrain.llm import decontam, langid, linededup, packing, simhash, tokenfile, toxicity
 from pricegrain.llm.shared import held_out, shared_folder, table
 
 
@@ -22,6 +22,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     listed = F.sha2(F.array_join(F.array_sort("items"), ","), 256)
@@ -48,9 +53,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
+    "op3_line_dedup": op3_line_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_language": op7_language,
     "op8_simhash": op8_simhash,
     "op10_token_files": op10_token_files,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": linededup.SQL}
