@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricegrain.llm import decontam, langid, linededup, packing, simhash, substring, tokenfile, toxicity
+from pricegrain.llm import decontam, langid, linededup, packing, secrets, simhash, substring, tokenfile, toxicity
 from pricegrain.llm.shared import held_out, shared_folder, table
 
 
@@ -49,6 +49,15 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.find(docs, secrets.fit(docs))
+    base = F.filter("spans", lambda s: s["kind"] != "crf")
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(number, secrets.KINDS[:3]), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     tokenfile.write_tokens(table(spark, sf_dir, "documents"), path)
@@ -63,6 +72,7 @@ QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op7_language": op7_language,
     "op8_simhash": op8_simhash,
+    "op9_secrets": op9_secrets,
     "op10_token_files": op10_token_files,
 }
 ORACLE_SQL: dict[str, str] = {"op3_line_dedup": linededup.SQL, "op5_substring_dedup": substring.SQL}
