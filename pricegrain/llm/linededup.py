@@ -28,10 +28,18 @@ def _at(values: Column, i: Column) -> Column:
     return F.when(i < 1, F.lit(0)).otherwise(F.element_at(values, F.greatest(i, F.lit(1))))
 
 
+def _held(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once a row: a generator is what keeps Spark from copying them into each use inside a lambda."""
+    for name, column in columns.items():
+        df = df.select("*", F.inline(F.array(F.struct(column.alias(name)))))
+    return df
+
+
 def with_chunks(docs: DataFrame) -> DataFrame:
-    """docs (doc, row, text) with chunks: an array of (start, n, text), start being the first line's place from 0."""
+    """docs (doc, row, text) with lines, and chunks: an array of (start, n, text), start being the first line's place from 0."""
     count = F.size("lines")
-    roll = lambda i: (F.element_at("hashes", i) + BASE * _at(F.col("hashes"), i - 1) + BASE * BASE * _at(F.col("hashes"), i - 2)) % PRIME
+    hashes = F.col("hashes")
+    roll = lambda i: (F.element_at(hashes, i) + BASE * _at(hashes, i - 1) + BASE * BASE * _at(hashes, i - 2)) % PRIME
     ends = F.filter(F.sequence(F.lit(1), count), lambda i: (roll(i) % DIVISOR == 0) | (i == count))
     # The lines between one end and the next.
     bounds = F.arrays_zip(F.concat(F.array(F.lit(0)), F.slice("ends", 1, F.size("ends") - 1)).alias("start"), F.col("ends").alias("end"))
@@ -39,9 +47,8 @@ def with_chunks(docs: DataFrame) -> DataFrame:
         "bounds",
         lambda b: F.struct(b["start"].alias("start"), (b["end"] - b["start"]).alias("n"), F.array_join(F.slice("lines", b["start"] + 1, b["end"] - b["start"]), "\n").alias("text")),
     )
-    split = docs.withColumn("lines", F.split(F.coalesce("text", F.lit("")), "\n", -1))
-    hashed = split.withColumn("hashes", F.transform("lines", line_hash))
-    return hashed.withColumn("ends", ends).withColumn("bounds", bounds).withColumn("chunks", pieces).drop("hashes", "ends", "bounds")
+    split = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    return _held(docs, lines=split, hashes=F.transform("lines", line_hash), ends=ends, bounds=bounds, chunks=pieces).drop("hashes", "ends", "bounds")
 
 
 def _located(docs: DataFrame) -> DataFrame:
