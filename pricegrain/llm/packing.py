@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,11 @@ class Capacity:
     documents: int = 1024
     attention: int = 1024 * 1024
 
+    @property
+    def piece(self) -> int:
+        """Tokens of the longest piece that fits a bin."""
+        return min(self.tokens, isqrt(self.attention))
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -115,7 +121,7 @@ def _cut(tokenizer: str, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
 
 def cut_documents(docs: DataFrame, capacity: Capacity = Capacity(), tokenizer: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): documents as token ids, cut where longer than a bin; the first piece takes what is over."""
-    return docs.select("doc_id", "text").mapInArrow(_cut(tokenizer or default_tokenizer(), capacity.tokens), PIECES)
+    return docs.select("doc_id", "text").mapInArrow(_cut(tokenizer or default_tokenizer(), capacity.piece), PIECES)
 
 
 def _place(made: Plan) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
