@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 from functools import lru_cache
 
@@ -11,6 +12,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 END_ID = 2
 #: Pieces kept in the memo; beyond them only those of the texts at hand stay. This bounds memory only, results don't depend on it.
 MEMO_PIECES = 800_000
+#: New pieces encoded as one text.
+TOGETHER = 64
 _STOPS = ".,"
 
 
@@ -59,9 +62,9 @@ class Encoder:
                 plain.add(p)
         new = list(plain.difference(memo))
         if new:
-            text = " " + " ".join(new)
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            ends, raw = np.cumsum(self.bytes_of[ids]), text.encode()
+            texts = [" " + " ".join(new[i : i + TOGETHER]) for i in range(0, len(new), TOGETHER)]
+            ids = np.frombuffer(b"".join(self._ids(texts)), "<u4")
+            ends, raw = np.cumsum(self.bytes_of[ids]), "".join(texts).encode()
             want = np.r_[np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)[1:], len(raw)]
             cut = np.searchsorted(ends, want)
             if not np.array_equal(ends[cut], want):
@@ -72,7 +75,20 @@ class Encoder:
             memo[p] = memo[p[:-1]] + self.stops[p[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Of each text its ids, as little-endian unsigned 32-bit integers."""
+        """Of each text its ids, as little-endian unsigned 32-bit integers.
+
+        The lists of pieces hold no cycles, so Python's garbage collector, which would visit them again
+        and again, pauses meanwhile.
+        """
+        running = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if running:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         cut = [text.split(" ") for text in texts]
         firsts = [pieces.pop(0) for pieces in cut]
         seen = set().union(*cut)

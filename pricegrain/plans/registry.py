@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from pricegrain.plans import tracking
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+_PARTS = [tracking.Q]
+QUERIES = {name: query for part in _PARTS for name, query in part.queries.items()}
+ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.sql.items()}
