@@ -8,6 +8,7 @@ bin from its length and its rank among the pieces of that length; ranks are deal
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import isqrt
@@ -17,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricegrain.llm.shared import crc32_ids, partitions, written
+from pricegrain.llm.shared import partitions, written
 from pricegrain.llm.tokenfile import text_chunks
-from pricegrain.llm.tokens import END_ID, default_tokenizer, encoder
+from pricegrain.llm.tokens import default_tokenizer, encoder, ended
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -100,21 +101,21 @@ def plan(counts: dict[int, int], capacity: Capacity = Capacity(), rule: Rule = R
 
 def _cut(tokenizer: str, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             for first, texts in text_chunks(batch):
                 docs = batch.column("doc_id").slice(first, len(texts))
-                of, piece, start, length, sums = [], [], [], [], []
-                for i, raw in enumerate(encoder(tokenizer).encode(texts)):
-                    ids = np.frombuffer(raw + end, "<u4")
-                    cuts = [0, *range(len(ids) % most or most, len(ids) + 1, most)]
-                    for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                        of.append(i)
-                        piece.append(k)
-                        start.append(a)
-                        length.append(b - a)
-                        sums.append(crc32_ids(ids[a:b]))
-                yield pa.RecordBatch.from_arrays([docs.take(pa.array(of, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, sums))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                ids, counts = ended(*encoder(tokenizer).encode(texts))
+                # The first piece takes what is over; counts are at least 1.
+                number = -(-counts // most)
+                of = np.repeat(np.arange(len(counts)), number)
+                piece = np.arange(len(of)) - np.repeat(np.cumsum(number) - number, number)
+                over = (counts - (number - 1) * most)[of]
+                start = np.where(piece > 0, over + (piece - 1) * most, 0)
+                length = np.where(piece > 0, most, over)
+                at = (np.cumsum(length) - length).tolist()
+                raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
+                sums = [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(at, length.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([docs.take(pa.array(of)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(sums, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return pieces
 

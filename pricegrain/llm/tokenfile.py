@@ -14,25 +14,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pricegrain.llm.shared import crc32_ids, partitions
-from pricegrain.llm.tokens import END_ID, default_tokenizer, encoder
+from pricegrain.llm.shared import crc32_ids, flat, partitions, runs
+from pricegrain.llm.tokens import default_tokenizer, encoder, ended
 
 SCHEMA = "doc_id long, part int, local_start long, n_tokens int, ids array<int>"
 #: Bytes of text encoded at once.
-CHUNK = 2_000_000
+CHUNK = 6_000_000
 
 
-def text_chunks(batch: pa.RecordBatch, most: int = CHUNK) -> Iterator[tuple[int, list[str]]]:
-    """Place of the first row, and texts, of parts of a batch with about so many characters each. Null is empty."""
-    texts = [t or "" for t in batch.column("text").to_pylist()]
-    first = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield first, texts[first:i]
-            first, size = i, 0
-        size += len(t)
-    if first < len(texts):
-        yield first, texts[first:]
+def text_chunks(batch: pa.RecordBatch, most: int = CHUNK) -> Iterator[tuple[int, pa.Array]]:
+    """Place of the first row, and texts, of parts of a batch with about so many bytes each. Null is empty."""
+    texts = batch.column("text").fill_null("")
+    _, at = flat(texts)
+    for a, b in runs(at, most):
+        yield a, texts.slice(a, b - a)
 
 
 def _writer(tokenizer: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -40,13 +35,11 @@ def _writer(tokenizer: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
         from pyspark import TaskContext
 
         part, done = TaskContext.get().partitionId(), 0
-        end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             for first, texts in text_chunks(batch):
-                ids = [x + end for x in encoder(tokenizer).encode(texts)]
-                counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+                ids, counts = ended(*encoder(tokenizer).encode(texts))
                 offsets = np.r_[0, np.cumsum(counts)]
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.view(np.int32)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(first, len(texts)), pa.array(np.full(len(texts), part, np.int32)), pa.array(done + offsets[:-1]), pa.array(counts.astype(np.int32)), lists],
                     ["doc_id", "part", "local_start", "n_tokens", "ids"],

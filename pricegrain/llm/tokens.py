@@ -7,6 +7,8 @@ import os
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 END_ID = 2
@@ -48,36 +50,42 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: set[str]) -> None:
+    def _learn(self, pieces: list[str]) -> None:
         memo, plain, stopped = self.memo, set(), []
         together = " ".join(pieces)
         added = [t for t in self.added if t in together]
         for p in pieces:
-            if not p or p.strip() is not p or (added and any(t in p for t in added)):
+            if p.isalpha():
+                plain.add(p)
+            elif not p or p.strip() is not p or (added and any(t in p for t in added)):
                 memo[p] = None
             elif p[-1] in _STOPS and p[-2:-1].isalpha():
                 stopped.append(p)
                 plain.add(p[:-1])
             else:
                 plain.add(p)
-        new = list(plain.difference(memo))
-        if new:
-            texts = [" " + " ".join(new[i : i + TOGETHER]) for i in range(0, len(new), TOGETHER)]
-            ids = np.frombuffer(b"".join(self._ids(texts)), "<u4")
-            ends, raw = np.cumsum(self.bytes_of[ids]), "".join(texts).encode()
-            want = np.r_[np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)[1:], len(raw)]
-            cut = np.searchsorted(ends, want)
-            if not np.array_equal(ends[cut], want):
-                raise ValueError("not a byte-level tokenizer that cuts texts before spaces")
-            raw, cut = ids.tobytes(), ((cut + 1) * 4).tolist()
-            memo.update(zip(new, (raw[a:b] for a, b in zip([0, *cut], cut)), strict=True))  # noqa: B905
+        self._learn_together(list(plain.difference(memo)))
         for p in stopped:
             memo[p] = memo[p[:-1]] + self.stops[p[-1]]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Of each text its ids, as little-endian unsigned 32-bit integers.
-
-        The lists of pieces hold no cycles, so Python's garbage collector, which would visit them again
+    def _learn_together(self, new: list[str]) -> None:
+        """Remember the ids of a space and each piece, encoded so many to a text and told apart by the tokens' byte lengths."""
+        if not new:
+            return
+        texts = [" " + " ".join(new[i : i + TOGETHER]) for i in range(0, len(new), TOGETHER)]
+        ids = np.frombuffer(b"".join(self._ids(texts)), "<u4")
+        ends, raw = np.cumsum(self.bytes_of[ids]), "".join(texts).encode()
+        want = np.r_[np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)[1:], len(raw)]
+        cut = np.searchsorted(ends, want)
+        if not np.array_equal(ends[cut], want):
+            raise ValueError("not a byte-level tokenizer that cuts texts before spaces")
+        raw, cut = ids.tobytes(), ((cut + 1) * 4).tolist()
+        self.memo.update(zip(new, (raw[a:b] for a, b in zip([0, *cut], cut)), strict=True))  # noqa: B905
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each text has.
+
+        The tables of pieces hold no cycles, so Python's garbage collector, which would visit them again
         and again, pauses meanwhile.
         """
         running = gc.isenabled()
@@ -88,24 +96,47 @@ class Encoder:
             if running:
                 gc.enable()
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        cut = [text.split(" ") for text in texts]
-        firsts = [pieces.pop(0) for pieces in cut]
-        seen = set().union(*cut)
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Arrow cuts the texts and numbers the different pieces; only these are looked up one by one."""
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        cut = pc.split_pattern(texts, " ")
+        at = cut.offsets.to_numpy()
+        at, values = at[:-1] - at[0], cut.values.slice(at[0], at[-1] - at[0])
+        firsts = values.take(pa.array(at)).to_pylist()
+        coded = values.dictionary_encode()
+        # No piece has a space, so all can become one Python string that is cut again, which is the quickest way.
+        listed = pa.LargeListArray.from_arrays(pa.array([0, len(coded.dictionary)]), coded.dictionary)
+        pieces, place = pc.binary_join(listed, " ")[0].as_py().split(" "), coded.indices.to_numpy().copy()
         if len(self.memo) > MEMO_PIECES:
-            self.memo = {p: self.memo[p] for p in seen if p in self.memo}
-        new = seen.difference(self.memo)
+            self.memo = {p: self.memo[p] for p in pieces if p in self.memo}
+        memo = self.memo
+        new = [p for p in pieces if p not in memo]
         if new:
             self._learn(new)
-        look, out = self.memo.__getitem__, []
-        for text, first, head, pieces in zip(texts, firsts, self._ids(firsts), cut, strict=True):
-            try:
-                if first[-1:].isspace() or any(t in first for t in self.added):
-                    raise TypeError
-                out.append(head + b"".join(map(look, pieces)))
-            except TypeError:  # a piece that must be seen with what is around it
-                out += self._ids([text])
-        return out
+        found = list(map(memo.__getitem__, pieces))
+        whole = np.fromiter((x is None for x in found), bool, len(found))[place]
+        whole[at] = [t[-1:].isspace() or any(x in t for x in self.added) for t in firsts]
+        whole = np.logical_or.reduceat(whole, at)  # texts with a piece that must be seen with what is around it
+        heads = self._ids(firsts)
+        if whole.any():
+            rows = np.flatnonzero(whole)
+            for i, ids in zip(rows.tolist(), self._ids(texts.take(pa.array(rows)).to_pylist()), strict=True):
+                heads[i] = ids
+            place[np.repeat(whole, np.diff(np.r_[at, len(place)]))] = len(found) + len(heads)
+        place[at] = len(found) + np.arange(len(heads))
+        parts = [x or b"" for x in found] + heads + [b""]
+        store, size = np.frombuffer(b"".join(parts), "<u4"), np.fromiter(map(len, parts), np.int32, len(parts)) // 4
+        kind = np.int32 if len(store) + len(texts.buffers()[2]) < 1 << 31 else np.int64
+        start, n = (np.cumsum(size, dtype=kind) - size)[place], size[place]
+        ends = np.cumsum(n, dtype=kind)
+        ids = store[np.repeat(start - ends + n, n) + np.arange(ends[-1], dtype=kind)]
+        return ids, np.add.reduceat(n, at, dtype=np.int64)
+
+
+def ended(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same with the end id after each text."""
+    return np.insert(ids, np.cumsum(counts), np.uint32(END_ID)), counts + 1
 
 
 @lru_cache(maxsize=1)

@@ -1,6 +1,6 @@
 """The pipeline against a plain version of each stage, on whole small tables."""
 
-import numpy as np
+import pyarrow as pa
 from test_models import plain_score
 from test_text_operators import fingerprint, line_dedup, linked, passages
 
@@ -27,7 +27,7 @@ def test_pipeline_matches_plain_stages(spark):
     encoder, lengths = Encoder(default_tokenizer()), {}
     for r in got:
         lengths[r.doc_id] = lengths.get(r.doc_id, 0) + r.length
-    assert lengths == {d: len(np.frombuffer(encoder.encode([t])[0], "<u4")) + 1 for d, t in want.items()}
+    assert lengths == {d: len(encoder.encode(pa.array([t]))[0]) + 1 for d, t in want.items()}
     fill = {}
     for r in got:
         fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.length
