@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from pricegrain.llm.shared import partitions, written
 from pricegrain.llm.tokenfile import text_chunks
-from pricegrain.llm.tokens import default_tokenizer, encoder, ended
+from pricegrain.llm.tokens import default_tokenizer, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -104,7 +104,7 @@ def _cut(tokenizer: str, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
         for batch in batches:
             for first, texts in text_chunks(batch):
                 docs = batch.column("doc_id").slice(first, len(texts))
-                ids, counts = ended(*encoder(tokenizer).encode(texts))
+                ids, counts = encoder(tokenizer).encode(texts, ended=True)
                 # The first piece takes what is over; counts are at least 1.
                 number = -(-counts // most)
                 of = np.repeat(np.arange(len(counts)), number)

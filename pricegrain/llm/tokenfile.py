@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pricegrain.llm.shared import crc32_ids, flat, partitions, runs
-from pricegrain.llm.tokens import default_tokenizer, encoder, ended
+from pricegrain.llm.tokens import default_tokenizer, encoder
 
 SCHEMA = "doc_id long, part int, local_start long, n_tokens int, ids array<int>"
 #: Bytes of text encoded at once.
@@ -37,7 +37,7 @@ def _writer(tokenizer: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
         part, done = TaskContext.get().partitionId(), 0
         for batch in batches:
             for first, texts in text_chunks(batch):
-                ids, counts = ended(*encoder(tokenizer).encode(texts))
+                ids, counts = encoder(tokenizer).encode(texts, ended=True)
                 offsets = np.r_[0, np.cumsum(counts)]
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.view(np.int32)))
                 yield pa.RecordBatch.from_arrays(

@@ -17,6 +17,7 @@ MEMO_PIECES = 800_000
 #: New pieces encoded as one text.
 TOGETHER = 64
 _STOPS = ".,"
+_END = np.array([END_ID], "<u4").tobytes()
 
 
 def default_tokenizer() -> str:
@@ -46,6 +47,7 @@ class Encoder:
         self.stops = dict(zip(_STOPS, self._ids(list(_STOPS)), strict=True))
         #: Ids of a space and the piece; None if the piece must be seen with what is around it.
         self.memo: dict[str, bytes | None] = {}
+        self.firsts: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -82,8 +84,16 @@ class Encoder:
         raw, cut = ids.tobytes(), ((cut + 1) * 4).tolist()
         self.memo.update(zip(new, (raw[a:b] for a, b in zip([0, *cut], cut)), strict=True))  # noqa: B905
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, one after the other, and how many each text has.
+    def _heads(self, firsts: list[str]) -> list[bytes]:
+        """Ids of the texts' first pieces, before which no space stands."""
+        if len(self.firsts) > MEMO_PIECES // 8:
+            self.firsts = {}
+        new = list(set(firsts).difference(self.firsts))
+        self.firsts.update(zip(new, self._ids(new), strict=True))
+        return list(map(self.firsts.__getitem__, firsts))
+
+    def encode(self, texts: pa.Array, ended: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each text has; ended: with the end id after each.
 
         The tables of pieces hold no cycles, so Python's garbage collector, which would visit them again
         and again, pauses meanwhile.
@@ -91,18 +101,19 @@ class Encoder:
         running = gc.isenabled()
         gc.disable()
         try:
-            return self._encode(texts)
+            return self._encode(texts, ended)
         finally:
             if running:
                 gc.enable()
 
-    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def _encode(self, texts: pa.Array, ended: bool) -> tuple[np.ndarray, np.ndarray]:
         """Arrow cuts the texts and numbers the different pieces; only these are looked up one by one."""
         if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        cut = pc.split_pattern(texts, " ")
+        # One more piece at the end of each text holds the place of the end id.
+        cut = pc.split_pattern(pc.binary_join_element_wise(texts, "", " ") if ended else texts, " ")
         at = cut.offsets.to_numpy()
-        at, values = at[:-1] - at[0], cut.values.slice(at[0], at[-1] - at[0])
+        at, last, values = at[:-1] - at[0], at[1:] - at[0] - 1, cut.values.slice(at[0], at[-1] - at[0])
         firsts = values.take(pa.array(at)).to_pylist()
         coded = values.dictionary_encode()
         # No piece has a space, so all can become one Python string that is cut again, which is the quickest way.
@@ -116,16 +127,20 @@ class Encoder:
             self._learn(new)
         found = list(map(memo.__getitem__, pieces))
         whole = np.fromiter((x is None for x in found), bool, len(found))[place]
+        if ended:
+            whole[last] = False
         whole[at] = [t[-1:].isspace() or any(x in t for x in self.added) for t in firsts]
         whole = np.logical_or.reduceat(whole, at)  # texts with a piece that must be seen with what is around it
-        heads = self._ids(firsts)
+        heads = self._heads(firsts)
         if whole.any():
             rows = np.flatnonzero(whole)
             for i, ids in zip(rows.tolist(), self._ids(texts.take(pa.array(rows)).to_pylist()), strict=True):
                 heads[i] = ids
             place[np.repeat(whole, np.diff(np.r_[at, len(place)]))] = len(found) + len(heads)
         place[at] = len(found) + np.arange(len(heads))
-        parts = [x or b"" for x in found] + heads + [b""]
+        parts = [x or b"" for x in found] + heads + [b"", _END]
+        if ended:
+            place[last] = len(parts) - 1
         store, size = np.frombuffer(b"".join(parts), "<u4"), np.fromiter(map(len, parts), np.int32, len(parts)) // 4
         kind = np.int32 if len(store) + len(texts.buffers()[2]) < 1 << 31 else np.int64
         start, n = (np.cumsum(size, dtype=kind) - size)[place], size[place]
@@ -134,11 +149,6 @@ class Encoder:
         return ids, np.add.reduceat(n, at, dtype=np.int64)
 
 
-def ended(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The same with the end id after each text."""
-    return np.insert(ids, np.cumsum(counts), np.uint32(END_ID)), counts + 1
-
-
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
