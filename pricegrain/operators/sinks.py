@@ -56,7 +56,7 @@ def purge_expired(cache: DataFrame, now: Column) -> DataFrame:
 def cache_rows(responses: DataFrame, ttl_minutes: int, empty_ttl_minutes: int) -> DataFrame:
     """Cache entries with their expiry; empty responses are kept for a shorter time."""
     ttl = F.when(F.col("results") > 0, ttl_minutes).otherwise(empty_ttl_minutes)
-    return responses.withColumn("expires_at", F.timestamp_micros(F.unix_micros("fetched_at") + ttl.cast("long") * 60_000_000))
+    return responses.withColumn("expires_at", F.col("fetched_at") + F.make_dt_interval(mins=ttl))
 
 
 def settings_upsert(existing: DataFrame, incoming: DataFrame, known_retailers: list[str]) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pricegrain.plans import tracking
+from pricegrain.plans import search, state, text, tracking
 
-_PARTS = [tracking.Q]
+_PARTS = [tracking.Q, search.Q, state.Q, text.Q]
 QUERIES = {name: query for part in _PARTS for name, query in part.queries.items()}
 ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.sql.items()}
