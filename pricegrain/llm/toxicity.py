@@ -30,7 +30,7 @@ SCALE, EPOCHS, STEP = 0.05, 150, 0.1
 #: clean documents differ by fewer standard errors than this.
 LEAST, DEVIATIONS = 4, 4.5
 #: Bytes of text hashed at once.
-CHUNK = 1_000_000
+CHUNK = 250_000
 _FOLD = fold_table()
 
 
@@ -40,10 +40,9 @@ class Model:
     bias: float
 
 
-def _present(column: pa.Array, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, feature) of each used feature that is present, once for each text, sorted by text."""
+def _run_features(column: pa.Array, used: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text, feature) of each used feature that is present, once for each text, sorted by text; one run of texts at a time."""
     data, at = flat(column)
-    found = []
     for a, b in runs(at, CHUNK):
         part, offsets = _FOLD[data[at[a] : at[b]]], at[a : b + 1] - at[a]
         keys = []
@@ -54,19 +53,25 @@ def _present(column: pa.Array, used: np.ndarray) -> tuple[np.ndarray, np.ndarray
             inside = places + n <= offsets[texts + 1]
             keys.append(((texts[inside] + a) << BITS) | features[places[inside]])
         if keys:
-            found.append(np.unique(np.concatenate(keys)))
-    keys = np.concatenate(found) if found else np.zeros(0, np.int64)
-    return keys >> BITS, keys & ((1 << BITS) - 1)
+            found = np.unique(np.concatenate(keys))
+            yield found >> BITS, found & ((1 << BITS) - 1)
+
+
+def _present(column: pa.Array, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same of a whole batch, for few used features."""
+    found = list(_run_features(column, used)) or [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(feature, toxic, clean): in how many toxic and clean texts of this partition each feature is present."""
     toxic, clean, every = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64), np.ones(1 << BITS, bool)
     for batch in batches:
-        text, feature = _present(batch.column("text"), every)
-        of = batch.column("toxic").to_numpy()[text] == 1
-        toxic += np.bincount(feature[of], minlength=1 << BITS)
-        clean += np.bincount(feature[~of], minlength=1 << BITS)
+        label = batch.column("toxic").to_numpy() == 1
+        for text, feature in _run_features(batch.column("text"), every):
+            of = label[text]
+            toxic += np.bincount(feature[of], minlength=1 << BITS)
+            clean += np.bincount(feature[~of], minlength=1 << BITS)
     seen = np.flatnonzero(toxic + clean)
     yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(toxic[seen]), pa.array(clean[seen])], ["feature", "toxic", "clean"])
 
