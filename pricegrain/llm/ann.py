@@ -2,14 +2,16 @@
 
 Centroids come from balanced bisection of a bounded sample. A vector goes to the list of its nearest
 centroid and, near a boundary, also to those of others that are hardly farther. Centroids are searched by best-first search over a graph of their neighbours, held in
-memory; a query takes the lists whose centroids are within a ratio of the nearest one's distance.
+memory; a query takes the lists whose centroids are within a ratio of the nearest one's distance, the
+nearest of them first, and as many as a trial of some queries against all vectors shows to be needed.
 Inner products become distances by one more component, which gives all vectors the same norm.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +26,9 @@ class Settings:
     """lists: vectors to a list, about, and how many lists there are at most (this bounds what is broadcast).
 
     The sample has at most sample_factor vectors to a list. A vector has at most replicas lists, and a
-    further one only up to closure times the nearest distance; a query reads at most probes lists, and
-    only up to ratio times the nearest distance.
+    further one only up to closure times the nearest distance. A query reads lists only up to ratio times
+    the nearest distance, and of these the probes nearest ones: both are where calibrated() begins, and
+    grow until the trial queries find the share recall of their neighbours.
     """
 
     vectors_per_list: int = 100
@@ -37,6 +40,8 @@ class Settings:
     closure: float = 1.1
     probes: int = 96
     ratio: float = 1.25
+    trial: int = 256
+    recall: float = 0.95
     block: int = 512
     query_block: int = 1024
 
@@ -136,6 +141,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 STEP = 512
+WIDEST = 16
 
 
 def lists_of(index: Index, vectors: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -150,10 +156,75 @@ def probes_of(index: Index, vectors: np.ndarray, settings: Settings) -> tuple[np
     """(query, list) pairs: lists whose centroids are within the ratio of the nearest one's distance."""
     points = np.hstack([vectors, np.zeros((len(vectors), 1))]).astype(np.float32)
     ids, far = index.nearest(points, settings.probes)
-    row, place = np.nonzero(far <= settings.ratio**2 * far[:, :1])
+    row, place = np.nonzero(np.isfinite(far) & (far <= settings.ratio**2 * np.maximum(far[:, :1], np.finfo(np.float32).tiny)))
     return row, ids[row, place]
 
 
+def calibrated(index: Index, asked: np.ndarray, owner: np.ndarray, near: np.ndarray, settings: Settings) -> Settings:
+    """settings with enough probes for the queries asked: near are their true neighbours, owner says whose each is.
+
+    While too few neighbours are found, probes are doubled if they are what bounds most reads, and else
+    the ratio is widened; if no ratio is enough, all lists are read.
+    """
+    if not len(near):
+        return settings
+    row, lists = lists_of(index, near, settings)
+    stored, count = owner[row] * len(index.centroids) + lists, len(index.centroids)
+    while settings.ratio < math.inf:
+        query, read = probes_of(index, asked, settings)
+        if len(np.unique(row[np.isin(stored, query * count + read)])) >= settings.recall * len(near):
+            break
+        if settings.probes < count and 2 * len(query) > len(asked) * settings.probes:
+            settings = replace(settings, probes=2 * settings.probes)
+        elif settings.ratio < WIDEST:
+            settings = replace(settings, ratio=1.1 * settings.ratio)
+        else:
+            settings = replace(settings, probes=count, ratio=math.inf)
+    return settings
+
+
+def _nearest_of_all(broadcast, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
+    """The k nearest vectors of each trial query in one task, by comparison with all; a query is not its own neighbour."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, asked = broadcast.value
+        scores, nodes, near = np.zeros((len(names), 0)), np.zeros((len(names), 0), np.int64), np.zeros((len(names), 0, asked.shape[1]))
+        at = np.arange(len(names))[:, None]
+        for batch in batches:
+            for a in range(0, batch.num_rows, STEP):
+                part = batch.slice(a, STEP)
+                vectors, own = _matrix(part.column("embedding")), part.column("node").to_numpy()
+                new = np.where(names[:, None] == own, -np.inf, asked @ vectors.T)
+                top = np.argsort(-new, 1, kind="stable")[:, :k]
+                scores, nodes, near = np.hstack([scores, new[at, top]]), np.hstack([nodes, own[top]]), np.concatenate([near, vectors[top]], 1)
+                top = np.argsort(-scores, 1, kind="stable")[:, :k]
+                scores, nodes, near = scores[at, top], nodes[at, top], near[at, top]
+        row, place = np.nonzero(np.isfinite(scores))
+        kept = near[row, place]
+        cuts = np.arange(len(row) + 1, dtype=np.int32) * kept.shape[1]
+        vectors = pa.ListArray.from_arrays(pa.array(cuts), pa.array(kept.reshape(-1)))
+        yield pa.RecordBatch.from_arrays([pa.array(names[row]), pa.array(-scores[row, place]), pa.array(nodes[row, place]), vectors], ["query", "minus", "node", "embedding"])
+
+    return rows
+
+
+def _tried(index: Index, classes: DataFrame, once: DataFrame, k: int, settings: Settings) -> Settings:
+    """settings calibrated on a bounded sample of the queries, whose neighbours among all vectors come from comparison with each."""
+    if len(index.centroids) == 1:
+        return settings
+    trial = once.orderBy(F.xxhash64("query"), "query").limit(settings.trial).toArrow().combine_chunks()
+    names = trial.column("query").to_numpy()
+    if not len(names):
+        return settings
+    order = np.argsort(names)
+    names, asked = names[order], _matrix(trial.column("embedding").combine_chunks())[order]
+    broadcast = classes.sparkSession.sparkContext.broadcast((names, asked))
+    near = classes.select("node", "embedding").mapInArrow(_nearest_of_all(broadcast, k), "query long, minus double, node long, embedding array<double>")
+    place = F.row_number().over(Window.partitionBy("query").orderBy("minus", "node"))
+    near = near.withColumn("place", place).where(F.col("place") <= k).select("query", "embedding").toArrow()
+    return calibrated(index, asked, np.searchsorted(names, near.column("query").to_numpy()), _matrix(near.column("embedding").combine_chunks()), settings)
+
+
 def _mapper(broadcast, settings: Settings, rule: Callable) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = broadcast.value
@@ -204,6 +275,20 @@ def _best(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     return best
 
 
+def _merged(k: int) -> Callable[[pa.Table], pa.Table]:
+    """Of all that was found for one query the k best, each vec_id once."""
+
+    def merged(rows: pa.Table) -> pa.Table:
+        pairs = rows.column("found").combine_chunks().flatten()
+        minus, ids = pairs.field("minus").to_numpy(), pairs.field("vec_id").to_numpy()
+        ids, first = np.unique(ids, return_index=True)
+        minus = minus[first]
+        order = np.lexsort((ids, minus))[:k]
+        return pa.table([pa.repeat(rows.column("query")[0], len(order)), pa.array(minus[order]), pa.array(ids[order])], names=["query", "minus", "vec_id"])
+
+    return merged
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, embedding) without rows that take no part: null, zero, or with null or non-finite components.
 
@@ -245,6 +330,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, settings: Settin
     asked = written(good.select("vec_id", "embedding").join(queries.select("vec_id").distinct(), "vec_id", "left_semi").distinct(), "queries")
     named = written(asked.join(classes.select("embedding", "node"), "embedding").select(F.col("vec_id").alias("query_id"), "node"), "named")
     once = classes.select("node", "embedding").join(named.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("query"), "embedding")
+    settings = _tried(index, classes, once, k, settings)
     probes = written(once.mapInArrow(_mapper(broadcast, settings, probes_of), f"list int, query long, embedding {kind}"), "probes")
     # One row a list, at most most_lists rows.
     blocks = postings.groupBy("list").agg(F.ceil(F.count("*") / settings.block).alias("blocks"))
@@ -255,8 +341,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, settings: Settin
     right = probes.join(cuts, "list").select("list", spread("blocks").alias("block"), F.pmod(F.xxhash64("query"), F.col("asks")).alias("ask"), "query", "embedding")
     key = ["list", "block", "ask"]
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_best(keep), f"query long, found {FOUND}")
-    near = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, keep)
-    top = written(found.groupBy("query").agg(near.alias("found")).select("query", F.inline("found")), "top")
+    top = written(found.groupBy("query").applyInArrow(_merged(keep), "query long, minus double, vec_id long"), "top")
     each = named.join(top, named["node"] == top["query"]).where("vec_id <> query_id")
     ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("minus", "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", (-F.col("minus")).alias("score"))

@@ -145,3 +145,18 @@ def test_nearest_recall(spark, scale):
         scores[q] = -np.inf
         hits += len(got[q] & set(np.argpartition(-scores, 20)[:20].tolist()))
     assert hits >= 0.9 * 20 * 300
+
+
+def test_nearest_reads_more_lists_where_the_first_probes_miss_neighbours(spark):
+    points = np.random.default_rng(11).normal(size=(4000, 16)).astype(np.float32)
+    points /= np.linalg.norm(points, axis=1)[:, None]
+    frame = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<float>")
+    got = defaultdict(set)
+    for r in ann.search(frame, frame.where("vec_id % 20 = 0"), settings=ann.Settings(vectors_per_list=8, probes=4)).collect():
+        got[r.query_id].add(r.vec_id)
+    wide, hits = points.astype(np.float64), 0
+    for q in range(0, 4000, 20):
+        scores = wide @ wide[q]
+        scores[q] = -np.inf
+        hits += len(got[q] & set(np.argpartition(-scores, 20)[:20].tolist()))
+    assert hits >= 0.9 * 20 * 200
