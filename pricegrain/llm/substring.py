@@ -28,6 +28,8 @@ WINDOW = 50
 SEED = 12
 #: Bytes of text hashed at once; a longer text is hashed alone.
 CHUNK = 1_000_000
+#: Bits for the place of a seed beside its hash; longer texts are searched for seeds run by run.
+PLACE_BITS = 26
 _WORD = byte_table(BLANK)
 _BYTE, _PLACE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 BLOCKS = "seed long, block long, doc_id long, row long, first int, last int"
@@ -70,6 +72,18 @@ def _windows_hash(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     return _spans_hash(words, starts, ends, _PLACE)
 
 
+def _least(hashes: np.ndarray, span: int) -> np.ndarray:
+    """The place of the least of each span consecutive hashes, the leftmost of equal ones; at most 2 ** PLACE_BITS hashes."""
+    n, low = len(hashes), np.uint64((1 << PLACE_BITS) - 1)
+    least = (hashes & ~low) | np.arange(n, dtype=np.uint64)
+    width = 1
+    while 2 * width <= span:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    least = np.minimum(least[: n - span + 1], least[span - width : span - width + n - span + 1])
+    return (least & low).astype(np.int64)
+
+
 def _seeds(words: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows that lie in one text, the place of each one's seed, and the hashes of all seeds.
 
@@ -78,15 +92,12 @@ def _seeds(words: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray
     n = len(words) - SEED + 1
     hashes = _windows_hash(words, np.arange(n), np.arange(SEED, n + SEED))
     span = WINDOW - SEED + 1
-    least = (hashes & ~np.uint64((1 << 26) - 1)) | np.arange(n, dtype=np.uint64)
-    width = 1
-    while 2 * width <= span:
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
-    least = np.minimum(least[: n - span + 1], least[span - width : span - width + n - span + 1])
+    # Runs share span - 1 hashes, so that each window lies in one whole.
+    run = (1 << PLACE_BITS) - span + 1
+    place = np.concatenate([a + _least(hashes[a : a + run + span - 1], span) for a in range(0, n - span + 1, run)])
     text = np.searchsorted(begin, np.arange(len(words)), "right")
     inside = np.flatnonzero(text[: len(words) - WINDOW + 1] == text[WINDOW - 1 :])
-    return inside, (least[inside] & np.uint64((1 << 26) - 1)).astype(np.int64), hashes
+    return inside, place[inside], hashes
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -145,6 +145,15 @@ def test_substring_dedup_of_repetitive_texts(frame, seed):
 ITEM = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
+def test_substring_seeds_of_texts_longer_than_their_place_bits(monkeypatch):
+    monkeypatch.setattr(substring, "PLACE_BITS", 8)
+    words = np.random.default_rng(6).integers(0, 1 << 63, 1500, dtype=np.uint64)
+    window, place, hashes = substring._seeds(words, np.array([0, 900, 1500]))
+    span = substring.WINDOW - substring.SEED + 1
+    assert window.tolist() == [*range(900 - 49), *range(900, 1500 - 49)]
+    assert place.tolist() == [w + min(range(span), key=lambda i: (int(hashes[w + i]) >> 8, i)) for w in window.tolist()]
+
+
 def passages(rows, items):
     windows = defaultdict(set)
     for name, text in items:
