@@ -13,11 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricegrain.llm.features import fold_table, grams
-from pricegrain.llm.shared import flat, held_out, runs
+from pricegrain.llm.shared import flat, held_out, runs, written
 
 SIZES = (2, 3, 4)
 #: Documents of each language that the filters are fitted on, about: those with the least hashed ids.
@@ -89,19 +89,16 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Filters:
     share = F.create_map(*(F.lit(x) for lang in languages for x in (lang, min(1.0, per_language / sizes[lang]))))
     counted = known.where(F.col("draw") < share[F.col("lang")]).select("lang", "text").mapInArrow(_count, "lang string, gram long, n long")
     grouped = counted.groupBy("gram", "lang").agg(F.sum("n").alias("n"))
-    found = grouped.toArrow()
+    # Only the n-grams to keep come to the driver.
+    grouped = written(grouped, "grams")
+    rates = grouped.join(F.broadcast(grouped.groupBy("lang").agg(F.sum("n").alias("total"))), "lang").withColumn("rate", F.col("n").cast("double") / F.col("total"))
+    leading = rates.withColumn("most", F.max("rate").over(Window.partitionBy("gram"))).where(F.col("rate") >= SHARE * F.col("most"))
+    found = leading.where(F.col("n") >= LEAST).select("lang", "gram").toArrow()
+    if not found.num_rows:
+        found = leading.select("lang", "gram").toArrow()
     number = {lang: i for i, lang in enumerate(languages)}
     of = np.fromiter((number[x] for x in found.column("lang").to_pylist()), np.int64, found.num_rows)
-    gram, n = found.column("gram").to_numpy().view(np.uint64), found.column("n").to_numpy().astype(np.float64)
-    totals = np.bincount(of, n, len(languages))
-    rate = n / totals[of]
-    _, place = np.unique(gram, return_inverse=True)
-    most = np.zeros(place.max() + 1 if len(place) else 0)
-    np.maximum.at(most, place, rate)
-    keep = (rate >= SHARE * most[place]) & (n >= LEAST)
-    if not keep.any():
-        keep = rate >= SHARE * most[place]
-    of, gram = of[keep], _spread(gram[keep])
+    gram = _spread(found.column("gram").to_numpy().view(np.uint64))
     largest = int(np.bincount(of, minlength=len(languages)).max()) if len(of) else 1
     size = min(MAX_POSITIONS, 1 << int(np.ceil(np.log2(max(1024, 8 * largest)))))
     out = Filters(languages, np.zeros((-(-len(languages) // WORD_BITS), size), np.uint64), np.zeros(len(languages)))

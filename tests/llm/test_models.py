@@ -83,6 +83,20 @@ def test_language_of_odd_texts(spark, frame):
     assert nothing.lang_pred == "und"
 
 
+def test_language_brings_only_kept_grams_to_the_driver(spark, frame, monkeypatch):
+    rng = np.random.default_rng(2)
+    texts = ["the same words " * 3 + "".join(rng.choice(list("bcdfghjklm"), 60)) for _ in range(40)]
+    docs, brought = frame(list(enumerate(texts))), []
+    whole = type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda df: brought.append(whole(df)) or brought[-1])
+    filters = langid.fit(docs)
+    every = set()
+    for i, text in enumerate(texts):
+        if not held_out(i):
+            every |= {text[a : a + n] for n in langid.SIZES for a in range(len(text) - n + 1)}
+    assert filters.languages == ["en"] and 0 < sum(x.num_rows for x in brought) < len(every) / 2
+
+
 def test_filters_hold_all_their_grams_for_many_languages():
     names = [f"l{i:03}" for i in range(130)]
     filters = langid.Filters(names, np.zeros((3, 1 << 12), np.uint64), np.zeros(130))
