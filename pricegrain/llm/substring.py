@@ -3,26 +3,33 @@
 Every document is reference and parsed text at once. A seed is a hash of SEED words; of the seeds in
 each window of WINDOW words the least is the window's seed, which depends on the window's words alone.
 The consecutive windows that share a seed at one place make a block: its text is the seed with the
-words around it that those windows cover. Blocks are the phrases of the parse, and the index of all
-reference blocks is a table keyed by seed. A document is parsed from left to right: as long as the next
-block's whole text stands in a block of a smaller document, the factor goes on; where only the seed
-does, the factor ends inside the block, and the block's windows are looked up one by one. A factor thus
-found is at least one window long, and the windows in factors are the duplicates.
+words around it that those windows cover. The index of all reference blocks is a table keyed by seed,
+with the first document that has each block, and where; blocks that no smaller document has whole are
+indexed window by window. A document is then parsed greedily from left to right: a factor (reference
+document, place there, length) begins at the first word that the index knows in a smaller document, and
+goes on over blocks and windows as long as the same reference goes on with them at the same distance.
+Every factor is at least one window long. At last the words of each factor are compared with those of
+its reference, by digests of both; documents with a factor that differs are parsed again under another
+hash. The words in factors are the duplicates.
 
 Equal windows have equal seeds at equal places, so they always meet under one seed: nothing is missed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import hashlib
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pricegrain.llm.shared import BLANK, byte_table, flat, runs, word_spans, written
+from pricegrain.llm.shared import flat, forget, runs, written
 
 WINDOW = 50
 SEED = 12
@@ -30,8 +37,7 @@ SEED = 12
 CHUNK = 1_000_000
 #: Bits for the place of a seed beside its hash; longer texts are searched for seeds run by run.
 PLACE_BITS = 26
-_WORD = byte_table(BLANK)
-_BYTE, _PLACE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+_PLACE = 0xD1342543DE82EF95
 BLOCKS = "seed long, block long, doc_id long, row long, first int, last int"
 
 
@@ -62,10 +68,23 @@ def _spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
     return out ^ (out >> np.uint64(29))
 
 
-def _words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+@dataclass(frozen=True)
+class WordHash:
+    """XXH64 with a seed; only the tests keep fewer bits, so that hashes of different words are equal."""
+
+    seed: int = 0
+    bits: int = 64
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        out = np.fromiter((xxhash.xxh64_intdigest(w, self.seed) for w in words), np.uint64, len(words))
+        return out & np.uint64((1 << self.bits) - 1)
+
+
+def _words(data: np.ndarray, at: np.ndarray, salt: WordHash) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each word, and where each text's words begin (and the last one's end)."""
-    starts, ends, counts = word_spans(data, at, _WORD)
-    return _spans_hash(data.astype(np.uint64) + np.uint64(1), starts, ends, _BYTE), np.r_[0, np.cumsum(counts)]
+    raw, at = data.tobytes(), at.tolist()
+    found = [raw[a:b].split() for a, b in zip(at, at[1:], strict=False)]
+    return salt.of([w for words in found for w in words]), np.r_[0, np.cumsum([len(words) for words in found], dtype=np.int64)]
 
 
 def _windows_hash(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -100,12 +119,12 @@ def _seeds(words: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return inside, place[inside], hashes
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], salt: WordHash) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, at = flat(batch.column("text"))
         docs, row = batch.column("doc_id"), batch.column("row")
         for a, b in runs(at, CHUNK):
-            words, begin = _words(data[at[a] : at[b]], at[a : b + 1] - at[a])
+            words, begin = _words(data[at[a] : at[b]], at[a : b + 1] - at[a], salt)
             if len(words) < WINDOW:
                 continue
             window, place, hashes = _seeds(words, begin)
@@ -123,7 +142,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _open_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _open_windows(batches: Iterator[pa.RecordBatch], salt: WordHash) -> Iterator[pa.RecordBatch]:
     """(seed, window, doc_id, row, first) of each window of the listed blocks of each text."""
     for batch in batches:
         data, at = flat(batch.column("text"))
@@ -132,7 +151,7 @@ def _open_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         seeds, firsts, lasts = (rows.field(i).to_numpy() for i in range(3))
         docs, row = batch.column("doc_id"), batch.column("row")
         for a, b in runs(at, CHUNK):
-            words, begin = _words(data[at[a] : at[b]], at[a : b + 1] - at[a])
+            words, begin = _words(data[at[a] : at[b]], at[a : b + 1] - at[a], salt)
             blocks = slice(cuts[a], cuts[b])
             text = np.repeat(np.arange(a, b), np.diff(cuts[a : b + 1]))
             size = (lasts[blocks] - firsts[blocks] + 1).astype(np.int64)
@@ -148,71 +167,168 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
 
 
-def duplicate_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, first, last): ranges of windows, by first word, that also stand in a document of smaller doc_id.
+def _first_place() -> list[Column]:
+    """The first place of what a group holds: its parts come from one row, since they are chosen by the same values in the same order."""
+    return [F.min("doc_id").alias("ref_doc"), F.min_by("row", "doc_id").alias("ref_row"), F.min_by("first", "doc_id").alias("ref_first")]
+
+
+
+_FOUND = ("doc_id", "row", "first", "last", "ref_doc", "ref_row", "ref_first")
+
+
+def known_windows(docs: DataFrame, salt: WordHash) -> tuple[DataFrame, list[DataFrame]]:
+    """Rows of _FOUND: ranges of windows, by first word, that also stand in a document of smaller doc_id, from ref_first on there.
 
-    row is a hash of the document's text, so that rows which share a doc_id are kept apart. Null doc_ids
-    have no order: such rows are never reference and lose nothing. Blocks that many documents share are
-    counted by partial aggregation, and looked up by joins of two plain tables, whose skew Spark splits.
+    Also the tables that it reads, to forget when it was read. row is a hash of the document's text, so
+    that rows which share a doc_id are kept apart. Null doc_ids have no order: such rows are never
+    reference and lose nothing. Blocks that many documents share are counted by partial aggregation, and
+    looked up by joins of two plain tables, whose skew Spark splits.
     """
     texts = _keyed(docs).where("doc_id is not null and text is not null")
-    blocks = written(texts.mapInArrow(_blocks, BLOCKS), "blocks")
-    index = blocks.groupBy("seed").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min("block").alias("low"), F.max("block").alias("high"))
-    index = written(index.where("least < most").select("seed", "least", (F.col("low") == F.col("high")).alias("alike")), "index")
-    met = written(blocks.join(index, "seed").where("not alike or doc_id > least"), "met")
-    whole = met.where("alike").select("doc_id", "row", "first", "last")
-    # Seeds with several blocks: the parse goes on over blocks that a smaller document has whole, and stops inside the others.
-    several = met.where("not alike").select("seed", "block", "doc_id", "row", "first", "last")
-    least = written(several.groupBy("seed", "block").agg(F.min("doc_id").alias("least_whole")), "least")
-    parsed = written(several.join(least, ["seed", "block"]), "parsed")
-    whole = whole.union(parsed.where("doc_id > least_whole").select("doc_id", "row", "first", "last"))
-    stopped = parsed.where("doc_id = least_whole").groupBy("doc_id", "row").agg(F.collect_list(F.struct("seed", "first", "last")).alias("open"))
+    blocks = written(texts.mapInArrow(partial(_blocks, salt=salt), BLOCKS), "blocks")
+    index = blocks.groupBy("seed").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    index = written(index.where("least < most").select("seed"), "index")
+    met = written(blocks.join(index, "seed"), "met")
+    forget(blocks, index)
+    # The parse goes on over blocks that a smaller document has whole, and stops inside the others.
+    first = written(met.groupBy("seed", "block").agg(*_first_place()), "first")
+    parsed = written(met.join(first, ["seed", "block"]), "parsed")
+    forget(met, first)
+    whole = parsed.where("doc_id > ref_doc").select(*_FOUND)
+    # Windows of a first block can only be known if its seed has another block that begins in a smaller document.
+    alike = parsed.groupBy("seed").agg((F.min("block") == F.max("block")).alias("alike"))
+    stopped = parsed.where("doc_id = ref_doc").join(alike.where("not alike"), "seed").groupBy("doc_id", "row").agg(F.collect_list(F.struct("seed", "first", "last")).alias("open"))
     ends = texts.join(stopped.hint("shuffle_hash"), ["doc_id", "row"]).select("doc_id", "row", "text", "open")
-    windows = written(ends.mapInArrow(_open_windows, "seed long, window long, doc_id long, row long, first int"), "windows")
-    earliest = written(windows.groupBy("seed", "window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("seed", "window", "least"), "earliest")
-    single = windows.join(earliest, ["seed", "window"]).where("doc_id > least").select("doc_id", "row", "first", F.col("first").alias("last"))
-    return whole.union(single)
+    windows = written(ends.mapInArrow(partial(_open_windows, salt=salt), "seed long, window long, doc_id long, row long, first int"), "windows")
+    earliest = windows.groupBy("seed", "window").agg(*_first_place(), F.max("doc_id").alias("most")).where("ref_doc < most").drop("most")
+    earliest = written(earliest, "earliest")
+    single = windows.join(earliest, ["seed", "window"]).where("doc_id > ref_doc").withColumn("last", F.col("first")).select(*_FOUND)
+    return whole.union(single), [parsed, windows, earliest]
+
+
+def factors(known: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """Greedy factors (start, length, reference doc, its row, start there), in words, of one text, from left to right.
+
+    known are ranges of windows (first, last, reference doc, its row, first there). A factor goes on while
+    a further range of the same reference lies at the same distance and leaves no window between.
+    """
+    out: list[list[int]] = []  # first and last window, reference, distance
+    for first, last, doc, row, there in sorted(known):
+        now = out[-1] if out else None
+        if now and (now[2], now[3], now[4]) == (doc, row, there - first) and first <= now[1] + 1:
+            now[1] = max(now[1], last)
+        else:
+            out.append([first, last, doc, row, there - first])
+    return [(a, b - a + WINDOW, doc, row, a + shift) for a, b, doc, row, shift in out]
+
+
+def words_digest(words: list[bytes], start: int, length: int) -> bytes:
+    """128 bits of the sha256 of a run of words. No word holds a blank, so that joined words tell them apart."""
+    return hashlib.sha256(b" ".join(words[start : start + length])).digest()[:16]
+
+
+FACTORS = "array<struct<start:int,length:int,ref_doc:long,ref_row:long,ref_start:int,digest:binary>>"
+_FACTOR = pa.struct([("start", pa.int32()), ("length", pa.int32()), ("ref_doc", pa.int64()), ("ref_row", pa.int64()), ("ref_start", pa.int32()), ("digest", pa.binary())])
 
 
 def _parser(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Join each document's duplicate windows to spans of words, and take the words in them out."""
+    """Parse each document into factors and plain words, and take the words in factors out."""
     for batch in batches:
         data, at = flat(batch.column("text"))
-        found = batch.column("found").to_pylist()
-        kept, counts, gone, spans = [], [], [], []
+        found = batch.column("found")
+        cuts, pairs = found.offsets.to_numpy(), found.values
+        columns = [pairs.field(i).to_numpy() for i in range(5)]
+        kept, counts, gone, spans, parsed = [], [], [], [], []
         for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
-            raw = data[a:b].tobytes()
-            words = raw.split()
-            step = np.zeros(len(words) + 1, np.int64)
-            for x in found[i] or ():
-                step[x["first"]] += 1
-                step[x["last"] + WINDOW] -= 1
-            covered = np.cumsum(step[:-1]) > 0
+            words = data[a:b].tobytes().split()
+            known = [c[cuts[i] : cuts[i + 1]].tolist() for c in columns] if found[i].is_valid else []
+            own = factors(list(zip(*known, strict=True)))
+            covered = np.zeros(len(words), bool)
+            for start, length, *_ in own:
+                covered[start : start + length] = True
             edges = np.flatnonzero(np.diff(np.r_[False, covered, False].astype(np.int8)))
             spans.append([{"start": int(s), "end": int(e)} for s, e in zip(edges[::2], edges[1::2], strict=True)])
+            parsed.append([(*f, words_digest(words, f[0], f[1])) for f in own])
             counts.append(len(words))
             gone.append(int(covered.sum()))
             kept.append(b" ".join([w for w, c in zip(words, covered.tolist(), strict=True) if not c] if gone[-1] else words).decode())
         rest = [batch.column(i) for i, name in enumerate(batch.schema.names) if name not in ("text", "found")]
-        yield pa.RecordBatch.from_arrays([*rest, pa.array(kept, pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["rest", "kept_text", "n_words", "n_removed", "spans"])
+        lists = pa.array([[dict(zip(_FACTOR.names, f, strict=True)) for f in own] for own in parsed], pa.list_(_FACTOR))
+        yield pa.RecordBatch.from_arrays([*rest, pa.array(kept, pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), lists], ["rest", "doc_id", "row", "kept_text", "n_words", "n_removed", "spans", "factors"])
+
+
+def _reference_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(ref_doc, ref_row, ref_start, length, digest) of the places asked for in each text."""
+    for batch in batches:
+        data, at = flat(batch.column("text"))
+        asked = batch.column("asked")
+        cuts, pairs = asked.offsets.to_numpy(), asked.values
+        starts, lengths = pairs.field(0).to_numpy(), pairs.field(1).to_numpy()
+        of, digests = np.repeat(np.arange(batch.num_rows), np.diff(cuts)), []
+        for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+            words = data[a:b].tobytes().split()
+            digests += [words_digest(words, s, n) for s, n in zip(starts[cuts[i] : cuts[i + 1]].tolist(), lengths[cuts[i] : cuts[i + 1]].tolist(), strict=True)]
+        places = slice(cuts[0], cuts[-1])
+        take = pa.array(of)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("row").take(take), pa.array(starts[places]), pa.array(lengths[places]), pa.array(digests, pa.binary())], ["ref_doc", "ref_row", "ref_start", "length", "digest"])
+
+
+_PLACES = ["ref_doc", "ref_row", "ref_start", "length"]
+
+
+def differing(docs: DataFrame, parsed: DataFrame) -> DataFrame:
+    """(doc_id, row) of documents with a factor whose words are not those of its reference.
+
+    Equal requests for a place of a reference are one, whoever makes them; the digests of the places are
+    written before they are joined, so that factors of a passage that many documents share can be split.
+    """
+    every = parsed.select("doc_id", "row", F.explode("factors").alias("f")).select("doc_id", "row", "f.*")
+    asked = every.select(*_PLACES).distinct().groupBy("ref_doc", "ref_row").agg(F.collect_list(F.struct("ref_start", "length")).alias("asked"))
+    asked = asked.select(F.col("ref_doc").alias("doc_id"), F.col("ref_row").alias("row"), "asked")
+    # Rows equal in doc_id and text are one reference.
+    texts = _keyed(docs).where("doc_id is not null").join(asked.hint("shuffle_hash"), ["doc_id", "row"]).select("doc_id", "row", "text", "asked")
+    there = texts.mapInArrow(_reference_digests, "ref_doc long, ref_row long, ref_start int, length int, digest binary")
+    there = written(there.groupBy(*_PLACES).agg(F.min("digest").alias("right")), "digests")
+    return every.join(there, _PLACES, "left").where("right is null or right <> digest").select("doc_id", "row").distinct()
+
+
+def parse(docs: DataFrame, salt: WordHash) -> DataFrame:
+    """(rest, doc_id, row, kept_text, n_words, n_removed, spans, factors) of every row, without the comparison of words.
+
+    rest holds the row's own columns.
+    """
+    known, read = known_windows(docs, salt)
+    found = known.groupBy("doc_id", "row").agg(F.collect_list(F.struct(*_FOUND[2:])).alias("found"))
+    kept = [c for c in docs.columns if c not in OWN]
+    keyed = docs.select(F.struct(*kept).alias("rest"), "doc_id", "text", F.xxhash64("text").alias("row"))
+    joined = keyed.join(found.hint("shuffle_hash"), ["doc_id", "row"], "left").select("rest", "doc_id", "row", "text", "found")
+    fields = T._parse_datatype_string(f"kept_text string, n_words long, n_removed long, spans array<struct<start:long,end:long>>, factors {FACTORS}").fields
+    out = written(joined.mapInArrow(_parser, T.StructType([*joined.schema.fields[:3], *fields])), "parse")
+    forget(*read)
+    return out
+
+
+OWN = ("kept_text", "n_words", "n_removed", "spans")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, salt: WordHash = WordHash()) -> DataFrame:
     """docs with kept_text, n_words, n_removed and spans: (start, end) of removed runs, in words.
 
     Words are the runs of characters other than blanks, unchanged. A word goes if a window of WINDOW words
     over it also starts in a document of smaller doc_id, judged on the texts as given. kept_text joins the
-    other words by single spaces; a null text has none. Columns of docs with these names are replaced.
+    other words by single spaces; a null text has none. Rows with a null doc_id lose nothing; rows that
+    repeat a doc_id are judged each, and none of them against another. An empty table gives an empty
+    result. Columns of docs with these names are replaced.
     """
-    own = ("kept_text", "n_words", "n_removed", "spans")
-    kept: list[str] = [c for c in docs.columns if c not in own]
-    found = duplicate_windows(docs).groupBy("doc_id", "row").agg(F.collect_list(F.struct("first", "last")).alias("found"))
-    row: Column = F.xxhash64("text").alias("row")
-    keyed = docs.select(F.struct(*kept).alias("rest"), "doc_id", "text", row)
-    joined = keyed.join(found.hint("shuffle_hash"), ["doc_id", "row"], "left").select("rest", "text", "found")
-    span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    schema = T.StructType([joined.schema["rest"], T.StructField("kept_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", span)])
-    return joined.mapInArrow(_parser, schema).select("rest.*", *own)
+    done = parse(docs, salt)
+    wrong = written(differing(docs, done), "differing")
+    while not wrong.isEmpty():
+        salt = WordHash(salt.seed + 1)
+        again = parse(docs, salt).join(wrong.hint("shuffle_hash"), ["doc_id", "row"], "left_semi").select(*done.columns)
+        rest = done.join(wrong.hint("shuffle_hash"), ["doc_id", "row"], "left_anti").select(*done.columns)
+        done = written(rest.union(again), "parse")
+        wrong = written(differing(docs, done), "differing")
+    return done.select("rest.*", *OWN)
 
 
 #: The same rows as the registered query, in DuckDB's SQL.

@@ -142,6 +142,34 @@ def test_substring_dedup_of_repetitive_texts(frame, seed):
     assert got == substrings(rows)
 
 
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() & 1] for i in range(n))
+
+
+def test_substring_dedup_tells_words_apart_that_break_polynomial_hashes(frame):
+    common, word = [f"w{i}" for i in range(49)], thue_morse(2048)
+    swapped = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, " ".join([*common, word])), (2, " ".join([*common, swapped])), (3, " ".join([*common, swapped]))]
+    got = {r.doc_id: r.n_removed for r in substring.deduplicate(frame(rows)).collect()}
+    assert got == {1: 0, 2: 0, 3: 50}
+
+
+def test_substring_dedup_compares_words_and_parses_again_where_they_differ(frame, corpus):
+    rng = np.random.default_rng(3)
+    rows = corpus + [(10_000 + i, " ".join(rng.choice(["a", "bb", "ccc", "d", "e"], 60))) for i in range(30)]
+    weak = substring.WordHash(0, bits=1)
+    wrong = substring.differing(frame(rows), substring.parse(frame(rows), weak))
+    assert wrong.count() > 5
+    got = {r.doc_id: (r.kept_text, r.n_words, r.n_removed) for r in substring.deduplicate(frame(rows), weak).collect()}
+    assert got == substrings(rows)
+
+
+def test_factors_are_greedy_and_name_their_reference():
+    known = [(0, 9, 1, 7, 100), (10, 12, 1, 7, 110), (13, 20, 2, 8, 0), (21, 21, 2, 8, 8), (30, 30, 2, 8, 17)]
+    assert substring.factors(known) == [(0, 62, 1, 7, 100), (13, 58, 2, 8, 0), (30, 50, 2, 8, 17)]
+    assert substring.factors([]) == []
+
+
 ITEM = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
