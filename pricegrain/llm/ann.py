@@ -1,9 +1,10 @@
 """Nearest neighbours by largest inner product over balanced posting lists.
 
 Centroids come from balanced bisection of a bounded sample. A vector goes to the list of its nearest
-centroid and, near a boundary, also to those of others that are hardly farther. Centroids are searched by best-first search over a graph of their neighbours, held in
-memory; a query takes the lists whose centroids are within a ratio of the nearest one's distance, the
-nearest of them first, and as many as a trial of some queries against all vectors shows to be needed.
+centroid and, near a boundary, also to those of others that are hardly farther. Centroids are searched
+by best-first search over a graph of their neighbours, held in memory; a query takes the lists whose
+centroids are within a ratio of the nearest one's distance, the nearest of them first, and as many as a
+trial of some queries against all vectors shows to be needed.
 Inner products become distances by one more component, which gives all vectors the same norm.
 """
 
@@ -25,15 +26,16 @@ from pricegrain.llm.shared import partitions, written
 class Settings:
     """lists: vectors to a list, about, and how many lists there are at most (this bounds what is broadcast).
 
-    The sample has at most sample_factor vectors to a list. A vector has at most replicas lists, and a
+    The sample has at most sample_factor vectors to a list, and sample_bytes in all. A vector has at most replicas lists, and a
     further one only up to closure times the nearest distance. A query reads lists only up to ratio times
     the nearest distance, and of these the probes nearest ones: both are where calibrated() begins, and
     grow until the trial queries find the share recall of their neighbours.
     """
 
     vectors_per_list: int = 100
-    most_lists: int = 16_384
+    most_lists: int = 65_536
     sample_factor: int = 16
+    sample_bytes: int = 256 << 20
     neighbours: int = 24
     entries: int = 64
     replicas: int = 4
@@ -255,13 +257,15 @@ def _best(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             owner, ids = np.repeat(np.arange(len(sizes)), sizes), lists.flatten().to_numpy()
             vectors, asked = _matrix(postings.column("embedding").combine_chunks()), _matrix(queries.column("embedding").combine_chunks())
             names = queries.column("query").to_pylist()
+            # How far the product of matrices may be from the sum of products, which alone decides.
+            slack = 1e-13 * vectors.shape[1] * np.sqrt((vectors**2).sum(1).max()) * np.sqrt((asked**2).sum(1))
             for a in range(0, len(asked), STEP):
                 rough = asked[a : a + STEP] @ vectors.T
                 for q in range(len(rough)):
                     near = np.arange(len(vectors))
                     if len(vectors) > k:
                         floor = np.partition(rough[q], len(vectors) - k)[len(vectors) - k]
-                        near = np.flatnonzero(rough[q] >= floor - 1e-9 * max(1.0, abs(floor)))
+                        near = np.flatnonzero(rough[q] >= floor - slack[a + q])
                     exact = np.full(len(vectors), -np.inf)
                     exact[near] = (vectors[near] * asked[a + q]).sum(1)
                     places = np.flatnonzero(np.isfinite(exact[owner]))
@@ -293,36 +297,38 @@ def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, embedding) without rows that take no part: null, zero, or with null or non-finite components.
 
     Of vectors of several lengths only those of the most frequent one take part (the shorter on a tie).
+    Of several vectors of one vec_id the least takes part.
     """
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~bad & F.exists("embedding", lambda x: x != 0))
     size = F.size("embedding")
     common = good.groupBy(size.alias("size")).count().orderBy(F.desc("count"), "size").first()
-    return good.where(size == (common["size"] if common else 0))
+    return good.where(size == (common["size"] if common else 0)).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, settings: Settings = Settings()) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, settings: Settings = Settings(), exact: bool = False) -> DataFrame:
     """(query_id, rank, vec_id, score): of each query its k nearest found among all other vectors.
 
     vectors and queries have vec_id and embedding; queries are rows of vectors. Ties go to the smaller
     vec_id. Equal vectors are one class of which the k + 1 least ids are kept, which are all that can be
     returned; equal queries are searched for once. Long lists, and lists that many queries read, are cut
-    into blocks by a hash, and every block is read.
+    into blocks by a hash, and every block is read. With exact every query reads every list. An empty
+    table gives an empty result; other columns are not read.
     """
     spark = vectors.sparkSession
     keep = k + 1
-    good = usable(vectors)
+    good = written(usable(vectors), "usable")
     ids = F.slice(F.array_sort(F.collect_list("vec_id")), 1, keep).alias("ids")
     salted = good.groupBy("embedding", F.pmod(F.xxhash64("vec_id"), F.lit(partitions(spark))).alias("salt")).agg(ids)
     classes = salted.groupBy("embedding").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, keep).alias("ids"))
     classes = written(classes.select(F.col("ids")[0].alias("node"), "embedding", "ids"), "vectors")
     square = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    total, norm = classes.agg(F.count("*"), F.sqrt(F.max(square))).first()
+    total, norm, width = classes.agg(F.count("*"), F.sqrt(F.max(square)), F.max(F.size("embedding"))).first()
     schema = "query_id long, rank int, vec_id long, score double"
     if not total:
         return spark.createDataFrame([], schema)
     lists = min(settings.most_lists, max(1, total // settings.vectors_per_list))
-    sample = classes.orderBy(F.xxhash64("node"), "node").limit(settings.sample_factor * lists).select("embedding").toArrow()
+    sample = classes.orderBy(F.xxhash64("node"), "node").limit(min(settings.sample_factor * lists, max(1024, settings.sample_bytes // (8 * width)))).select("embedding").toArrow()
     index = build(_matrix(sample.column("embedding").combine_chunks()), total, norm, settings)
     broadcast = spark.sparkContext.broadcast(index)
     kind = dict(good.dtypes)["embedding"]
@@ -330,7 +336,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, settings: Settin
     asked = written(good.select("vec_id", "embedding").join(queries.select("vec_id").distinct(), "vec_id", "left_semi").distinct(), "queries")
     named = written(asked.join(classes.select("embedding", "node"), "embedding").select(F.col("vec_id").alias("query_id"), "node"), "named")
     once = classes.select("node", "embedding").join(named.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("query"), "embedding")
-    settings = _tried(index, classes, once, k, settings)
+    settings = replace(settings, probes=len(index.centroids), ratio=math.inf) if exact else _tried(index, classes, once, k, settings)
     probes = written(once.mapInArrow(_mapper(broadcast, settings, probes_of), f"list int, query long, embedding {kind}"), "probes")
     # One row a list, at most most_lists rows.
     blocks = postings.groupBy("list").agg(F.ceil(F.count("*") / settings.block).alias("blocks"))

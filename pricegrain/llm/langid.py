@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricegrain.llm.features import fold_table, grams
-from pricegrain.llm.shared import flat, held_out, runs, written
+from pricegrain.llm.shared import flat, forget, held_out, runs, written
 
 SIZES = (2, 3, 4)
 #: Documents of each language that the filters are fitted on, about: those with the least hashed ids.
@@ -27,7 +27,8 @@ SHARE = 0.35
 LEAST = 3
 HASHES = 3
 WORD_BITS = 64
-MAX_POSITIONS = 1 << 21
+#: N-grams of a language in the filter, about: the most frequent ones. The filter's size follows from how many there are.
+MOST_GRAMS = 1 << 18
 CHUNK = 1_000_000
 UNKNOWN = "und"
 _FOLD = fold_table(letters_only=True)
@@ -93,14 +94,16 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Filters:
     grouped = written(grouped, "grams")
     rates = grouped.join(F.broadcast(grouped.groupBy("lang").agg(F.sum("n").alias("total"))), "lang").withColumn("rate", F.col("n").cast("double") / F.col("total"))
     leading = rates.withColumn("most", F.max("rate").over(Window.partitionBy("gram"))).where(F.col("rate") >= SHARE * F.col("most"))
-    found = leading.where(F.col("n") >= LEAST).select("lang", "gram").toArrow()
-    if not found.num_rows:
-        found = leading.select("lang", "gram").toArrow()
+    leading = written(leading.select("lang", "gram", "n"), "leading")
+    floors = _floors([(r.lang, r.n, r.grams) for r in leading.groupBy("lang", "n").agg(F.count("*").alias("grams")).collect()])
+    floor = F.create_map(*(F.lit(x) for pair in floors.items() for x in pair)) if floors else F.create_map()
+    found = leading.where(F.col("n") >= floor[F.col("lang")]).select("lang", "gram").toArrow() if floors else leading.select("lang", "gram").limit(0).toArrow()
+    forget(grouped, leading)
     number = {lang: i for i, lang in enumerate(languages)}
     of = np.fromiter((number[x] for x in found.column("lang").to_pylist()), np.int64, found.num_rows)
     gram = _spread(found.column("gram").to_numpy().view(np.uint64))
     largest = int(np.bincount(of, minlength=len(languages)).max()) if len(of) else 1
-    size = min(MAX_POSITIONS, 1 << int(np.ceil(np.log2(max(1024, 8 * largest)))))
+    size = 1 << int(np.ceil(np.log2(max(1024, 8 * largest))))
     out = Filters(languages, np.zeros((-(-len(languages) // WORD_BITS), size), np.uint64), np.zeros(len(languages)))
     for lang in range(len(languages)):
         word, bit = divmod(lang, WORD_BITS)
@@ -110,6 +113,21 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Filters:
     return out
 
 
+def _floors(counts: list[tuple[str, int, int]]) -> dict[str, int]:
+    """Each language's least count of an n-gram to keep, from (lang, count, n-grams with it): LEAST where any has that much, and more where too many do."""
+    out: dict[str, int] = {}
+    for lang in sorted({c[0] for c in counts}):
+        own = sorted(((n, grams_) for name, n, grams_ in counts if name == lang), reverse=True)
+        frequent = [x for x in own if x[0] >= LEAST] or own
+        total, out[lang] = 0, frequent[0][0]
+        for n, number in frequent:
+            total += number
+            if total > MOST_GRAMS:
+                break
+            out[lang] = n
+    return out
+
+
 def _popcounts(filters: Filters, hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     """Of each text and language the n-grams found: rows are texts."""
     found = filters.lookup(_spread(hashes))
@@ -154,7 +172,8 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
     """(doc_id, lang_pred, score) of each whole text: a learned language, or `und` for null or without a letter.
 
     The score is the language's share among all languages' corrected shares of n-grams. Ties go to the
-    language that is first in order. The filters have at most MAX_POSITIONS words for each 64 languages.
+    language that is first in order. Rows that repeat are rows of their own with equal results; an empty
+    table gives an empty result; other columns are not read.
     """
     broadcast = docs.sparkSession.sparkContext.broadcast(filters)
     return docs.select("doc_id", "text").mapInArrow(_predictor(broadcast), "doc_id long, lang_pred string, score double")

@@ -27,7 +27,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 @dataclass(frozen=True)
 class Capacity:
-    """Of each bin. The defaults for documents and attention bind no packing that the tokens allow."""
+    """Of each bin. No packing that the default tokens allow is forbidden by the defaults for documents and attention; their residuals weigh in the choice of bins all the same."""
 
     tokens: int = 1024
     documents: int = 1024
@@ -41,10 +41,13 @@ class Capacity:
 
 @dataclass(frozen=True)
 class Rule:
-    """How a bin is chosen: the least norm of what is left in it, or the largest dot product of what is left and what is needed."""
+    """How a bin is chosen among those with room in every capacity: the least norm of what is left in it, or the largest dot product of what is left and what is needed.
+
+    Both are of shares of the capacities for tokens, documents and attention, weighted in this order.
+    """
 
     select: str = "residual_norm"
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0)
+    weights: tuple[float, float, float] = (1.0, 0.5, 0.5)
 
 
 @dataclass
@@ -162,7 +165,8 @@ def pack(pieces: DataFrame, capacity: Capacity = Capacity(), rule: Rule = Rule()
 def pack_documents(docs: DataFrame, capacity: Capacity = Capacity(), rule: Rule = Rule(), tokenizer: str | None = None) -> DataFrame:
     """Tokenize, cut and pack docs (doc_id, text): one row per piece with its sequence and its place there.
 
-    Null texts are empty and have only the end id. Pieces are written once to the shared folder, so that
-    no text is tokenized twice.
+    Null texts are empty and have only the end id; a null doc_id is kept, and rows that repeat a doc_id
+    are pieces of their own. An empty table gives an empty result; other columns are not read. Pieces are
+    written once to the shared folder, so that no text is tokenized twice.
     """
     return pack(written(cut_documents(docs, capacity, tokenizer), "pieces"), capacity, rule)

@@ -16,13 +16,14 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricegrain.llm.shared import flat, runs, word_spans
+from pricegrain.llm.shared import flat, runs, word_spans, written
 
 #: The base patterns, and the least length of what they must match.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -38,8 +39,7 @@ EPOCHS, STEP, DECAY = 35, 0.25, 1e-5
 #: The least marginal probability of a span's first token.
 SURE = 0.9
 OUT, BEGIN, IN = 0, 1, 2
-#: What Spark looks for to tell documents that may hold a base secret.
-MAY_HOLD = "(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{16}"
+_HEX = re.compile(rb"[0-9a-f]{16}")
 #: Words that stand before secrets, for the variants of the positives.
 NAMES = b"key client_key pwd pass passphrase credential credentials auth bearer authorization private_key signature session cookie access hash".split()
 _MIXED = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
@@ -336,14 +336,32 @@ def train(features: list[np.ndarray], tags: list[np.ndarray]) -> Field:
     return Field(weights.astype(np.float32), moves)
 
 
+def _candidates(batches: Iterator[pa.RecordBatch], sample: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, draw, may_hold): of this partition the rows of least draw, `sample` that may hold a base secret and as many others."""
+    kept: dict[bool, list[tuple[int, int]]] = {True: [], False: []}
+    for batch in batches:
+        data, at = flat(batch.column("text"))
+        raw, at = data.tobytes(), at.tolist()
+        rows = zip(batch.column("draw").to_pylist(), batch.column("doc_id").to_pylist(), at, at[1:], strict=False)
+        for draw, doc, a, b in rows:
+            low = raw[a:b].lower()
+            kept[any(k in low for k in KEYWORDS) or b"akia" in low or _HEX.search(raw, a, b) is not None].append((draw, doc))
+        for own in kept.values():
+            own.sort()
+            del own[sample:]
+    for hot, own in kept.items():
+        yield pa.RecordBatch.from_arrays([pa.array([d for _, d in own], pa.int64()), pa.array([x for x, _ in own], pa.int64()), pa.array([hot] * len(own), pa.bool_())], ["doc_id", "draw", "may_hold"])
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Field:
     """Train on at most `sample` documents that may hold a base secret and as many others, those with the least hashed ids.
 
     The weak labels come from the base patterns. The chosen ids are at most 2 * `sample` rows, which is what
     is broadcast; the driver gets their stretches. Documents with a null doc_id are not drawn.
     """
-    known = docs.where("doc_id is not null and text is not null").select("doc_id", F.col("text").rlike(MAY_HOLD).alias("may_hold"))
-    parts = [known.where(F.col("may_hold") == hot).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for hot in (True, False)]
+    known = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("doc_id").alias("draw"), "text")
+    found = written(known.mapInArrow(partial(_candidates, sample=sample), "doc_id long, draw long, may_hold boolean"), "candidates")
+    parts = [found.where(F.col("may_hold") == hot).orderBy("draw", "doc_id").limit(sample).select("doc_id") for hot in (True, False)]
     keys = parts[0].union(parts[1]).distinct()
     rows = docs.select("doc_id", "text").join(F.broadcast(keys), "doc_id").select("text").mapInArrow(_sequences, "features array<int>, tags array<byte>").toArrow()
     width = len(SIZES)

@@ -1,14 +1,15 @@
 """Near-duplicate documents by SimHash fingerprints, found by deletion-variant signatures.
 
 Two fingerprints of 64 bits that differ in at most three bits are cut into two segments of 32 bits:
-one of these then differs in at most one bit. Each segment is indexed under its 32 variants in which
-one bit is a wildcard, so both fingerprints meet in some variant by equality; the whole fingerprints
-are then compared.
+one of these then differs in at most one bit. (For at most five bits it is three segments, and so on.)
+Each segment is indexed under its variants in which one bit is a wildcard, so both fingerprints meet in
+some variant by equality; the whole fingerprints are then compared.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricegrain.llm.components import components
-from pricegrain.llm.shared import BLANK, flat, partitions, written
+from pricegrain.llm.shared import BLANK, flat, forget, partitions, written
 
 SEED = 42
 SHINGLE = 3
 MAX_BITS = 3
-SEGMENT_BITS = 32
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _FOLD = bytes(32 if c in BLANK else b for c, b in enumerate(_LOWER))
 _LANES = np.uint64(0x0101010101010101)
@@ -59,17 +59,22 @@ def fingerprint(hashes: list[int]) -> int:
     return int(np.packbits(on, bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fingerprints(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, at = flat(batch.column("text"))
         raw, at = data.tobytes(), at.tolist()
-        prints = np.array([fingerprint(shingle_hashes(raw[a:b])) for a, b in zip(at, at[1:], strict=False)], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+        prints = np.array([fingerprint(shingle_hashes(raw[a:b], size)) for a, b in zip(at, at[1:], strict=False)], np.uint64)
+        rest = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "text"]
+        yield pa.RecordBatch.from_arrays([*rest, pa.array(prints.view(np.int64))], [*(n for n in batch.schema.names if n != "text"), "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every document; fp is the fingerprint as a signed long. Null and wordless texts have zero."""
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(doc_id, one, two, fp) of every document; fp is the fingerprint as a signed long, one and two tell texts apart.
+
+    Null and wordless texts have the fingerprint zero.
+    """
+    texts = docs.select("doc_id", F.xxhash64("text").alias("one"), F.xxhash64("text", F.lit(1)).alias("two"), "text")
+    return texts.mapInArrow(partial(_fingerprints, size=size), "doc_id long, one long, two long, fp long")
 
 
 def _links(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,19 +99,19 @@ def _links(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
-def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links inside each bucket of rows sorted by bucket; a bucket may go on in the next batch."""
-    held: list[np.ndarray] | None = None
+def _bucket_links(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Links inside each bucket of rows sorted by bucket; a bucket may go on in the next batches, which are put together once."""
+    held: list[list[np.ndarray]] = []
 
     def closed(columns: list[np.ndarray]) -> pa.RecordBatch:
         bit, masked, fps, docs = columns
         new = np.flatnonzero(np.r_[True, (bit[1:] != bit[:-1]) | (masked[1:] != masked[:-1])])
         size = np.diff(np.r_[new, len(bit)])
         pairs = new[size == 2]
-        pairs = pairs[np.bitwise_count(fps[pairs] ^ fps[pairs + 1]) <= MAX_BITS]
+        pairs = pairs[np.bitwise_count(fps[pairs] ^ fps[pairs + 1]) <= most]
         us, vs = [docs[pairs]], [docs[pairs + 1]]
         for first, count in zip(new[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            a, b = _links(fps[first : first + count], MAX_BITS)
+            a, b = _links(fps[first : first + count], most)
             us.append(docs[first + a])
             vs.append(docs[first + b])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
@@ -116,43 +121,96 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             continue
         columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
         columns[2] = columns[2].view(np.uint64)
-        if held is not None:
-            columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
         last = np.flatnonzero((columns[0] != columns[0][-1]) | (columns[1] != columns[1][-1]))
         cut = last[-1] + 1 if len(last) else 0
-        held = [x[cut:] for x in columns]
+        if held and not cut and (held[-1][0][-1], held[-1][1][-1]) != (columns[0][0], columns[1][0]):
+            yield closed([np.concatenate(x) for x in zip(*held, strict=True)])
+            held = []
         if cut:
-            yield closed([x[:cut] for x in columns])
-    if held is not None and len(held[0]):
-        yield closed(held)
+            yield closed([np.concatenate(x) for x in zip(*held, [x[:cut] for x in columns], strict=True)])
+            held = []
+        held.append([x[cut:] for x in columns])
+    if held:
+        yield closed([np.concatenate(x) for x in zip(*held, strict=True)])
 
 
-def links(classes: DataFrame) -> DataFrame:
-    """Links (u, v) that connect all fingerprints within MAX_BITS of each other.
+def links(classes: DataFrame, most: int = MAX_BITS) -> DataFrame:
+    """Links (u, v) that connect all fingerprints within `most` bits of each other.
 
     classes has one row (fp, node) for each different fingerprint. In each bucket a spanning forest of
     its links is returned, never all pairs, so the rows are at most 64 to a fingerprint, and the same
     components result.
     """
     bit = F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit")
-    low = (1 << SEGMENT_BITS) - 1
-    wild = F.expr("shiftleft(1L, bit)")
-    masked = F.when(F.col("bit") < SEGMENT_BITS, F.col("fp").bitwiseAND(F.lit(low))).otherwise(F.col("fp").bitwiseAND(F.lit(~low)))
-    variants = classes.select("fp", "node", bit).select(F.col("bit").cast("byte").alias("bit"), masked.bitwiseAND(F.bitwise_not(wild)).alias("masked"), "fp", "node")
+    masks = F.array(*(F.lit(m) for m in variant_masks(most)))
+    variants = classes.select("fp", "node", bit).select(F.col("bit").cast("byte").alias("bit"), F.col("fp").bitwiseAND(F.element_at(masks, F.col("bit") + 1)).alias("masked"), "fp", "node")
     dealt = variants.repartition(partitions(classes.sparkSession), "bit", "masked").sortWithinPartitions("bit", "masked")
-    return dealt.mapInArrow(_bucket_links, "u long, v long")
+    return dealt.mapInArrow(partial(_bucket_links, most=most), "u long, v long")
+
+
+def variant_masks(most: int) -> list[int]:
+    """Of each bit its segment without it, as a signed long: there are so many segments that one differs in at most one bit."""
+    segments = (most + 2) // 2
+    bounds = [64 * i // segments for i in range(segments + 1)]
+    out = []
+    for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+        whole = (1 << high) - (1 << low)
+        out += [whole & ~(1 << bit) for bit in range(low, high)]
+    return [m - (1 << 64) if m >> 63 else m for m in out]
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) of every document; component_id is the least doc_id reachable over links.
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, most: int = MAX_BITS) -> DataFrame:
+    """(doc_id, one, two, fp, component_id) of every document; component_id is the least doc_id reachable over links.
+
+    Fingerprints are of shingles of `size` words and link at `most` or fewer differing bits.
 
     Documents with equal fingerprints are one class, so that groups of copies cost one row in the
     search. Rows with a null doc_id get a null component_id and link nothing; repeated doc_ids are
     repeated rows with the component of each one's fingerprint. An empty table gives an empty result.
     """
-    prints = written(fingerprints(docs), "fingerprints")
+    prints = written(fingerprints(docs, size), "fingerprints")
     classes = written(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "classes")
     # Two classes may share their least doc_id where doc_ids repeat: such a row links them.
-    found = components(links(classes))
+    found = components(links(classes, most))
     labels = written(classes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component")), "labels")
-    return prints.join(labels, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
+    return prints.join(labels, "fp", "left").select("doc_id", "one", "two", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
+
+
+def jaccard(a: bytes, b: bytes, size: int) -> float:
+    """Shared shingles of two texts against all of them; 1 where neither has a word."""
+    one, other = set(shingle_hashes(a, size)), set(shingle_hashes(b, size))
+    return len(one & other) / len(one | other) if one or other else 1.0
+
+
+def _similar(batches: Iterator[pa.RecordBatch], size: int, least: float) -> Iterator[pa.RecordBatch]:
+    """Rows of texts that are at least so similar to the text kept for them."""
+    for batch in batches:
+        sides = []
+        for name in ("text", "kept"):
+            data, at = flat(batch.column(name))
+            raw, at = data.tobytes(), at.tolist()
+            sides.append([raw[a:b] for a, b in zip(at, at[1:], strict=False)])
+        good = [jaccard(a, b, size) >= least for a, b in zip(*sides, strict=True)]
+        yield batch.select(["doc_id", "one", "two"]).filter(pa.array(good, pa.bool_()))
+
+
+def without_near_duplicates(docs: DataFrame, size: int = 5, most: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs without near copies of a document that stays: the one of least doc_id in each group of linked fingerprints.
+
+    A document goes only if it has the same text as that one, or if their sets of shingles have a Jaccard
+    similarity of at least `similarity`; others of the group stay. Rows with a null doc_id stay, and rows
+    that repeat the doc_id which stays. Texts are compared only where they differ, each with one other.
+    """
+    found = written(near_duplicates(docs, size, most), "found")
+    ids = ["doc_id", "one", "two"]
+    others = found.where("component_id <> doc_id").select(*ids, "component_id").distinct()
+    heads = found.where("component_id = doc_id").select(F.col("doc_id").alias("component_id"), F.struct("one", "two").alias("head")).distinct()
+    judged = written(others.join(heads, "component_id").withColumn("same", F.col("head") == F.struct("one", "two")).drop("head"), "judged")
+    texts = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("one"), F.xxhash64("text", F.lit(1)).alias("two"), "text")
+    unlike = judged.where("not same").select(*ids, "component_id").distinct()
+    mine = written(texts.join(unlike.hint("shuffle_hash"), ids).select(*ids, "component_id", "text").distinct(), "mine")
+    kept = written(docs.select(F.col("doc_id").alias("component_id"), F.col("text").alias("kept")).join(unlike.select("component_id").distinct().hint("shuffle_hash"), "component_id", "left_semi"), "kept")
+    similar = mine.join(kept, "component_id").select(*ids, "text", "kept").mapInArrow(partial(_similar, size=size, least=similarity), "doc_id long, one long, two long")
+    gone = written(judged.where("same").select(*ids).union(similar).distinct(), "gone")
+    forget(mine, kept, judged, found)
+    return docs.withColumns({"_one": F.xxhash64("text"), "_two": F.xxhash64("text", F.lit(1))}).join(gone.select("doc_id", F.col("one").alias("_one"), F.col("two").alias("_two")).hint("shuffle_hash"), ["doc_id", "_one", "_two"], "left_anti").select(*docs.columns)

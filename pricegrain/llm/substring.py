@@ -186,24 +186,24 @@ def known_windows(docs: DataFrame, salt: WordHash) -> tuple[DataFrame, list[Data
     """
     texts = _keyed(docs).where("doc_id is not null and text is not null")
     blocks = written(texts.mapInArrow(partial(_blocks, salt=salt), BLOCKS), "blocks")
-    index = blocks.groupBy("seed").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    index = written(index.where("least < most").select("seed"), "index")
-    met = written(blocks.join(index, "seed"), "met")
+    index = blocks.groupBy("seed").agg(*_first_place(), F.max("doc_id").alias("most"), (F.min("block") == F.max("block")).alias("alike"))
+    index = written(index.where("ref_doc < most").drop("most"), "index")
+    met = written(blocks.join(index, "seed").where("not alike or doc_id > ref_doc"), "met")
     forget(blocks, index)
-    # The parse goes on over blocks that a smaller document has whole, and stops inside the others.
-    first = written(met.groupBy("seed", "block").agg(*_first_place()), "first")
-    parsed = written(met.join(first, ["seed", "block"]), "parsed")
-    forget(met, first)
-    whole = parsed.where("doc_id > ref_doc").select(*_FOUND)
-    # Windows of a first block can only be known if its seed has another block that begins in a smaller document.
-    alike = parsed.groupBy("seed").agg((F.min("block") == F.max("block")).alias("alike"))
-    stopped = parsed.where("doc_id = ref_doc").join(alike.where("not alike"), "seed").groupBy("doc_id", "row").agg(F.collect_list(F.struct("seed", "first", "last")).alias("open"))
+    whole = met.where("alike").select(*_FOUND)
+    # Seeds with several blocks: the parse goes on over blocks that a smaller document has whole, and stops inside the others.
+    several = met.where("not alike").select("seed", "block", "doc_id", "row", "first", "last")
+    first = written(several.groupBy("seed", "block").agg(*_first_place()), "first")
+    parsed = written(several.join(first, ["seed", "block"]), "parsed")
+    forget(first)
+    whole = whole.union(parsed.where("doc_id > ref_doc").select(*_FOUND))
+    stopped = parsed.where("doc_id = ref_doc").groupBy("doc_id", "row").agg(F.collect_list(F.struct("seed", "first", "last")).alias("open"))
     ends = texts.join(stopped.hint("shuffle_hash"), ["doc_id", "row"]).select("doc_id", "row", "text", "open")
     windows = written(ends.mapInArrow(partial(_open_windows, salt=salt), "seed long, window long, doc_id long, row long, first int"), "windows")
     earliest = windows.groupBy("seed", "window").agg(*_first_place(), F.max("doc_id").alias("most")).where("ref_doc < most").drop("most")
     earliest = written(earliest, "earliest")
     single = windows.join(earliest, ["seed", "window"]).where("doc_id > ref_doc").withColumn("last", F.col("first")).select(*_FOUND)
-    return whole.union(single), [parsed, windows, earliest]
+    return whole.union(single), [met, parsed, windows, earliest]
 
 
 def factors(known: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:

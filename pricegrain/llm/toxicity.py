@@ -26,9 +26,10 @@ PER_CLASS = 2_500
 THRESHOLD = 0.7
 #: Scale of the summed features; epochs and step of the fit.
 SCALE, EPOCHS, STEP = 0.05, 150, 0.1
-#: N-grams in fewer training documents than this weigh nothing, nor those whose shares of toxic and of
-#: clean documents differ by fewer standard errors than this.
-LEAST, DEVIATIONS = 4, 4.5
+#: How many n-grams weigh: those whose shares of toxic and of clean training documents differ by the most standard errors.
+FEATURES = 1_024
+#: Weight of the squared weights in the fit.
+DECAY = 1e-6
 #: Bytes of text hashed at once.
 CHUNK = 250_000
 _FOLD = fold_table()
@@ -91,21 +92,22 @@ def _chosen(broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
 def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """(doc_id, text, toxic) of at most per_class documents of each class, the least by a hash of doc_id.
 
-    Held-out documents and null labels take no part; of several labels of a document the largest counts.
+    Held-out documents and null labels take no part; of several labels of a document the largest counts,
+    and of several texts the least.
     The chosen ids are at most twice per_class rows, which is what may be broadcast.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.join(docs.select("doc_id"), "doc_id", "left_semi")
     parts = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
     chosen = parts[0].union(parts[1])
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """Fit on a bounded, documented sample of labelled rows.
 
-    Spark counts the features and returns those that tell the classes apart, then each document's list
-    of these; the driver gets at most 2 ** BITS counts and 2 * per_class short lists, and fits on them.
+    Spark counts the features and returns the FEATURES that tell the classes apart best, then each
+    document's list of these; the driver gets so many counts and 2 * per_class lists, and fits on them.
     """
     spark = docs.sparkSession
     sample = written(training_rows(docs, labels, per_class).select("toxic", "text"), "toxicity")
@@ -115,10 +117,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
         # One class or none: nothing to tell apart, and every text scores as that class.
         return Model(np.zeros(size, np.float32), 20.0 if n_toxic else -20.0)
     counted = sample.mapInArrow(_count, "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    pooled = (F.col("toxic") + F.col("clean")) / (n_toxic + n_clean)
-    error = F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-9)) * (1 / n_toxic + 1 / n_clean))
-    apart = F.abs(F.col("toxic") / n_toxic - F.col("clean") / n_clean) / error
-    kept = counted.where((F.col("toxic") + F.col("clean") >= LEAST) & (apart >= DEVIATIONS)).orderBy("feature").toArrow()
+    # Shares are moved toward a half by one document each, so that n-grams of few documents do not come before all others.
+    with_, total = F.col("toxic") + F.col("clean"), n_toxic + n_clean
+    pooled = (with_ + 1) / (total + 2)
+    apart = F.abs(F.col("toxic") / n_toxic - F.col("clean") / n_clean) / F.sqrt(pooled * (1 - pooled))
+    kept = counted.where(apart > 0).orderBy(apart.desc(), with_.desc(), "feature").limit(FEATURES).toArrow().sort_by("feature")
     feature, with_, without = (kept.column(c).to_numpy() for c in ("feature", "toxic", "clean"))
     ratio = np.log((with_ + 1) / (n_toxic + 2)) - np.log((without + 1) / (n_clean + 2))
     used = np.zeros(size, bool)
@@ -134,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     for epoch in range(1, EPOCHS + 1):
         z = np.bincount(row, (w * ratio)[column], len(y)) * SCALE + bias
         error = (1 / (1 + np.exp(-z)) - y) * weight
-        slope = np.bincount(column, (error * SCALE)[row], len(feature)) * ratio
+        slope = np.bincount(column, (error * SCALE)[row], len(feature)) * ratio + DECAY * w
         first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope * slope
         w -= STEP * (first / (1 - 0.9**epoch)) / (np.sqrt(second / (1 - 0.99**epoch)) + 1e-8)
         bias -= 0.5 * error.sum()
@@ -159,7 +162,8 @@ def _scorer(broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     """docs with a score from 0 to 1 of each whole text; a null or empty text has the score of no n-gram.
 
-    A column of docs with the same name is replaced. The model has 2 ** BITS weights whatever the input.
+    A column of docs with the same name is replaced; rows that repeat are rows of their own with equal
+    scores; an empty table gives an empty result. The model has 2 ** BITS weights whatever the input.
     """
     rest = [c for c in docs.columns if c not in ("text", column)]
     inner = docs.select(F.struct(*rest).alias("rest") if rest else F.lit(None).alias("rest"), "text")

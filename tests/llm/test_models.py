@@ -83,6 +83,52 @@ def test_language_of_odd_texts(spark, frame):
     assert nothing.lang_pred == "und"
 
 
+def plain_language(docs, text):
+    """The share of each language's n-grams in a text, by sets of bytes."""
+    fold = lambda t: bytes(c + 32 if 65 <= c <= 90 else 32 if c < 128 and not chr(c).isalpha() else c for c in t.encode())
+    grams = lambda t: [(n, t[i : i + n]) for n in langid.SIZES for i in range(len(t) - n + 1)]
+    counts = defaultdict(lambda: defaultdict(int))
+    for d, t, lang in docs:
+        if lang is not None and t is not None and not held_out(d):
+            for g in grams(fold(t)):
+                counts[lang][g] += 1
+    total = {x: sum(c.values()) for x, c in counts.items()}
+    best = {g: max(counts[x].get(g, 0) / total[x] for x in counts) for x in counts for g in counts[x]}
+    known = {x: {g for g, n in counts[x].items() if n / total[x] >= langid.SHARE * best[g] and n >= langid.LEAST} for x in counts}
+    own = grams(fold(text))
+    return {x: sum(g in known[x] for g in own) / max(1, len(own)) for x in sorted(counts)}
+
+
+def test_language_matches_plain_sets(spark):
+    rng = np.random.default_rng(6)
+    letters = {"aa": "abcdefghijk", "bb": "fghijklmnop", "cc": "kéüñlmnopqr"}
+    word = lambda x: "".join(rng.choice(list(letters[x]), rng.integers(2, 7)))
+    docs = [(i, " ".join(word(x) for _ in range(40)), x) for i, x in enumerate(rng.choice(list(letters), 90).tolist())]
+    frame = spark.createDataFrame([*docs, (500, None, "aa"), (501, "x y", None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.identify(frame, langid.fit(frame)).collect()}
+    for d, text, _ in docs[:30]:
+        share = plain_language(docs, text)
+        best = max(share, key=share.get)
+        assert got[d].lang_pred == best
+        assert abs(got[d].score - share[best] / sum(share.values())) < 0.01
+
+
+def test_language_filter_keeps_the_most_frequent_grams(monkeypatch):
+    monkeypatch.setattr(langid, "MOST_GRAMS", 10)
+    assert langid._floors([("a", 9, 3), ("a", 5, 6), ("a", 4, 2), ("b", 3, 30), ("b", 7, 2), ("c", 1, 50), ("c", 2, 4)]) == {"a": 5, "b": 7, "c": 2}
+
+
+@pytest.mark.parametrize("each", [1, 2, 3, 10])
+def test_toxicity_tells_few_labelled_texts_apart(frame, spark, each):
+    rng = np.random.default_rng(each)
+    ids = [i for i in range(200) if not held_out(i)][: 2 * each]
+    word = lambda: "".join(rng.choice(list("aeioustnr"), 5))
+    docs = frame([(d, " ".join(word() for _ in range(12)) + (" you idiot" if k % 2 else "")) for k, d in enumerate(ids)])
+    labels = spark.createDataFrame([(d, k % 2) for k, d in enumerate(ids)], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    assert all((got[d] >= toxicity.THRESHOLD) == bool(k % 2) for k, d in enumerate(ids))
+
+
 def test_language_brings_only_kept_grams_to_the_driver(spark, frame, monkeypatch):
     rng = np.random.default_rng(2)
     texts = ["the same words " * 3 + "".join(rng.choice(list("bcdfghjklm"), 60)) for _ in range(40)]
@@ -134,6 +180,21 @@ def test_nearest_is_exact_on_small_tables_with_copies_and_odd_rows(spark):
     assert dict(got) == brute(vectors, 20)
 
 
+def test_nearest_takes_the_least_of_several_vectors_of_one_id_and_can_be_exact(spark):
+    rng = np.random.default_rng(14)
+    points = rng.normal(size=(1200, 8)).astype(np.float32)
+    rows = [(i, p.tolist()) for i, p in enumerate(points)]
+    other = [(20, [9.0] * 8), (20, [9.0] * 8), (33, [-9.0] * 8)]
+    frame = spark.createDataFrame(rows + other, "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for r in ann.search(frame, frame.where("vec_id % 20 = 0"), settings=ann.Settings(vectors_per_list=10, probes=2), exact=True).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((-r.score, r.vec_id))
+    least = dict(rows)
+    for i, v in other:
+        least[i] = min(least[i], v)
+    assert dict(got) == brute(list(least.items()), 20)
+
+
 def test_nearest_with_few_candidates_or_none(spark):
     schema = "vec_id long, embedding array<float>, rank int"
     few = spark.createDataFrame([(0, [1.0, 0.0], 1), (20, [0.5, 0.5], 1), (3, [2.0, 0.0], 1)], schema)

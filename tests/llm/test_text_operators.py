@@ -20,10 +20,13 @@ def low(text):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
 
 
-def fingerprint(text):
+def shingles(text, size):
     w = BLANKS.findall(low(text))
-    shingles = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)] if w else []
-    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return [" ".join(w[i : i + size]) for i in range(len(w) - size + 1)] if len(w) >= size else [" ".join(w)] if w else []
+
+
+def fingerprint(text, size=3):
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles(text, size)]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
@@ -51,7 +54,8 @@ def test_simhash_matches_brute_force(frame, corpus):
     assert got == {d: (prints[d], groups[d]) for d in prints}
 
 
-def test_simhash_links_every_pair_within_three_bits(spark):
+@pytest.mark.parametrize("most", [3, 5])
+def test_simhash_links_every_pair_within_so_many_bits(spark, most):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
     fps = {int(v) for v in base}
@@ -60,11 +64,21 @@ def test_simhash_links_every_pair_within_three_bits(spark):
             fps.add(int(v) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 7), replace=False)))
     values = dict(enumerate(sorted(fps)))
     rows = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v, i) for i, v in values.items()], "fp long, node long")
-    found = {r.node: r.component for r in components(simhash.links(rows)).collect()}
-    want = linked(values)
+    found = {r.node: r.component for r in components(simhash.links(rows, most)).collect()}
+    want = linked(values, most)
     assert {i: found.get(i, i) for i in values} == want
 
 
+def test_near_duplicates_go_only_if_similar_to_the_one_that_stays(frame):
+    rng = np.random.default_rng(12)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 400)]
+    near = base.copy()
+    near[200] = "changed"
+    rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(base)), (4, " ".join(base[:200])), (5, None), (6, ""), (7, "other"), (None, "other")]
+    assert {r.doc_id for r in simhash.without_near_duplicates(frame(rows)).collect()} == {1, 4, 5, 7, None}
+    assert {r.doc_id for r in simhash.without_near_duplicates(frame(rows), similarity=1.0).collect()} == {1, 2, 4, 5, 7, None}
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 400)] + [(0, i) for i in range(1, 60)] + [(7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
@@ -203,7 +217,6 @@ def passages(rows, items):
 @pytest.mark.parametrize("block", [400_000, 60])
 def test_decontamination_matches_brute_force(spark, frame, corpus, monkeypatch, block):
     monkeypatch.setattr(decontam, "AUTOMATON_BYTES", block)
-    monkeypatch.setattr(decontam, "CHAIN", 3)
     long = next(t for _, t in corpus if t and len(t) > 300).split()
     items = [(1, " ".join(long[5:30])), (2, "One, TWO"), (10, None), (None, " ".join(long[12:22]).upper()), (3, ""), (2, "one two"), (4, "no such words here at all in any text of them")]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -213,6 +226,34 @@ def test_decontamination_matches_brute_force(spark, frame, corpus, monkeypatch,
     assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, x in got.items() if not x[1])
 
 
+def test_automaton_scans_like_brute_force_over_few_words(monkeypatch):
+    monkeypatch.setattr(decontam, "LANE", 12)
+    rng = np.random.default_rng(8)
+    draw = lambda n: " ".join(rng.choice(["a", "b", "c"], n, p=[0.7, 0.2, 0.1]))
+    items = [(str(i), draw(int(rng.integers(1, 40)))) for i in range(12)] + [("x", "a a"), ("y", "a a b"), ("x", draw(11)), ("none", " - ")]
+    rows = [(i, draw(int(n))) for i, n in enumerate(rng.integers(0, 150, 40))] + [(100, ""), (101, "d d d"), (102, "a d a a b " * 9)]
+    automaton = decontam.build([(n, t.encode()) for n, t in items])
+    want = passages(rows, items)
+    data = np.frombuffer("".join(t for _, t in rows).encode(), np.uint8)
+    at = np.r_[0, np.cumsum([len(t) for _, t in rows])]
+    hit, begin, names = decontam.hits(automaton, data, at)
+    got = {d: (int(begin[i + 1] - begin[i]), int(hit[begin[i] : begin[i + 1]].sum()), names[i]) for i, (d, _) in enumerate(rows)}
+    assert got == want
+
+
+def test_decontamination_scans_once_for_a_benchmark_of_20_mb(spark, frame):
+    rng = np.random.default_rng(9)
+    vocabulary = np.array(["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(60_000)])
+    items = [(i, " ".join(rng.choice(vocabulary, 2000))) for i in range(1430)]
+    assert sum(len(t) for _, t in items) > 20_000_000
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    part = items[77][1].split()[500:520]
+    docs = frame([(1, "before " + " ".join(part) + " after"), (2, " ".join(part[:9])), (3, None)])
+    found = decontam.contamination(docs, bench)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc_id: (r.n_hit, r["items"]) for r in found.collect()} == {1: (20, ["77"]), 2: (0, []), 3: (0, [])}
+
+
 def test_decontamination_maps_hits_to_the_original(spark, frame):
     text = "Ünder – the  QUICK,brown 😀 fox; jumps over it"
     bench = spark.createDataFrame([(1, "quick Brown"), (2, "fox jumps")], "item_id long, text string")
@@ -301,6 +342,49 @@ def best_fit(lengths, capacity):
     return len(left)
 
 
+def vector_best_fit(lengths, capacity, weights):
+    """One piece after the other, longest first, into the open bin with room in all three capacities and the least weighted norm left."""
+    full = np.array([capacity.tokens, capacity.documents, capacity.attention], float)
+    left = np.zeros((0, 3))
+    for n in sorted(lengths, reverse=True):
+        need = np.array([n, 1, n * n], float)
+        fits = np.flatnonzero((left >= need).all(1))
+        if len(fits):
+            left[fits[np.argmin((((left[fits] - need) / full) ** 2 * weights).sum(1))]] -= need
+        else:
+            left = np.vstack([left, full - need])
+    return sorted(map(tuple, left.astype(int).tolist()))
+
+
+def plan_states(made, counts, capacity):
+    """What is left in each bin of a plan."""
+    left = {}
+    for length, total in counts.items():
+        rows = [r for r in made.rows.tolist() if r[0] == length] + [[length, total, 0, 0, 0]]
+        for row, following in zip(rows, rows[1:]):  # noqa: B905
+            for nth in range(following[1] - row[1]):
+                state = left.setdefault(row[2] + nth // row[3], [capacity.tokens, capacity.documents, capacity.attention])
+                for i, x in enumerate((length, 1, length * length)):
+                    state[i] -= x
+    return sorted(map(tuple, left.values()))
+
+
+@pytest.mark.parametrize("capacity", [packing.Capacity(100, 100, 10_000), packing.Capacity(97, 5, 4100), packing.Capacity(128, 4, 6000)])
+def test_plan_equals_the_vector_rule_piece_by_piece(capacity):
+    lengths = np.random.default_rng(4).integers(1, capacity.piece + 1, 400).tolist()
+    counts = {n: lengths.count(n) for n in set(lengths)}
+    weights = (1.0, 0.31, 0.17)
+    assert plan_states(packing.plan(counts, capacity, packing.Rule(weights=weights)), counts, capacity) == vector_best_fit(lengths, capacity, weights)
+
+
+def test_all_residuals_weigh_in_the_default_choice_of_bins():
+    lengths = np.random.default_rng(2).integers(1, 700, 3000).tolist()
+    counts = {n: lengths.count(n) for n in set(lengths)}
+    made, scalar = packing.plan(counts), packing.plan(counts, rule=packing.Rule(weights=(1.0, 0.0, 0.0)))
+    assert plan_states(made, counts, packing.Capacity()) != plan_states(scalar, counts, packing.Capacity())
+    assert made.bins <= 1.001 * -(-sum(lengths) // 1024) + 1
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_equals_best_fit_piece_by_piece(seed):
     lengths = np.random.default_rng(seed).integers(1, 101, 500).tolist()
@@ -326,6 +410,50 @@ def test_secret_base_spans_match_the_patterns(frame):
     assert got == {d: base_spans(t) for d, t in rows}
 
 
+def secret_lines(rng):
+    """Lines with a secret that no base pattern matches, and lines without one."""
+    mixed, upper = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), list("0123456789ABCDEF")
+    draw = lambda kind, n: "".join(rng.choice(kind, n))
+    word = lambda n=4: " ".join("".join(rng.choice(list("aeioustnrl"), rng.integers(2, 9))) for _ in range(n))
+    secrets_ = [
+        lambda: ("client_key = ", draw(mixed, 22)), lambda: ("use ", "ghp_" + draw(mixed, 36)), lambda: ("pwd=", draw(mixed, 14)), lambda: ("passphrase: ", draw(mixed, 16)),
+        lambda: ("Authorization: Bearer ", ".".join([draw(mixed, 20), draw(mixed, 40), draw(mixed, 43)])), lambda: ('"credential": "', draw(upper, 40)), lambda: ("auth ", draw([*mixed, "+", "/"], 40)),
+    ]
+    plain = [
+        lambda: f"https://example.com/{word(1)}/{word(1)}-{rng.integers(1, 99)}.html", lambda: f"{word(1)}.{rng.integers(1, 99)}@mail7.example.com", lambda: f"{rng.integers(1, 250)}.{rng.integers(1, 250)}.10.{rng.integers(1, 250)}",
+        lambda: f"20{rng.integers(10, 30)}-0{rng.integers(1, 9)}-1{rng.integers(0, 9)}T12:30:00", lambda: f"+49 170 {rng.integers(1000000, 9999999)}", lambda: f"the token of {word(1)}", lambda: f"password {word(2)}", lambda: word(1) + word(1).capitalize() + word(1).capitalize(),
+    ]
+    for i in range(140):
+        name, value = secrets_[i % len(secrets_)]()
+        yield f"{word()} {name}", value, f" {word()}"
+        yield f"{word()} {plain[i % len(plain)]()} {word()}", "", ""
+
+
+def test_field_adds_secrets_that_no_base_pattern_matches(spark):
+    field = secrets.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    lines = list(secret_lines(np.random.default_rng(21)))
+    docs = spark.createDataFrame([(i, a + s + b) for i, (a, s, b) in enumerate(lines)], "doc_id long, text string")
+    found = {r.doc_id: [(x.start, x.end) for x in r.spans if x.kind == "crf"] for r in secrets.find(docs, field).collect()}
+    truth = {i: (len(a), len(a) + len(s)) for i, (a, s, b) in enumerate(lines) if s and not base_spans(a + s + b)}
+    right = sum(truth[i] in found[i] for i in truth)
+    print("secrets", right, len(truth), sum(map(len, found.values())))
+    assert len(truth) > 100 and right >= 0.8 * len(truth)
+    assert right >= 0.8 * sum(map(len, found.values()))
+
+
+def test_certainty_is_the_marginal_of_all_paths():
+    import itertools
+
+    rng = np.random.default_rng(5)
+    found = secrets.tokens(np.frombuffer(b"ab cd9f x=12ab yy", np.uint8), np.array([0, 17]))
+    field = secrets.Field(rng.normal(size=(secrets.OFFSETS[-1], 3)).astype(np.float32), rng.normal(size=(3, 3)))
+    field.moves[secrets.OUT, secrets.IN] = -1e4
+    score = field.weights[found.features].sum(1)
+    weigh = {p: np.exp(sum(score[i, t] for i, t in enumerate(p)) + sum(field.moves[x, y] for x, y in itertools.pairwise(p)) - 1e4 * (p[0] == secrets.IN)) for p in itertools.product(range(3), repeat=len(score))}
+    want = [sum(w for p, w in weigh.items() if p[i] == secrets.BEGIN) / sum(weigh.values()) for i in range(len(score))]
+    assert np.allclose(secrets.certainty(field, found.features), want, atol=1e-5)
+
+
 def test_viterbi_finds_the_best_path():
     rng = np.random.default_rng(0)
     data = np.frombuffer(b"ab cd9f\nx=12ab yy zz q9q9\n\nlast one", np.uint8)
