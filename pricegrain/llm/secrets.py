@@ -37,7 +37,7 @@ KINDS = ("assign", "access", "hex", "crf")
 SAMPLE, SECRETS, PLAIN, SPAN = 800, 2, 5, 18
 EPOCHS, STEP, DECAY = 35, 0.25, 1e-5
 #: The least marginal probability of a span's first token.
-SURE = 0.9
+SURE = 0.7
 OUT, BEGIN, IN = 0, 1, 2
 _HEX = re.compile(rb"[0-9a-f]{16}")
 #: Words that stand before secrets, for the variants of the positives.
@@ -181,11 +181,11 @@ def made_secret(rng: np.random.Generator) -> bytes:
     draw = lambda n: bytes(rng.choice(np.frombuffer(ALPHABETS[kind], np.uint8), n))
     kind = int(rng.integers(len(ALPHABETS)))
     body = draw(int(rng.choice([12, 14, 16, 20, 24, 32, 36, 40, 48, 64])))
-    way = rng.integers(8)
+    way = rng.integers(5)
     if way == 0:
         kind = 6
         return draw(int(rng.integers(2, 5))) + bytes([int(rng.choice(list(b"_-")))]) + body
-    return b".".join([body, draw(24), draw(32)]) if way == 1 else body
+    return b".".join([body, draw(int(rng.integers(16, 60))), draw(int(rng.integers(16, 60)))]) if way == 1 else body
 
 
 def variants(ahead: bytes, keyword: bytes, sign: bytes, secret: bytes, after: bytes, words: list[bytes], rng: np.random.Generator) -> Iterator[tuple[bytes, int, int]]:
