@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pricegrain.functions.vocabulary import COLOUR_MODIFIERS, COLOURS, LADDER_COLOURS, LADDER_FILLER, NOISE_WORDS, QUERY_STOPWORDS, RETAILERS
 
+#: Lower-case Latin letters with marks and the letters without them, by their canonical decomposition.
+_MARKED = [chr(c) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if chr(c).islower() and unicodedata.normalize("NFKD", chr(c))[0].isascii() and len(unicodedata.normalize("NFKD", chr(c))) > 1 and all(map(unicodedata.combining, unicodedata.normalize("NFKD", chr(c))[1:]))]
+ACCENTS = ("".join(_MARKED), "".join(unicodedata.normalize("NFKD", c)[0] for c in _MARKED))
 # Patterns of titles and queries.
-ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
 INCHES = r"(?i)\b(\d{2}(?:\.\d)?)\s*(?:\"|''|inch|inches|in\b)"
 SIZES = ((r"(?i)\bcarry[-\s]?on\b", "Carry-On"), (r"(?i)\bcheck(?:ed)?[-\s]?in\b", "Check-In"), (r"(?i)\bunderseat\b", "Underseat"), (r"(?i)\blarge\b", "Large"), (r"(?i)\bmedium\b", "Medium"), (r"(?i)\bsmall\b", "Small"))
 SIZE_TAGS = ((r"(?i)\bcarry[-\s]?on\b|\bcabin\b", "carry-on"), (r"(?i)\bunderseat\b", "underseat"), (r"(?i)\blarge\b", "large"), (r"(?i)\bmedium\b", "medium"), (r"(?i)\bsmall\b", "small"))
@@ -89,17 +92,16 @@ def size_tags(title: Column) -> Column:
 
 
 def title_case(text: Column) -> Column:
-    """Capitals after white space, hyphens and apostrophes."""
-    marked = F.initcap(F.regexp_replace(F.lower(text), r"([-'])", "$1 \u0001 "))
-    return F.regexp_replace(marked, " \u0001 ", "")
+    """Lower case but for the first letter of each run of ASCII letters, digits and underscores."""
+    marked = F.initcap(F.regexp_replace(F.lower(text), r"(?<![A-Za-z0-9_])(?=[a-z])", "\u0001 "))
+    return F.replace(marked, F.lit("\u0001 "), F.lit(""))
 
 
 def colour_of(title: Column) -> Column:
     """The first colour word, with the word before it where that modifies it; empty without one."""
-    both = F.regexp_extract(title, rf"(?i)\b(?:({'|'.join(dict.fromkeys(COLOUR_MODIFIERS))})\s+)?({'|'.join(COLOURS)})\b", 0)
     first = F.regexp_extract(title, COLOUR, 1)
-    modified = F.regexp_extract(title, rf"(?i)^.*?(?<![A-Za-z0-9_])((?:(?:{'|'.join(dict.fromkeys(COLOUR_MODIFIERS))})\s+)?(?:{'|'.join(COLOURS)}))\b", 1)
-    return F.when(first == "", "").otherwise(title_case(F.regexp_replace(F.coalesce(F.nullif(modified, F.lit("")), both), r"\s+", " ")))
+    before = F.regexp_extract(F.substring(title, 1, F.regexp_instr(title, F.lit(COLOUR)) - 1), r"([A-Za-z]+)\s+\z", 1)
+    return F.when(first == "", "").otherwise(title_case(F.when(_among(F.lower(before), COLOUR_MODIFIERS), F.concat_ws(" ", before, first)).otherwise(first)))
 
 
 def is_accessory(title: Column) -> Column:
@@ -147,6 +149,34 @@ def without_prices(query: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(query, PRICE_PHRASE, ""), r"\$\s*\d[\d,]*", ""), r"\s{2,}", " "))
 
 
+def research_query(terms: Column) -> Column:
+    """The terms with the word price, unless they have it."""
+    bare = F.trim(terms)
+    return F.when(bare.rlike(r"(?i)\bprice\b|\bprix\b"), bare).otherwise(F.concat_ws(" ", bare, F.lit("price")))
+
+
+def refresh_query(brand: Column, model: Column, name: Column, noun: str = "luggage") -> Column:
+    """What to search a known product by: brand and model, or its name, and the category's noun."""
+    known = F.concat_ws(" ", F.nullif(brand, F.lit("")), F.nullif(model, F.lit("")))
+    return F.trim(F.concat_ws(" ", F.coalesce(F.nullif(F.trim(known), F.lit("")), name), F.lit(noun)))
+
+
+def numeric_id(text: Column) -> Column:
+    """The digits at the end; null without any."""
+    return F.nullif(F.regexp_extract(text, r"(\d+)\s*\z", 1), F.lit(""))
+
+
+def spec_line(*specs: Column) -> Column:
+    """The specifications that are known, in one line."""
+    return F.concat_ws(" \u00b7 ", *(F.nullif(s, F.lit("")) for s in specs))
+
+
+def shorter_query(terms: Column) -> Column:
+    """The broadest form of a query, unless it is the query itself."""
+    last = F.try_element_at(broader(terms), F.lit(-1))
+    return F.when(F.lower(last) != F.lower(squeezed(terms)), last)
+
+
 def with_category(terms: Column, noun: str = "luggage") -> Column:
     """The terms with the category's noun, unless they have a word of the category."""
     bare = F.trim(terms)

@@ -87,7 +87,10 @@ COLOUR_MODIFIERS = (
     "arctic", "cobalt", "emerald", "ruby", "sapphire", "brushed",
 )
 # What a longer query loses first.
-LADDER_COLOURS = COLOURS[:18] + COLOURS[19:32]
+LADDER_COLOURS = (
+    "black", "white", "grey", "gray", "silver", "navy", "blue", "red", "green", "teal", "purple", "pink", "burgundy", "maroon", "brown", "tan",
+    "beige", "gold", "rose", "charcoal", "graphite", "champagne", "olive", "khaki", "orange", "yellow", "ivory", "cream", "bronze", "copper", "coral",
+)
 LADDER_FILLER = (
     "expandable", "hardside", "softside", "hard", "soft", "shell", "hardshell", "lightweight", "durable", "spinner", "wheeled", "rolling", "upright",
     "double", "wheel", "wheels", "tsa", "lock", "locking", "recessed", "medium", "large", "small", "mini", "compact", "oversized",

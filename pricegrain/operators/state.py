@@ -1,26 +1,42 @@
 """State machines over event logs, as windows where the state is a sum and as ordered folds where it is not.
 
-Events have key, seq and ts. A fold gathers one key's events into an array of small structs, so a key's
-log must fit a task; logs are cut by period (keys hold the period) as quotas are.
+Events have key, seq and ts or moment. A fold takes one key's events in order of seq, in one pass over a
+group that Spark has gathered and sorted; a key's log must fit a task, and logs are cut by period (the
+key holds it) as quotas are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _folded(events: DataFrame, columns: list[str], start: Column, step) -> DataFrame:  # noqa: ANN001
-    """(key, log, states): the state after each event, in order of seq."""
-    log = F.array_sort(F.collect_list(F.struct("seq", *columns)))
-    grown = F.aggregate("log", F.array(start), lambda done, e: F.concat(done, F.array(step(F.element_at(done, -1), e))))
-    return events.groupBy("key").agg(log.alias("log")).select("key", F.explode(F.arrays_zip("log", F.slice(grown, 2, F.greatest(F.size("log"), F.lit(1))).alias("state"))).alias("x")).select("key", "x.log.*", "x.state")
+def folded(events: DataFrame, added: str, start: Callable[[], list], step: Callable[[list, dict], tuple], key: str = "key") -> DataFrame:
+    """events with the columns `added`: what step(state, event) returns for each, as it changes the key's state in order of seq."""
+    names = [c.split()[0] for c in added.split(",")]
+
+    def one(log: pd.DataFrame) -> pd.DataFrame:
+        log = log.sort_values("seq", kind="stable")
+        state = start()
+        rows = [step(state, e) for e in log.to_dict("records")]
+        return log.assign(**{n: [r[i] for r in rows] for i, n in enumerate(names)})
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields), added])
+    return events.groupBy(key).applyInPandas(one, schema)
 
 
 def bounded_counter(events: DataFrame, step: int = 5) -> DataFrame:
-    """events (key, seq, amount) with the total after each: amounts are held to +-step, the total never under 0."""
-    amount = lambda e: F.greatest(F.lit(-step), F.least(F.lit(step), e["amount"])).cast("long")
-    return _folded(events, ["amount"], F.lit(0).cast("long"), lambda total, e: F.greatest(F.lit(0).cast("long"), total + amount(e))).withColumnRenamed("state", "total")
+    """events (key, seq, amount) with refused, and total after each: larger steps are refused, the total never falls under 0.
+
+    With S_i the sum of the amounts let through, the total is S_i - min(0, least S_j up to i).
+    """
+    upto = Window.partitionBy("key").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    refused = F.abs("amount") > step
+    rows = events.withColumn("refused", refused).withColumn("_sum", F.sum(F.when(refused, 0).otherwise(F.col("amount"))).over(upto))
+    return rows.select(*events.columns, "refused", (F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(upto))).cast("long").alias("total"))
 
 
 def paced(events: DataFrame, delay: int) -> DataFrame:
@@ -44,12 +60,21 @@ def breaker(events: DataFrame, first: int = 30, later: int = 300) -> DataFrame:
     return rows.withColumn("failures", streak).select(*events.columns, "failures", until.alias("open_until"))
 
 
-def empty_pauses(events: DataFrame, limit: int = 3) -> DataFrame:
-    """events (key, seq, moment, empty) with whether each begins a pause: every limit-th empty answer in a row."""
-    by = Window.partitionBy("key").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = events.withColumn("_run", F.sum((~F.col("empty")).cast("int")).over(by))
-    nth = F.sum(F.col("empty").cast("int")).over(Window.partitionBy("key", "_run").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("_nth", nth).select(*events.columns, (F.col("empty") & (F.col("_nth") % limit == 0)).alias("pauses"))
+def empty_pauses(events: DataFrame, limit: int = 3, pause: int = 86_400) -> DataFrame:
+    """events (key, seq, moment, empty, cached) with skipped, streak and paused_until (0: not): after limit empty answers in a row calls pause.
+
+    Calls in a pause are not made; cached answers say nothing.
+    """
+
+    def step(state: list, e: dict) -> tuple:
+        skipped = e["moment"] < state[1]
+        if not skipped and not e["cached"]:
+            state[0] = state[0] + 1 if e["empty"] else 0
+            if state[0] >= limit:
+                state[:] = [0, e["moment"] + pause]
+        return skipped, state[0], state[1]
+
+    return folded(events, "skipped boolean, streak int, paused_until long", lambda: [0, 0], step)
 
 
 def live(cache: DataFrame, now: Column) -> DataFrame:
@@ -63,7 +88,60 @@ def evicted(cache: DataFrame, most: int) -> DataFrame:
     return cache.orderBy(F.desc("ts"), F.desc("seq")).limit(most)
 
 
-def quota(events: DataFrame, limit: int) -> DataFrame:
-    """events (key, seq, units) with the running total of the key and whether it is within the limit."""
-    total = F.sum("units").over(Window.partitionBy("key").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    return events.select(*events.columns, total.alias("total"), (total <= limit).alias("allowed"))
+def quota(events: DataFrame, limit: int, most: int = 5) -> DataFrame:
+    """events (key, seq, units) with allowed and total: claims over the limit are handed back and do not count.
+
+    Negative units give back; the total never falls under 0. The counter itself takes no step of more than
+    `most`: what it refuses is not counted, and lets the call through. The key holds the period.
+    """
+
+    def step(state: list, e: dict) -> tuple:
+        units = e["units"]
+        if abs(units) > most:
+            return True, state[0]
+        state[0] = max(0, state[0] + units)
+        if units > 0 and state[0] > limit:
+            state[0] = max(0, state[0] - units)
+            return False, state[0]
+        return True, state[0]
+
+    return folded(events, "allowed boolean, total long", lambda: [0], step)
+
+
+def ledger(local: DataFrame, remote: DataFrame, pending: DataFrame, cap: int, remote_caps: DataFrame) -> DataFrame:
+    """(key, used, cap, remaining, low, exhausted): used is the larger of the local count and the remote one with what came since, and what is pending.
+
+    local (key, calls, since), remote (key, calls), pending (key, units), remote_caps (key, cap).
+    """
+    rows = local.withColumnRenamed("calls", "mine").join(remote.withColumnRenamed("calls", "theirs"), "key", "left").join(pending.groupBy("key").agg(F.sum("units").alias("pending")), "key", "left").join(remote_caps.withColumnRenamed("cap", "_cap"), "key", "left")
+    used = F.greatest(F.col("mine"), F.coalesce("theirs", F.lit(0)) + F.col("since")) + F.coalesce("pending", F.lit(0))
+    limit = F.least(F.lit(cap), F.coalesce("_cap", F.lit(cap)))
+    shown = rows.select("key", used.cast("long").alias("used"), limit.cast("long").alias("cap"))
+    left = F.greatest(F.col("cap") - F.col("used"), F.lit(0))
+    return shown.select("*", left.alias("remaining"), low_budget(left), (left == 0).alias("exhausted"))
+
+
+def low_budget(remaining: Column, few: int = 25) -> Column:
+    return ((remaining <= few) & (remaining > 0)).alias("low")
+
+
+def blocked_hosts(reads: DataFrame, now: Column, hours: int = 12) -> DataFrame:
+    """(host, until) of hosts whose last failed thorough read (host, moment, thorough, ok) was less than so many hours ago."""
+    last = reads.where("thorough and not ok").groupBy("host").agg((F.max("moment") + hours * 3600).alias("until"))
+    return last.where(F.col("until") > now)
+
+
+def relaxed(queries: DataFrame, rungs: Column, answered: Callable[[DataFrame], DataFrame], most: int = 2) -> DataFrame:
+    """(query_id, rung, terms, ...) of the first form of each query with an answer: later forms are asked only where all before had none.
+
+    rungs is the array of forms; answered(asked) returns rows with query_id for (query_id, rung, terms).
+    """
+    forms = queries.select("query_id", F.posexplode(rungs).alias("rung", "terms")).where(F.col("rung") <= most)
+    out, open_ = None, forms
+    for rung in range(most + 1):
+        asked = open_.where(F.col("rung") == rung)
+        found = answered(asked)
+        rows = asked.join(found, "query_id")
+        out = rows if out is None else out.unionByName(rows)
+        open_ = open_.join(found.select("query_id").distinct(), "query_id", "left_anti")
+    return out

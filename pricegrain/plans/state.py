@@ -9,7 +9,7 @@ from pricegrain.operators import state as op
 from pricegrain.plans.registering import Queries
 from pricegrain.plans.roles import table
 
-Q = Queries("""WITH ev AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id AS seq, epoch_us(ts) // 1000000 AS moment, CAST(floor(value) AS BIGINT) % 7 AS units, event_type = 'error' AS failed FROM events)""")
+Q = Queries("""WITH RECURSIVE ev AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id AS seq, epoch_us(ts) // 1000000 AS moment, CAST(floor(value) AS BIGINT) % 7 AS units, event_type = 'error' AS failed FROM events)""")
 
 
 def _events(s: SparkSession, d: str) -> DataFrame:
@@ -19,12 +19,31 @@ def _events(s: SparkSession, d: str) -> DataFrame:
     )
 
 
-Q.add("z5_bounded_counter", lambda s, d: op.bounded_counter(_events(s, d).select("key", "seq", (F.col("units") - 3).alias("amount"))))
-Q.add("z6_quota", lambda s, d: op.quota(_events(s, d).select("key", "seq", "units"), 100), "SELECT key, seq, units, CAST(sum(units) OVER w AS BIGINT) AS total, sum(units) OVER w <= 100 AS allowed FROM ev WINDOW w AS (PARTITION BY key ORDER BY seq)")
+Q.add("z5_bounded_counter", lambda s, d: op.bounded_counter(_events(s, d).select("key", "seq", (2 * F.col("units") - 6).alias("amount"))), """SELECT key, seq, amount, refused, CAST(total - least(0, min(total) OVER (PARTITION BY key ORDER BY seq)) AS BIGINT) AS total
+  FROM (SELECT key, seq, 2 * units - 6 AS amount, abs(2 * units - 6) > 5 AS refused, sum(CASE WHEN abs(2 * units - 6) > 5 THEN 0 ELSE 2 * units - 6 END) OVER (PARTITION BY key ORDER BY seq) AS total FROM ev)""")
+_CLAIM = "CASE WHEN units > 0 AND greatest(0, total + units) > 12 THEN {0} ELSE {1} END"
+Q.add("z6_quota", lambda s, d: op.quota(_events(s, d).select("key", "seq", (F.col("units") - 2).alias("units")), 12), f""", log AS (
+  SELECT key, seq, units - 2 AS units, row_number() OVER (PARTITION BY key ORDER BY seq) AS n FROM ev
+), run AS (
+  SELECT key, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS units, CAST(0 AS BIGINT) AS total, true AS allowed FROM log WHERE n = 1
+  UNION ALL
+  SELECT key, log.n, log.seq, log.units, {_CLAIM.format("greatest(0, greatest(0, total + log.units) - log.units)", "greatest(0, total + log.units)").replace("(0, total + units)", "(0, total + log.units)").replace("WHEN units", "WHEN log.units")}, {_CLAIM.format("false", "true").replace("(0, total + units)", "(0, total + log.units)").replace("WHEN units", "WHEN log.units")}
+  FROM run JOIN log USING (key) WHERE log.n = run.n + 1
+)
+SELECT key, seq, units, allowed, total FROM run WHERE n > 0""")
 Q.add("z9_breaker", lambda s, d: op.breaker(_events(s, d).select("key", "seq", "moment", "failed")), """SELECT key, seq, moment, failed, CAST(failures AS BIGINT) AS failures, CASE failures WHEN 0 THEN 0 WHEN 1 THEN moment + 30 ELSE moment + 300 END AS open_until FROM (
   SELECT *, sum(failed::INT) OVER (PARTITION BY key, run ORDER BY seq) AS failures FROM (SELECT *, sum((NOT failed)::INT) OVER (PARTITION BY key ORDER BY seq) AS run FROM ev))""")
-Q.add("z10_empty_pauses", lambda s, d: op.empty_pauses(_events(s, d).select("key", "seq", "moment", (F.col("units") < 3).alias("empty"))), """SELECT key, seq, moment, empty, empty AND nth % 3 = 0 AS pauses FROM (
-  SELECT *, sum(empty::INT) OVER (PARTITION BY key, run ORDER BY seq) AS nth FROM (SELECT key, seq, moment, units < 3 AS empty, sum((units >= 3)::INT) OVER (PARTITION BY key ORDER BY seq) AS run FROM ev))""")
+_LIVE = "run.until <= log.moment AND NOT log.cached"
+Q.add("z10_empty_pauses", lambda s, d: op.empty_pauses(_events(s, d).select("key", "seq", "moment", (F.col("units") < 5).alias("empty"), (F.col("units") == 6).alias("cached"))), f""", log AS (
+  SELECT key, seq, moment, units < 5 AS empty, units = 6 AS cached, row_number() OVER (PARTITION BY key ORDER BY seq) AS n FROM ev
+), run AS (
+  SELECT key, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS moment, false AS empty, false AS cached, false AS skipped, 0 AS streak, CAST(0 AS BIGINT) AS until FROM log WHERE n = 1
+  UNION ALL
+  SELECT key, log.n, log.seq, log.moment, log.empty, log.cached, run.until > log.moment,
+    CASE WHEN NOT ({_LIVE}) THEN run.streak WHEN NOT log.empty OR run.streak >= 2 THEN 0 ELSE run.streak + 1 END, CASE WHEN {_LIVE} AND log.empty AND run.streak >= 2 THEN log.moment + 86400 ELSE run.until END
+  FROM run JOIN log USING (key) WHERE log.n = run.n + 1
+)
+SELECT key, seq, moment, empty, cached, skipped, streak, until AS paused_until FROM run WHERE n > 0""")
 Q.add("z13_paced", lambda s, d: op.paced(_events(s, d).select("key", "seq", "moment"), 3600), """SELECT key, seq, moment, max(moment - n * 3600) OVER (PARTITION BY key ORDER BY seq) + n * 3600 AS slot FROM (SELECT key, seq, moment, row_number() OVER (PARTITION BY key ORDER BY seq) AS n FROM ev)""")
 Q.add("z2_live_entries", lambda s, d: op.live(_events(s, d).select("key", "seq", F.col("moment").alias("ts"), (F.col("moment") + F.when(F.col("units") > 0, 21600).otherwise(1800)).alias("expires_at")), F.lit(1_706_600_000)), """SELECT key, ts, expires_at FROM (
   SELECT key, moment AS ts, moment + CASE WHEN units > 0 THEN 21600 ELSE 1800 END AS expires_at FROM ev QUALIFY row_number() OVER (PARTITION BY key ORDER BY moment DESC, seq DESC) = 1) WHERE expires_at > 1706600000""")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pricegrain.functions import numbers
+from pricegrain.operators import decisions as decide
 from pricegrain.operators import sinks
 from pricegrain.operators import tracking as op
 from pricegrain.plans import roles
@@ -137,18 +138,19 @@ Q.add(
 )
 Q.add(
     "t7_client_sorts",
-    lambda s, d: _rows(s, d).select(
+    lambda s, d: roles.tracked(s, d).select("user_id", "product_id").join(_rows(s, d), "product_id").select(
+        "user_id",
         "product_id",
-        F.row_number().over(Window.orderBy("name", "product_id")).alias("by_name"),
-        F.row_number().over(Window.orderBy(F.asc_nulls_last("lowest_price"), "product_id")).alias("by_price"),
-        F.row_number().over(Window.orderBy(F.desc_nulls_last("lowest_price"), "product_id")).alias("by_price_down"),
-        F.row_number().over(Window.orderBy("change", "product_id")).alias("by_drop"),
+        F.row_number().over(Window.partitionBy("user_id").orderBy("name", "product_id")).alias("by_name"),
+        F.row_number().over(Window.partitionBy("user_id").orderBy(F.asc_nulls_last("lowest_price"), "product_id")).alias("by_price"),
+        F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc_nulls_last("lowest_price"), "product_id")).alias("by_price_down"),
+        F.row_number().over(Window.partitionBy("user_id").orderBy("change", "product_id")).alias("by_drop"),
     ),
-    """SELECT product_id, row_number() OVER (ORDER BY name, product_id)::INT AS by_name, row_number() OVER (ORDER BY lowest_price NULLS LAST, product_id)::INT AS by_price,
-    row_number() OVER (ORDER BY lowest_price DESC NULLS LAST, product_id)::INT AS by_price_down, row_number() OVER (ORDER BY change, product_id)::INT AS by_drop FROM rows""",
+    """SELECT user_id, product_id, row_number() OVER (PARTITION BY user_id ORDER BY name, product_id)::INT AS by_name, row_number() OVER (PARTITION BY user_id ORDER BY lowest_price NULLS LAST, product_id)::INT AS by_price,
+    row_number() OVER (PARTITION BY user_id ORDER BY lowest_price DESC NULLS LAST, product_id)::INT AS by_price_down, row_number() OVER (PARTITION BY user_id ORDER BY change, product_id)::INT AS by_drop FROM tracked JOIN rows USING (product_id)""",
 )
-Q.add("f14_client_filters", lambda s, d: _rows(s, d).where("brand = 'Brand#11' and in_stock and change < 0").select("product_id", "change"), "SELECT product_id, change FROM rows WHERE brand = 'Brand#11' AND in_stock AND change < 0")
-Q.add("f15_facet_filters", lambda s, d: roles.products(s, d).where(F.lit(True) & (F.col("size") == 10)).select("product_id", "model"), "SELECT product_id, model FROM products WHERE size = 10")
+Q.add("f14_client_filters", lambda s, d: decide.filtered(_rows(s, d), "Brand#11", "in", "down").select("product_id", "change"), "SELECT product_id, change FROM rows WHERE brand = 'Brand#11' AND in_stock AND change < 0")
+Q.add("f15_facet_filters", lambda s, d: decide.faceted(roles.products(s, d), model="all", size=10).select("product_id", "model"), "SELECT product_id, model FROM products WHERE size = 10")
 Q.add("f19_price_alerts", lambda s, d: op.alerts(_rows(s, d), roles.tracked(s, d)), "SELECT user_id, t.product_id, lowest_price, target_price FROM tracked t JOIN rows r USING (product_id) WHERE alert_enabled AND lowest_price <= target_price")
 Q.add(
     "f27_change_badge",

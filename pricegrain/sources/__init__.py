@@ -1 +1 @@
-"""Readers, parsers of semi-structured input, and the sinks."""
+"""Readers of what stores publish: JSON and JSON-LD, meta tags, shop product documents, event streams, robots files, sitemaps, feeds."""

@@ -1 +1 @@
-"""Keyed state: batch folds and their streaming forms."""
+"""Streams of price events: daily lows with late data, and keyed state as it arrives."""

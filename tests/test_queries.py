@@ -9,7 +9,7 @@ import pytest
 from pricegrain.plans.registry import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
+TABLES = "region nation customer supplier part orders lineitem events documents pages conversations".split()
 
 
 @pytest.fixture(scope="module")
