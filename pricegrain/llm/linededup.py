@@ -1,9 +1,11 @@
 """Line deduplication by content-defined chunks of lines, with built-in functions only.
 
-A polynomial hash rolls over the hashes of the last three lines; a chunk ends after a line where it
-falls into one residue class of four, so an inserted or deleted line moves no boundary but those near
-it. A chunk of several lines that stands in more than one place is removed everywhere but in the first,
-after its bytes were compared.
+A polynomial hash rolls over the hashes of a line and the one before; a chunk ends after a line where it
+is less than at the line before and not greater than at the next. So boundaries lie two lines apart or
+more, every third line on average, and an inserted or deleted line moves none but those beside it. A
+chunk of several lines that stands in more than one place is removed everywhere but in the first, after
+its bytes were compared. Of a repeated passage the lines before its first boundary and after its last
+one stay, as their chunks also hold foreign lines.
 """
 
 from __future__ import annotations
@@ -13,8 +15,8 @@ from pyspark.sql import functions as F
 
 from pricegrain.llm.shared import written
 
-#: The rolling hash: its base and prime, and how many of its residue classes a boundary falls into one of.
-BASE, PRIME, DIVISOR = 31, 1_000_003, 4
+#: The rolling hash: its base and prime.
+BASE, PRIME = 31, 1_000_003
 LEAST_LINES = 2
 _KEY = ["doc", "row"]
 
@@ -38,9 +40,10 @@ def _held(df: DataFrame, **columns: Column) -> DataFrame:
 def with_chunks(docs: DataFrame) -> DataFrame:
     """docs (doc, row, text) with lines, and chunks: an array of (start, n, text), start being the first line's place from 0."""
     count = F.size("lines")
-    hashes = F.col("hashes")
-    roll = lambda i: (F.element_at(hashes, i) + BASE * _at(hashes, i - 1) + BASE * BASE * _at(hashes, i - 2)) % PRIME
-    ends = F.filter(F.sequence(F.lit(1), count), lambda i: (roll(i) % DIVISOR == 0) | (i == count))
+    hashes, rolls = F.col("hashes"), F.col("rolls")
+    rolled = F.transform(F.sequence(F.lit(1), count), lambda i: (F.element_at(hashes, i) + BASE * _at(hashes, i - 1)) % PRIME)
+    least = lambda i: (i > 1) & (F.element_at(rolls, i) < _at(rolls, i - 1)) & (F.element_at(rolls, i) <= F.try_element_at(rolls, i + 1))
+    ends = F.filter(F.sequence(F.lit(1), count), lambda i: (i == count) | least(i))
     # The lines between one end and the next.
     bounds = F.arrays_zip(F.concat(F.array(F.lit(0)), F.slice("ends", 1, F.size("ends") - 1)).alias("start"), F.col("ends").alias("end"))
     pieces = F.transform(
@@ -48,7 +51,7 @@ def with_chunks(docs: DataFrame) -> DataFrame:
         lambda b: F.struct(b["start"].alias("start"), (b["end"] - b["start"]).alias("n"), F.array_join(F.slice("lines", b["start"] + 1, b["end"] - b["start"]), "\n").alias("text")),
     )
     split = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    return _held(docs, lines=split, hashes=F.transform("lines", line_hash), ends=ends, bounds=bounds, chunks=pieces).drop("hashes", "ends", "bounds")
+    return _held(docs, lines=split, hashes=F.transform("lines", line_hash), rolls=rolled, ends=ends, bounds=bounds, chunks=pieces).drop("hashes", "rolls", "ends", "bounds")
 
 
 def _located(docs: DataFrame) -> DataFrame:
@@ -122,10 +125,11 @@ WITH lines AS (
 ), hashed AS (
   SELECT *, CAST('0x' || substr(md5(line), 1, 7) AS BIGINT) AS h FROM lines
 ), rolled AS (
-  SELECT *, (h + {BASE} * coalesce(lag(h, 1) OVER w, 0) + {BASE * BASE} * coalesce(lag(h, 2) OVER w, 0)) % {PRIME} % {DIVISOR} = 0 AS ends
-  FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+  SELECT *, (h + {BASE} * coalesce(lag(h) OVER w, 0)) % {PRIME} AS roll FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), ended AS (
+  SELECT *, coalesce(roll < lag(roll) OVER w AND roll <= lead(roll) OVER w, false) AS ends FROM rolled WINDOW w AS (PARTITION BY doc_id ORDER BY i)
 ), numbered AS (
-  SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM rolled
+  SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM ended
 ), chunks AS (
   SELECT doc_id, chunk, min(i) AS start, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS text FROM numbered GROUP BY 1, 2
 ), judged AS (
