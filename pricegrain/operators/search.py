@@ -53,11 +53,10 @@ def within_prices(offers: DataFrame, low: float | None, high: float | None) -> D
 
 def without_outliers(offers: DataFrame) -> DataFrame:
     """Of products with enough offers those near the median price; all, if none is near."""
-    per = offers.groupBy("product_id").agg(F.median("price").alias("_median"), F.count("*").alias("_n"))
+    per = Window.partitionBy("product_id")
+    counted = offers.withColumns({"_median": F.median("price").over(per), "_n": F.count("*").over(per)})
     near = F.col("price").between(F.col("_median") * OUTLIER_LOW, F.col("_median") * OUTLIER_HIGH)
-    joined = offers.join(per, "product_id").withColumn("_near", near)
-    some = F.max(F.col("_near").cast("int")).over(Window.partitionBy("product_id"))
-    return joined.withColumn("_some", some).where((F.col("_n") < OUTLIER_LEAST) | F.col("_near") | (F.col("_some") == 0)).select(*offers.columns)
+    return counted.withColumn("_near", near).withColumn("_some", F.max(F.col("_near").cast("int")).over(per)).where((F.col("_n") < OUTLIER_LEAST) | F.col("_near") | (F.col("_some") == 0)).select(*offers.columns)
 
 
 def capped(offers: DataFrame, most: int = MOST_OFFERS) -> DataFrame:

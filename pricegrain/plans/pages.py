@@ -232,3 +232,23 @@ def _feed(s: SparkSession, d: str) -> DataFrame:
 
 Q.add("s7_feed_offers", _feed, f"""SELECT id, p_name AS title, CASE p_partkey % 4 WHEN 0 THEN concat('https://shop.ca/p/', p_partkey) WHEN 1 THEN concat('https://walmart.ca/ip/', p_partkey) ELSE 'https://www.google.ca/shopping/1' END AS url,
   CASE WHEN p_size % 2 = 0 THEN 1100.5 + p_size ELSE p_size END::DOUBLE AS price, CASE p_partkey % 4 WHEN 0 THEN 'shop.ca' WHEN 1 THEN 'Walmart.ca' ELSE 'Costco.ca' END AS retailer FROM ({_PARTS}) WHERE p_partkey % 4 < 3 AND p_size % 9 <> 0""")
+Q.add("s8_merchant_feed", lambda s, d: sh.feed_offers(_feed_rows(s, d), need_link=True).select("id", "url", "price"), f"SELECT id, concat('https://shop.ca/p/', p_partkey) AS url, p_size::DOUBLE AS price FROM ({_PARTS}) WHERE p_partkey % 3 = 0")
+Q.add("s10_known_retailer_lows", lambda s, d: sh.known_retailer_lows(_feed_rows(s, d)), f"SELECT CASE p_partkey % 3 WHEN 1 THEN 'Costco.ca' ELSE 'Walmart.ca' END AS retailer, min(p_size)::DOUBLE AS price FROM ({_PARTS}) WHERE p_partkey % 3 > 0 GROUP BY 1")
+Q.add("a18_colour_union", lambda s, d: c.products(_coloured(s, d)).select("query_id", F.array_join("colours", ",").alias("colours")), """SELECT p_partkey // 3 AS query_id, array_to_string(list_filter(['Navy', CASE WHEN count(*) > 1 THEN 'Ice Blue' END, CASE WHEN count(*) > 2 THEN 'teal' END], lambda v: v IS NOT NULL), ',') AS colours FROM part GROUP BY 1""")
+Q.add("a23_fields_seen", lambda s, d: _parts(s, d, t=_SHOP).select(F.explode(sh.variants(F.col("t"), False)["fields"]).alias("field")).groupBy("field").agg(F.count("*").alias("n")), f"SELECT unnest(['product.id', 'product.title', 'product.variants', 'variant.barcode', 'variant.compare_at_price', 'variant.id', 'variant.price', 'variant.sku']) AS field, count(*) AS n FROM ({_PARTS}) GROUP BY 1")
+Q.add("j6_same_product", lambda s, d: _pairs(s, d), "SELECT p_partkey AS id, p_partkey % 6 IN (0, 3) AS value FROM part")
+
+
+def _feed_rows(s: SparkSession, d: str) -> DataFrame:
+    return _parts(s, d, title="p_name", link="CASE WHEN p_partkey % 3 = 0 THEN concat('https://shop.ca/p/', cast(p_partkey AS VARCHAR(9))) ELSE 'https://www.google.ca/shopping/1' END", product_link="cast(NULL AS VARCHAR(9))", price="cast(NULL AS VARCHAR(9))", extracted_price="cast(p_size AS DOUBLE)", source="CASE p_partkey % 3 WHEN 1 THEN 'Costco Canada' WHEN 2 THEN 'Walmart Canada - Seller' ELSE 'shop' END")
+
+
+def _coloured(s: SparkSession, d: str) -> DataFrame:
+    title = "CASE p_partkey % 3 WHEN 0 THEN 'Maker Alphaline navy' WHEN 1 THEN 'Maker Alphaline NAVY' ELSE 'Maker Alphaline' END"
+    own = "CASE p_partkey % 3 WHEN 1 THEN array('Ice Blue', 'navy') WHEN 2 THEN array('teal', 'ice blue') END"
+    return _parts(s, d, query_id="p_partkey div 3", seq="p_partkey % 3", founder="0", title=title, colours=own, retailer="'x'", retailer_key="cast(NULL AS VARCHAR(9))", price="1.0D")
+
+
+def _pairs(s: SparkSession, d: str) -> DataFrame:
+    other = """CASE p_partkey % 6 WHEN 0 THEN 'Alphaline Maker spinner 21 inch red Voyage' WHEN 1 THEN 'Maker Alphaline Voyage 28 inch' WHEN 2 THEN 'Other Alphaline Voyage' WHEN 3 THEN 'maker voyage alphaline with many further selling words here' WHEN 4 THEN 'Maker Alphaline Voyage Cover' ELSE 'Maker Basecamp' END""".replace("'Alphaline Maker spinner", "'Maker Alphaline spinner")
+    return _parts(s, d, a="'Maker Alphaline Voyage 21 inch'", b=other).select("id", c.same_product(c.identity(F.col("a")), c.identity(F.col("b"))).alias("value"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pricegrain.functions import text as x
 from pricegrain.functions import urls as u
+from pricegrain.functions.vocabulary import COLOUR_MODIFIERS, COLOURS
 from pricegrain.plans.registering import Queries
 from pricegrain.plans.roles import table
 
@@ -31,8 +32,12 @@ _add("x6_name_key", x.name_key, f"array_to_string(list_sort(list_distinct({_WORD
 _add("x7_size", x.size_of, r"""CASE WHEN regexp_extract(title, '(?i)\b(\d{2}(?:\.\d)?)\s*(?:"|''''|inch|inches|in\b)', 1) <> '' THEN regexp_extract(title, '(?i)\b(\d{2}(?:\.\d)?)\s*(?:"|''''|inch|inches|in\b)', 1) || ' inch'
   WHEN regexp_matches(title, '(?i)\bcarry[-\s]?on\b') THEN 'Carry-On' WHEN regexp_matches(title, '(?i)\bcheck(?:ed)?[-\s]?in\b') THEN 'Check-In' WHEN regexp_matches(title, '(?i)\bunderseat\b') THEN 'Underseat'
   WHEN regexp_matches(title, '(?i)\blarge\b') THEN 'Large' WHEN regexp_matches(title, '(?i)\bmedium\b') THEN 'Medium' WHEN regexp_matches(title, '(?i)\bsmall\b') THEN 'Small' ELSE '' END""")
-_add("x8_colour", x.colour_of, None)
-_add("x11_without_stores", x.without_stores, None)
+_COLOURS = "|".join(COLOURS)
+_BEFORE = f"regexp_extract(regexp_extract(title, '(?i)^(.*?)\\b({_COLOURS})\\b', 1), '([A-Za-z]+)\\s+$', 1)"
+_CAPITALS = "array_to_string(list_transform(string_split(lower({0}), ' '), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ')"
+_FIRST = f"regexp_extract(title, '(?i)\\b({_COLOURS})\\b', 1)"
+_add("x8_colour", x.colour_of, f"CASE WHEN {_FIRST} = '' THEN '' WHEN list_contains({list(COLOUR_MODIFIERS)}, lower({_BEFORE})) THEN {_CAPITALS.format(f'concat({_BEFORE}, chr(32), {_FIRST})')} ELSE {_CAPITALS.format(_FIRST)} END")
+_add("x11_without_stores", x.without_stores, "regexp_replace(title, ' Walmart\\.ca$', '')")
 _add("x13_broader", lambda c: F.array_join(x.broader(c), " | "), None, "query")
 _add("x14_with_category", x.with_category, "CASE WHEN regexp_matches(title, '(?i)\\b(luggage|carry[-\\s]?on|check[-\\s]?in)\\b') THEN title ELSE title || ' luggage' END")
 _add("x15_max_price", x.max_price, "CAST(regexp_extract(query, 'under \\$(\\d+)', 1) AS DOUBLE)", "query")
@@ -56,4 +61,8 @@ _url("f1_merchant", u.is_merchant, f"regexp_matches(url, '(?i)^https?://') AND {
 _url("f3_product_url", u.is_product_url, f"regexp_matches(url, '{u.PRODUCT_URL}') AND NOT regexp_matches(url, '{u.LISTING_URL}')")
 _url("f3_listing_url", u.is_listing_url, f"regexp_matches(url, '{u.LISTING_URL}') AND NOT regexp_matches(url, '{u.ONE_PRODUCT}')")
 _url("f2_canadian", lambda c: u.is_canadian(c, F.col("html")), f"{_HOST} <> '' AND ({_HOST} LIKE '%.ca' OR regexp_matches(url, '{u.CANADIAN_PATH}') OR regexp_matches(html, '{u.CAD_TEXT}'))")
-Q.add("u5_distinct_pages", lambda s, d: table(s, d, "pages").groupBy(u.canonical(F.col("url")).alias("address")).agg(F.min("page_id").alias("page_id")))
+Q.add(
+    "u5_distinct_pages",
+    lambda s, d: table(s, d, "pages").groupBy(u.canonical(F.col("url")).alias("address")).agg(F.min("page_id").alias("page_id")),
+    f"""SELECT regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '{u.TRACKING}', '', 'g'), '^([^?&]*)&', '\\1?'), '[?&]$', '') AS address, min(page_id) AS page_id FROM pages GROUP BY 1""",
+)
