@@ -2,12 +2,14 @@
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from pricegrain.functions import text, urls
-from pricegrain.operators import clusters, pages, state
+from pricegrain.functions import vocabulary as v
+from pricegrain.operators import clusters, decisions, pages, state
 from pricegrain.sources import crawling, jsons, shops, structured
 
 PRICES = [
@@ -245,3 +247,57 @@ def test_titles_slugs_and_colours(spark):
     assert value(text.refresh_query(F.lit("A"), F.lit(""), F.lit("n"))) == "A luggage" and value(text.refresh_query(F.lit(""), F.lit(None).cast("string"), F.lit("n"))) == "n luggage"
     assert value(text.numeric_id(F.lit("gid://x/11 "))) == "11" and value(text.research_query(F.lit(" bag "))) == "bag price"
     assert value(text.shorter_query(F.lit("samsonite"))) is None
+
+
+def plain_identity(title):
+    words = [re.sub(r'"+$', "", w).strip(".") for w in re.sub(r'[^a-z0-9\s".]', " ", title.lower()).split()]
+    colours = {w for c in v.COLOURS for w in c.split()} | set(v.COLOUR_MODIFIERS)
+    out = []
+    for w in words:
+        if not re.search("[a-z0-9]", w) or w in v.NOISE_WORDS or w in colours or w in out:
+            continue
+        if w.isdigit():
+            if not (len(w) == 2) and not re.fullmatch("1[4-9]|2[0-9]|3[0-4]", w):
+                out.append(w)
+        elif len(w) > 2:
+            out.append(w)
+    return out
+
+
+def plain_broader(query):
+    original = " ".join(query.split())
+    words = re.sub(r'[^\w\s".\-/]', " ", original).split()
+    bare = lambda w: re.sub('[".]', "", w.lower())
+    known = [w for w in words if bare(w) and bare(w) not in v.LADDER_COLOURS + v.LADDER_FILLER]
+    rungs = [original]
+    if len(words) <= 5:
+        rungs.append(" ".join(w for w in words if bare(w) not in v.LADDER_COLOURS))
+    rungs += [" ".join(known), " ".join(known[:3])]
+    if len(known) > 1:
+        rungs.append(f"{known[0]} luggage")
+    out = []
+    for r in rungs:
+        if r and r.lower() not in [o.lower() for o in out]:
+            out.append(r)
+    return out
+
+
+def test_identities_and_broader_queries_match_plain_python(spark):
+    rng = random.Random(9)
+    words = ["Samsonite", "outline", "PRO", '21"', "28", "3", "360", "black", "ice", "spinner", "hardside", "carry-on", "x", "a.b", "..", "medium", "Navy,", "set"]
+    titles = [" ".join(rng.choices(words, k=rng.randint(0, 9))) for _ in range(150)] + ["", "  two   spaces "]
+    df = spark.createDataFrame([(t,) for t in titles], "t string").select("t", text.identity_words(F.col("t")).alias("i"), text.broader(F.col("t")).alias("b"))
+    for r in df.collect():
+        assert r.i == plain_identity(r.t), r.t
+        assert r.b == plain_broader(r.t), r.t
+
+
+def test_decisions_on_odd_rows(spark):
+    offers = spark.createDataFrame([(1, " http://x ", "12.345", "R", None), (1, "ftp://x", "1", "R", "t"), (1, "http://x", "nan", "R", "t"), (1, "http://x", "100001", "R", "t"), (1, "http://x", "1", " ", "t"), (1, None, None, None, None)], "product_id int, url string, price string, retailer string, title string")
+    assert [(r.url, r.price, r.title) for r in decisions.valid_offers(offers).collect()] == [("http://x", 12.35, "R")]
+    one = spark.range(1)
+    for query, store in {"samsonite outline pro": "Samsonite.ca", "Briggs & Riley Baseline": "Briggs & Riley", "hardside luggage set under $400": None, "far away": "Away"}.items():
+        assert one.select(decisions.brand_store(F.lit(query)).alias("x")).first().x == store
+    rows = spark.createDataFrame([("a", True, -1.0), ("a", False, 1.0), ("b", True, 0.0)], "brand string, in_stock boolean, change double")
+    assert decisions.filtered(rows).count() == 3 and decisions.filtered(rows, "a", "out", "up").count() == 1 and decisions.filtered(rows, "all", "in", "flat").count() == 1
+    assert decisions.faceted(rows, brand="all").count() == 3 and decisions.faceted(rows, brand="b").count() == 1
