@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricegrain.llm import ann, decontam, langid, linededup, packing, secrets, simhash, substring, tokenfile, toxicity
-from pricegrain.llm.shared import held_out, shared_folder, table
+from pricegrain.llm.shared import delete_at_end, held_out, scratch, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,8 +62,9 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    path = scratch(spark, "tokens")
     tokenfile.write_tokens(table(spark, sf_dir, "documents"), path)
+    delete_at_end(spark, path)
     return tokenfile.token_digests(tokenfile.read_tokens(spark, path))
 
 
