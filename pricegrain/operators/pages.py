@@ -206,7 +206,7 @@ def colour_options(text: Column) -> Column:
 def details(df: DataFrame, text: str, title: str, to: str) -> DataFrame:
     """df with `to`: the specifications that the product's own part of the text states; a field is null where it says nothing."""
     df = held(df, _text=F.substring(F.coalesce(F.col(text), F.lit("")), 1, MOST_TEXT))
-    df = held(df, _text=F.expr("substring(_text, greatest(_at, 0) + 1)") if "_at" in df.columns else part(F.col("_text"), anchor(F.col("_text"), F.col(title)), F.length("_text")))
+    df = held(df, _text=part(F.col("_text"), anchor(F.col("_text"), F.col(title)), F.length("_text")))
     related = place(F.col("_text"), RELATED)
     df = held(df, _text=F.substring(F.concat(F.coalesce(F.col(title), F.lit("")), F.lit("\n"), F.when(related >= 0, part(F.col("_text"), F.lit(0), related)).otherwise(F.col("_text"))), 1, 25_000))
     t = F.col("_text")
@@ -236,7 +236,7 @@ def clean_title(title: Column) -> Column:
     parts = F.filter(F.transform(F.split(raw, TITLE_CUT), lambda x: F.trim(x)), lambda p: p != "")
     first, second, last = F.coalesce(F.try_element_at(parts, F.lit(1)), raw), F.try_element_at(parts, F.lit(2)), F.try_element_at(parts, F.lit(-1))
     short = second.isNotNull() & (F.size(F.split(first, r"\s+")) <= 3) & second.rlike(SECOND_HALF) & ~second.rlike(NOT_SECOND)
-    name = F.when((F.length(first) < 8) & second.isNotNull(), second).when((F.length(first) >= 8) & short, F.concat_ws(" ", first, second)).when((F.length(first) < 8), first).otherwise(first)
+    name = F.when((F.length(first) < 8) & second.isNotNull(), second).when(short, F.concat_ws(" ", first, second)).otherwise(first)
     name = F.regexp_replace(name, r"(?i)^Amazon\.(?:ca|com)\s*:\s*(?=.)", "")
     name = F.regexp_replace(F.regexp_replace(name, r"\s*(?:\.{3,}|…)\s*$", ""), MODEL_TAIL, "")
     site = F.when((F.size(parts) > 1) & last.rlike("(?i)[a-z]") & (F.length(last) <= 40), last)
