@@ -252,3 +252,16 @@ def _coloured(s: SparkSession, d: str) -> DataFrame:
 def _pairs(s: SparkSession, d: str) -> DataFrame:
     other = """CASE p_partkey % 6 WHEN 0 THEN 'Alphaline Maker spinner 21 inch red Voyage' WHEN 1 THEN 'Maker Alphaline Voyage 28 inch' WHEN 2 THEN 'Other Alphaline Voyage' WHEN 3 THEN 'maker voyage alphaline with many further selling words here' WHEN 4 THEN 'Maker Alphaline Voyage Cover' ELSE 'Maker Basecamp' END""".replace("'Alphaline Maker spinner", "'Maker Alphaline spinner")
     return _parts(s, d, a="'Maker Alphaline Voyage 21 inch'", b=other).select("id", c.same_product(c.identity(F.col("a")), c.identity(F.col("b"))).alias("value"))
+_AGENT = """concat('{"products":[{"id":"gid://shopify/Product/', cast(p_partkey AS VARCHAR(9)), '","title":"', p_name, '","variants":[{"id":"v","sku":"s","barcodes":[{"type":"UPC","value":"0', cast(p_partkey AS VARCHAR(9)), '"}],"price":{"amount":', cast(p_size AS VARCHAR(9)), '50,"currency":"CAD"},"availability":{"available":', CASE WHEN p_size % 2 = 0 THEN 'true' ELSE 'false' END, '}}]},{"id":"other"}]}')"""
+
+
+def _agent(s: SparkSession, d: str) -> DataFrame:
+    x = _parts(s, d, t=_AGENT).select("id", sh.agent_products(F.col("t")).alias("p"))
+    v = F.col("p")[0]["variants"][0]
+    return x.select("id", F.size("p").alias("n"), F.col("p")[0]["title"].alias("title"), v["price"].alias("price"), v["currency"].alias("currency"), v["barcode"].alias("barcode"), v["available"].alias("available"))
+
+
+Q.add("js4_agent_products", _agent, f"SELECT id, 1 AS n, p_name AS title, (p_size + 0.5)::DOUBLE AS price, 'CAD' AS currency, concat('0', p_partkey) AS barcode, p_size % 2 = 0 AS available FROM ({_PARTS})")
+Q.add("js5_meta_tags", lambda s, d: _parts(s, d, html=_LD).select("id", F.explode(st.meta_tags(F.col("html"))).alias("key", "value")), f"SELECT id, 'og:type' AS key, 'product' AS value FROM ({_PARTS}) UNION ALL SELECT id, 'og:price:amount', concat(p_partkey, '.5') FROM ({_PARTS})")
+Q.add("js2_product_nodes", lambda s, d: st.extracted(_parts(s, d, html=_LD)).select("id", F.size("products").alias("n"), "blocks"), f"SELECT id, CASE WHEN p_partkey % 4 < 3 THEN 1 ELSE 0 END AS n, 1 AS blocks FROM ({_PARTS})")
+Q.add("x9_colour_options", lambda s, d: _parts(s, d, text=_SPECS).select("id", F.array_join(p.colour_options(F.col("text")), ",").alias("value")), f"SELECT id, 'Ice Blue,Jet Black,Blue,Rose Gold' AS value FROM ({_PARTS})")

@@ -48,3 +48,34 @@ Q.add("z13_paced", lambda s, d: op.paced(_events(s, d).select("key", "seq", "mom
 Q.add("z2_live_entries", lambda s, d: op.live(_events(s, d).select("key", "seq", F.col("moment").alias("ts"), (F.col("moment") + F.when(F.col("units") > 0, 21600).otherwise(1800)).alias("expires_at")), F.lit(1_706_600_000)), """SELECT key, ts, expires_at FROM (
   SELECT key, moment AS ts, moment + CASE WHEN units > 0 THEN 21600 ELSE 1800 END AS expires_at FROM ev QUALIFY row_number() OVER (PARTITION BY key ORDER BY moment DESC, seq DESC) = 1) WHERE expires_at > 1706600000""")
 Q.add("z3_evicted", lambda s, d: op.evicted(_events(s, d).select("key", "seq", F.col("moment").alias("ts")), 300), "SELECT key, seq, moment AS ts FROM ev ORDER BY moment DESC, seq DESC LIMIT 300")
+
+
+def _ledger(s: SparkSession, d: str) -> DataFrame:
+    per = _events(s, d).groupBy("key").agg(F.count("*").alias("calls"), (F.count("*") % 5).alias("since"), F.count_if(F.col("units") == 6).alias("units"))
+    remote = per.where("key % 2 = 0").select("key", F.lit(60).cast("long").alias("calls"))
+    caps = per.where("key % 3 = 0").select("key", F.lit(70).cast("long").alias("cap"))
+    return op.ledger(per.select("key", "calls", "since"), remote, per.where("key % 5 = 0").select("key", "units"), 90, caps)
+
+
+Q.add("z7_ledger", _ledger, """, l AS (
+  SELECT key, count(*) AS calls, count(*) % 5 AS since, count(*) FILTER (units = 6) AS pending, CAST(key AS BIGINT) AS n FROM ev GROUP BY key
+), u AS (
+  SELECT key, CAST(greatest(calls, CASE WHEN n % 2 = 0 THEN 60 ELSE 0 END + since) + CASE WHEN n % 5 = 0 THEN pending ELSE 0 END AS BIGINT) AS used, CAST(CASE WHEN n % 3 = 0 THEN 70 ELSE 90 END AS BIGINT) AS cap FROM l
+)
+SELECT key, used, cap, greatest(cap - used, 0) AS remaining, cap - used BETWEEN 1 AND 25 AS low, cap <= used AS exhausted FROM u""")
+
+
+def _reads(s: SparkSession, d: str) -> DataFrame:
+    return _events(s, d).select(F.col("key").alias("host"), "moment", (F.col("seq") % 2 == 0).alias("thorough"), (~F.col("failed")).alias("ok"))
+
+
+Q.add("z11_blocked_hosts", lambda s, d: op.blocked_hosts(_reads(s, d), F.lit(1_706_600_000)), "SELECT key AS host, max(moment) + 43200 AS until FROM ev WHERE seq % 2 = 0 AND failed GROUP BY key HAVING max(moment) + 43200 > 1706600000")
+
+
+def _relaxed(s: SparkSession, d: str) -> DataFrame:
+    queries = table(s, d, "customer").select(F.col("c_custkey").alias("query_id"), F.array(F.col("c_name"), F.col("c_mktsegment"), F.lit("all")).alias("forms"))
+    answered = lambda asked: asked.where(F.col("query_id") % 4 <= F.col("rung")).select("query_id", (F.col("query_id") % 7).alias("hit"))
+    return op.relaxed(queries, F.col("forms"), answered)
+
+
+Q.add("z17_relaxed_queries", _relaxed, "SELECT c_custkey AS query_id, CAST(c_custkey % 4 AS INT) AS rung, CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN c_mktsegment ELSE 'all' END AS terms, c_custkey % 7 AS hit FROM customer WHERE c_custkey % 4 < 3")
