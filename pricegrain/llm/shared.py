@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 
@@ -17,7 +18,7 @@ LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (named or LOCAL_CHECKPOINTS).rstrip("/")
 

@@ -227,85 +227,84 @@ def words_digest(words: list[bytes], start: int, length: int) -> bytes:
     return hashlib.sha256(b" ".join(words[start : start + length])).digest()[:16]
 
 
-FACTORS = "array<struct<start:int,length:int,ref_doc:long,ref_row:long,ref_start:int,digest:binary>>"
-_FACTOR = pa.struct([("start", pa.int32()), ("length", pa.int32()), ("ref_doc", pa.int64()), ("ref_row", pa.int64()), ("ref_start", pa.int32()), ("digest", pa.binary())])
+PLACES = "array<struct<start:int,length:int>>"
+FACTORS = "array<struct<start:int,length:int,ref_doc:long,ref_row:long,ref_start:int>>"
+_FACTOR = pa.struct([("start", pa.int32()), ("length", pa.int32()), ("ref_doc", pa.int64()), ("ref_row", pa.int64()), ("ref_start", pa.int32())])
 
 
-def _parser(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parse each document into factors and plain words, and take the words in factors out."""
+def _factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parse each document: what is known of its windows becomes factors."""
     for batch in batches:
-        data, at = flat(batch.column("text"))
         found = batch.column("found")
-        cuts, pairs = found.offsets.to_numpy(), found.values
-        columns = [pairs.field(i).to_numpy() for i in range(5)]
-        kept, counts, gone, spans, parsed = [], [], [], [], []
+        cuts, columns = found.offsets.to_numpy(), [found.values.field(i).to_numpy() for i in range(5)]
+        own = [factors(list(zip(*(c[x:y].tolist() for c in columns), strict=True))) for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        lists = pa.array([[dict(zip(_FACTOR.names, f, strict=True)) for f in each] for each in own], pa.list_(_FACTOR))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), lists], ["doc_id", "row", "factors"])
+
+
+def _digests(words: list[bytes], places: pa.ListScalar) -> list[bytes]:
+    return [words_digest(words, p["start"], p["length"]) for p in places.as_py() or ()]
+
+
+def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Take the words in factors out of each text; also the digests of its factors, and of the places that factors of others refer to."""
+    for batch in batches:
+        data, at = flat(batch.column("text"))
+        own, asked = batch.column("factors"), batch.column("asked")
+        kept, counts, gone, spans, mine, answers = [], [], [], [], [], []
         for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
             words = data[a:b].tobytes().split()
-            known = [c[cuts[i] : cuts[i + 1]].tolist() for c in columns] if found[i].is_valid else []
-            own = factors(list(zip(*known, strict=True)))
             covered = np.zeros(len(words), bool)
-            for start, length, *_ in own:
-                covered[start : start + length] = True
+            for f in own[i].as_py() or ():
+                covered[f["start"] : f["start"] + f["length"]] = True
             edges = np.flatnonzero(np.diff(np.r_[False, covered, False].astype(np.int8)))
             spans.append([{"start": int(s), "end": int(e)} for s, e in zip(edges[::2], edges[1::2], strict=True)])
-            parsed.append([(*f, words_digest(words, f[0], f[1])) for f in own])
             counts.append(len(words))
             gone.append(int(covered.sum()))
             kept.append(b" ".join([w for w, c in zip(words, covered.tolist(), strict=True) if not c] if gone[-1] else words).decode())
-        rest = [batch.column(i) for i, name in enumerate(batch.schema.names) if name not in ("text", "found")]
-        lists = pa.array([[dict(zip(_FACTOR.names, f, strict=True)) for f in own] for own in parsed], pa.list_(_FACTOR))
-        yield pa.RecordBatch.from_arrays([*rest, pa.array(kept, pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), lists], ["rest", "doc_id", "row", "kept_text", "n_words", "n_removed", "spans", "factors"])
-
-
-def _reference_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(ref_doc, ref_row, ref_start, length, digest) of the places asked for in each text."""
-    for batch in batches:
-        data, at = flat(batch.column("text"))
-        asked = batch.column("asked")
-        cuts, pairs = asked.offsets.to_numpy(), asked.values
-        starts, lengths = pairs.field(0).to_numpy(), pairs.field(1).to_numpy()
-        of, digests = np.repeat(np.arange(batch.num_rows), np.diff(cuts)), []
-        for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
-            words = data[a:b].tobytes().split()
-            digests += [words_digest(words, s, n) for s, n in zip(starts[cuts[i] : cuts[i + 1]].tolist(), lengths[cuts[i] : cuts[i + 1]].tolist(), strict=True)]
-        places = slice(cuts[0], cuts[-1])
-        take = pa.array(of)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("row").take(take), pa.array(starts[places]), pa.array(lengths[places]), pa.array(digests, pa.binary())], ["ref_doc", "ref_row", "ref_start", "length", "digest"])
-
-
-_PLACES = ["ref_doc", "ref_row", "ref_start", "length"]
-
-
-def differing(docs: DataFrame, parsed: DataFrame) -> DataFrame:
-    """(doc_id, row) of documents with a factor whose words are not those of its reference.
-
-    Equal requests for a place of a reference are one, whoever makes them; the digests of the places are
-    written before they are joined, so that factors of a passage that many documents share can be split.
-    """
-    every = parsed.select("doc_id", "row", F.explode("factors").alias("f")).select("doc_id", "row", "f.*")
-    asked = every.select(*_PLACES).distinct().groupBy("ref_doc", "ref_row").agg(F.collect_list(F.struct("ref_start", "length")).alias("asked"))
-    asked = asked.select(F.col("ref_doc").alias("doc_id"), F.col("ref_row").alias("row"), "asked")
-    # Rows equal in doc_id and text are one reference.
-    texts = _keyed(docs).where("doc_id is not null").join(asked.hint("shuffle_hash"), ["doc_id", "row"]).select("doc_id", "row", "text", "asked")
-    there = texts.mapInArrow(_reference_digests, "ref_doc long, ref_row long, ref_start int, length int, digest binary")
-    there = written(there.groupBy(*_PLACES).agg(F.min("digest").alias("right")), "digests")
-    return every.join(there, _PLACES, "left").where("right is null or right <> digest").select("doc_id", "row").distinct()
+            mine.append(_digests(words, own[i]))
+            answers.append(_digests(words, asked[i]))
+        rest = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "text"]
+        made = [pa.array(kept, pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(mine, pa.list_(pa.binary())), pa.array(answers, pa.list_(pa.binary()))]
+        yield pa.RecordBatch.from_arrays([*rest, *made], [*(n for n in batch.schema.names if n != "text"), *OWN, "mine", "answers"])
 
 
 def parse(docs: DataFrame, salt: WordHash) -> DataFrame:
-    """(rest, doc_id, row, kept_text, n_words, n_removed, spans, factors) of every row, without the comparison of words.
+    """(rest, doc_id, row, factors, asked, kept_text, n_words, n_removed, spans, mine, answers) of every row, before words are compared.
 
-    rest holds the row's own columns.
+    rest holds the row's own columns; asked are the places in this text that factors of others refer to,
+    mine and answers the digests of its factors and of these places. Equal requests for a place are one.
+    Factors follow from what is known of windows alone, so that texts move once for all of this.
     """
     known, read = known_windows(docs, salt)
     found = known.groupBy("doc_id", "row").agg(F.collect_list(F.struct(*_FOUND[2:])).alias("found"))
-    kept = [c for c in docs.columns if c not in OWN]
-    keyed = docs.select(F.struct(*kept).alias("rest"), "doc_id", "text", F.xxhash64("text").alias("row"))
-    joined = keyed.join(found.hint("shuffle_hash"), ["doc_id", "row"], "left").select("rest", "doc_id", "row", "text", "found")
-    fields = T._parse_datatype_string(f"kept_text string, n_words long, n_removed long, spans array<struct<start:long,end:long>>, factors {FACTORS}").fields
-    out = written(joined.mapInArrow(_parser, T.StructType([*joined.schema.fields[:3], *fields])), "parse")
+    own = written(found.mapInArrow(_factors, f"doc_id long, row long, factors {FACTORS}"), "factors")
     forget(*read)
-    return out
+    places = own.select(F.explode("factors").alias("f")).select(F.col("f.ref_doc").alias("doc_id"), F.col("f.ref_row").alias("row"), F.col("f.ref_start").alias("start"), "f.length").distinct()
+    asked = places.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "length")).alias("asked"))
+    kept = [c for c in docs.columns if c not in OWN]
+    keyed = docs.select(F.struct(*kept).alias("rest"), "doc_id", F.xxhash64("text").alias("row"), "text")
+    both = own.join(asked, ["doc_id", "row"], "full")
+    joined = keyed.join(both.hint("shuffle_hash"), ["doc_id", "row"], "left").select("rest", "doc_id", "row", "text", "factors", F.col("asked").cast(PLACES).alias("asked"))
+    fields = T._parse_datatype_string("kept_text string, n_words long, n_removed long, spans array<struct<start:long,end:long>>, mine array<binary>, answers array<binary>").fields
+    schema = T.StructType([*(f for f in joined.schema.fields if f.name != "text"), *fields])
+    return written(joined.mapInArrow(_cutter, schema), "parse", compression="zstd")
+
+
+def differing(parsed: DataFrame) -> DataFrame:
+    """(doc_id, row) of documents with a factor whose words are not those of its reference.
+
+    The digests of the places are written before they are joined, so that factors of a passage that many
+    documents share can be split.
+    """
+    place = [F.col("p.asked.start").alias("ref_start"), F.col("p.asked.length").alias("length")]
+    there = parsed.select(F.col("doc_id").alias("ref_doc"), F.col("row").alias("ref_row"), F.explode(F.arrays_zip("asked", "answers")).alias("p"))
+    there = there.select("ref_doc", "ref_row", *place, F.col("p.answers").alias("digest"))
+    by = ["ref_doc", "ref_row", "ref_start", "length"]
+    there = written(there.groupBy(*by).agg(F.min("digest").alias("right")), "digests")
+    every = parsed.select("doc_id", "row", F.explode(F.arrays_zip("factors", "mine")).alias("f"))
+    every = every.select("doc_id", "row", *(F.col(f"f.factors.{c}").alias(c) for c in by), F.col("f.mine").alias("digest"))
+    return every.join(there, by, "left").where("right is null or right <> digest").select("doc_id", "row").distinct()
 
 
 OWN = ("kept_text", "n_words", "n_removed", "spans")
@@ -321,13 +320,14 @@ def deduplicate(docs: DataFrame, salt: WordHash = WordHash()) -> DataFrame:
     result. Columns of docs with these names are replaced.
     """
     done = parse(docs, salt)
-    wrong = written(differing(docs, done), "differing")
+    wrong = written(differing(done), "differing")
     while not wrong.isEmpty():
         salt = WordHash(salt.seed + 1)
-        again = parse(docs, salt).join(wrong.hint("shuffle_hash"), ["doc_id", "row"], "left_semi").select(*done.columns)
-        rest = done.join(wrong.hint("shuffle_hash"), ["doc_id", "row"], "left_anti").select(*done.columns)
-        done = written(rest.union(again), "parse")
-        wrong = written(differing(docs, done), "differing")
+        again = parse(docs, salt)
+        still = differing(again)
+        keys = ["doc_id", "row"]
+        done = written(done.join(wrong.hint("shuffle_hash"), keys, "left_anti").select(*again.columns).union(again.join(wrong.hint("shuffle_hash"), keys, "left_semi").select(*again.columns)), "parse", compression="zstd")
+        wrong = written(still.join(wrong, keys, "left_semi"), "differing")
     return done.select("rest.*", *OWN)
 
 

@@ -54,7 +54,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, encod
 
     encoding: "dictionary", or "delta" (binary packed differences). A null text is empty and has only
     the end id; a null doc_id comes first; rows with equal doc_ids stand in the order of their texts.
-    The ranges are balanced by number of documents; any one document is one row.
+    The ranges are balanced by number of documents; any one document is one row. Other columns are not
+    read; an empty table gives an empty one.
     """
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"encoding {encoding!r}")

@@ -143,6 +143,19 @@ def test_language_brings_only_kept_grams_to_the_driver(spark, frame, monkeypatch
     assert filters.languages == ["en"] and 0 < sum(x.num_rows for x in brought) < len(every) / 2
 
 
+def test_scores_of_tables_with_repeats_clashing_columns_and_long_texts(spark):
+    schema = "doc_id long, text string, lang string, score string, toxic string, n int"
+    rows = [(1, "the and of " * 40_000, "en", "s", "t", 1), (1, "the and of", "en", "s", "t", 1), (1, "the and of", "en", "s", "t", 1), (None, "der und", "de", "s", "t", 2), (2, None, None, "s", "t", 3)]
+    docs = spark.createDataFrame(rows, schema)
+    labels = spark.createDataFrame([(1, 0), (1, 1), (None, 1)], "doc_id long, toxic int")
+    filters = langid.fit(table(spark, SF, "documents"))
+    assert sorted((r.doc_id or 0, r.lang_pred) for r in langid.identify(docs, filters).collect()) == [(0, "de"), (1, "en"), (1, "en"), (1, "en"), (2, "und")]
+    assert langid.identify(docs.limit(0), filters).count() == 0
+    kept = toxicity.without_toxic(docs, labels)
+    assert kept.columns == docs.columns and kept.count() <= len(rows)
+    assert toxicity.score(docs, toxicity.fit(docs, labels)).count() == len(rows)
+
+
 def test_filters_hold_all_their_grams_for_many_languages():
     names = [f"l{i:03}" for i in range(130)]
     filters = langid.Filters(names, np.zeros((3, 1 << 12), np.uint64), np.zeros(130))

@@ -187,7 +187,7 @@ def test_substring_dedup_compares_words_and_parses_again_where_they_differ(frame
     rng = np.random.default_rng(3)
     rows = corpus + [(10_000 + i, " ".join(rng.choice(["a", "bb", "ccc", "d", "e"], 60))) for i in range(30)]
     weak = substring.WordHash(0, bits=1)
-    wrong = substring.differing(frame(rows), substring.parse(frame(rows), weak))
+    wrong = substring.differing(substring.parse(frame(rows), weak))
     assert wrong.count() > 5
     got = {r.doc_id: (r.kept_text, r.n_words, r.n_removed) for r in substring.deduplicate(frame(rows), weak).collect()}
     assert got == substrings(rows)
@@ -315,6 +315,40 @@ def test_token_files_have_page_indexes(spark, frame, corpus, tmp_path):
     assert column.has_column_index and column.has_offset_index
 
 
+@pytest.mark.parametrize("encoding", ["dictionary", "delta"])
+def test_token_files_are_encoded_as_asked_and_read_in_part(spark, frame, tmp_path, encoding):
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 300, 200))) for i in range(600)]
+    path = tmp_path / "tokens"
+    tokenfile.write_tokens(frame(rows), str(path), encoding=encoding, row_group_bytes=64 << 10, page_bytes=4 << 10)
+    files = [pq.ParquetFile(f) for f in path.glob("*.parquet")]
+    groups = [f.metadata.row_group(i) for f in files for i in range(f.metadata.num_row_groups)]
+    assert len(groups) > len(files)
+    leaf = next(i for i in range(groups[0].num_columns) if groups[0].column(i).path_in_schema.startswith("ids"))
+    used = {e for g in groups for e in g.column(leaf).encodings}
+    assert ("DELTA_BINARY_PACKED" in used) == (encoding == "delta") and (bool(used & {"PLAIN_DICTIONARY", "RLE_DICTIONARY"})) == (encoding == "dictionary")
+    # Row groups lie in order of doc_id, so that statistics leave out all but those that may hold a document.
+    for f in files:
+        spans = [f.metadata.row_group(i).column(0).statistics for i in range(f.metadata.num_row_groups)]
+        assert all(a.max <= b.min for a, b in zip(spans, spans[1:]))  # noqa: B905
+    one = tokenfile.read_tokens(spark, str(path)).where("doc_id = 77").select("n_tokens")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(doc_id,77)" in plan and "ids" not in plan.split("ReadSchema")[1].split("\n")[0] and one.count() == 1
+
+
+def test_token_files_of_odd_tables(spark, tmp_path):
+    schema = "doc_id long, text string, ids string, part string"
+    docs = spark.createDataFrame([(None, "a b", "x", "y"), (1, None, "x", "y"), (1, "c", "x", "y"), (1, "c", "x", "y")], schema)
+    for name, rows in (("odd", docs), ("none", docs.limit(0))):
+        tokenfile.write_tokens(rows, str(tmp_path / name))
+    got = tokenfile.token_digests(tokenfile.read_tokens(spark, str(tmp_path / "odd"))).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, 1, 1, 1] and got[1].n_tokens == 1
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(4)]
+    assert tokenfile.token_digests(tokenfile.read_tokens(spark, str(tmp_path / "none"))).count() == 0
+
+
 def check_packing(rows, capacity):
     by_doc, by_bin = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -539,3 +573,16 @@ def test_stages_keep_clashing_columns(spark):
     assert sorted(map(tuple, linededup.without_repeated_lines(docs).collect())) == sorted(map(tuple, docs.collect()))
     bench = spark.createDataFrame([(1, "zzz")], "item_id long, text string")
     assert sorted(map(tuple, decontam.without_contaminated(docs, bench).collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error(spark):
+    from types import SimpleNamespace
+
+    from pricegrain.llm.shared import LOCAL_CHECKPOINTS, shared_folder
+
+    session = lambda master, folder: SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder), sparkContext=SimpleNamespace(master=master))
+    assert shared_folder(session("local[2]", None)) == LOCAL_CHECKPOINTS == shared_folder(session("local", None))
+    assert shared_folder(session("yarn", "hdfs://x/y/")) == "hdfs://x/y"
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_folder(session(master, None))
