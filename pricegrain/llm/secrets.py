@@ -363,7 +363,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Field:
     found = written(known.mapInArrow(partial(_candidates, sample=sample), "doc_id long, draw long, may_hold boolean"), "candidates")
     parts = [found.where(F.col("may_hold") == hot).orderBy("draw", "doc_id").limit(sample).select("doc_id") for hot in (True, False)]
     keys = parts[0].union(parts[1]).distinct()
-    rows = docs.select("doc_id", "text").join(F.broadcast(keys), "doc_id").select("text").mapInArrow(_sequences, "features array<int>, tags array<byte>").toArrow()
+    # Of several texts of one doc_id the least counts, so that the sample stays as small as it is said to be.
+    drawn = docs.select("doc_id", "text").join(F.broadcast(keys), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).orderBy("doc_id")
+    rows = drawn.select("text").mapInArrow(_sequences, "features array<int>, tags array<byte>").toArrow()
     width = len(SIZES)
     features, tags = rows.column("features").combine_chunks(), rows.column("tags").combine_chunks()
     cuts = tags.offsets.to_numpy()
