@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricegrain.llm import ann, decontam, langid, linededup, packing, secrets, simhash, substring, tokenfile, toxicity
+from pricegrain.llm import ann, decontam, infill, langid, linededup, mixing, negatives, packing, secrets, simhash, substring, tokenfile, toxicity
 from pricegrain.llm.shared import delete_at_end, held_out, scratch, table
 
 
@@ -68,6 +68,22 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_digests(tokenfile.read_tokens(spark, path))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.infilled(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
@@ -79,5 +95,8 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_secrets": op9_secrets,
     "op10_token_files": op10_token_files,
+    "op11_mixing": op11_mixing,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_infill": op13_infill,
 }
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": linededup.SQL, "op5_substring_dedup": substring.SQL}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": linededup.SQL, "op5_substring_dedup": substring.SQL, "op11_mixing": mixing.SQL, "op12_hard_negatives": negatives.SQL, "op13_infill": infill.SQL}
