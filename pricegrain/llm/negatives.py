@@ -31,7 +31,7 @@ PART, BLOCK, LEAF = 32_768, 8_192, 256
 FIRST = 16
 #: Up to so many labels in a node it is cut between labels, else by place.
 FEW_LABELS = 32
-_EXACT = float(1 << 53)
+_EXACT, _LONG = float(1 << 53), (1 << 63) - 1
 
 
 @dataclass
@@ -91,9 +91,9 @@ class Asked:
     same: bool
 
 
-def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products: in doubles where none can reach 2 ** 53, else of Python's integers."""
-    if np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * a.shape[1] < _EXACT:
+def _products(a: np.ndarray, b: np.ndarray, kind: type) -> np.ndarray:
+    """Exact inner products: doubles, where none can reach 2 ** 53, or of Python's integers (object)."""
+    if kind is float:
         return a @ b.T
     whole = [np.array([[int(x) for x in r] for r in m], object).reshape(m.shape) for m in (a, b)]
     return whole[0] @ whole[1].T
@@ -102,8 +102,10 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def search(tree: Tree, asked: Asked, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(search, id, score) of the k best rows of each search in a tree, higher scores and then smaller ids first; some more may come."""
     norms = np.sqrt((asked.rows**2).sum(1))
-    kth = asked.least.copy()
-    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, kth.dtype)]
+    small = np.abs(asked.rows).max(initial=0) * np.abs(tree.rows).max(initial=0) * tree.rows.shape[1] < _EXACT
+    kind = float if small else object
+    low, high, kth = (x.astype(kind) for x in (asked.low, asked.high, asked.least))
+    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, kind)]
     waiting = [(tree.root, np.arange(len(asked.ids)))]
     while waiting:
         node, who = waiting.pop()
@@ -113,7 +115,7 @@ def search(tree: Tree, asked: Asked, k: int) -> tuple[np.ndarray, np.ndarray, np
         center, reach = asked.rows[who] @ node.center, norms[who] * node.radius
         slack = 1e-9 * (norms[who] * np.sqrt((node.center**2).sum()) + reach) + 1e-6
         with np.errstate(invalid="ignore"):
-            out = (center + reach + slack < np.maximum(asked.low[who], kth[who])) | (center - reach - slack > asked.high[who])
+            out = (center + reach + slack < np.maximum(low[who], kth[who])) | (center - reach - slack > high[who])
         who = who[~out.astype(bool)]
         if not len(who):
             continue
@@ -126,11 +128,9 @@ def search(tree: Tree, asked: Asked, k: int) -> tuple[np.ndarray, np.ndarray, np
             continue
         part = slice(node.first, node.end)
         ids, labels = tree.ids[part], tree.labels[part]
-        scores = _products(asked.rows[who], tree.rows[part])
-        if scores.dtype == object and held[2].dtype != object:
-            held[2], kth = held[2].astype(object), kth.astype(object)
+        scores = _products(asked.rows[who], tree.rows[part], kind)
         counts = (labels == asked.labels[who, None]) if asked.same else (labels != asked.labels[who, None])
-        counts &= (ids != asked.ids[who, None]) & (scores >= asked.low[who, None]).astype(bool) & (scores <= asked.high[who, None]).astype(bool)
+        counts &= (ids != asked.ids[who, None]) & (scores >= low[who, None]).astype(bool) & (scores <= high[who, None]).astype(bool)
         scores = np.where(counts, scores, -np.inf)
         limit = kth[who]
         if len(ids) > k:
@@ -174,10 +174,10 @@ def _searcher(k: int, same: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
                 continue
             number = lambda t, c: t.column(c).to_numpy()
             tree = Tree(number(r, "vec_id").copy(), number(r, "label").copy(), _quantised(r.column("embedding")))
-            bound = lambda c, d: np.nan_to_num(number(a, c).astype(np.float64), nan=d, posinf=np.inf, neginf=-np.inf)
-            asked = Asked(number(a, "vec_id"), number(a, "label"), _quantised(a.column("embedding")), bound("low", -np.inf), bound("high", np.inf), bound("least", -np.inf), same)
+            bound = lambda c, none: a.column(c).fill_null(none).to_numpy()
+            asked = Asked(number(a, "vec_id"), number(a, "label"), _quantised(a.column("embedding")), bound("low", -_LONG - 1), bound("high", _LONG), bound("least", -_LONG - 1), same)
             of, ids, scores = search(tree, asked, k)
-            found = pa.array([max(-(1 << 63), min((1 << 63) - 1, int(s))) for s in scores] if scores.dtype == object else scores.astype(np.int64), pa.int64())
+            found = pa.array([max(-_LONG - 1, min(_LONG, int(s))) for s in scores] if scores.dtype == object else scores.astype(np.int64), pa.int64())
             out.append(pa.Table.from_arrays([pa.array(asked.ids[of]), pa.array(number(a, "window")[of]), pa.array(ids), found], schema=kind))
         return pa.concat_tables(out)
 
@@ -229,13 +229,13 @@ def mine(rows: DataFrame, is_anchor: Column, positives: int = POSITIVES, negativ
     one = known.groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min(F.struct(F.col("label").cast("long").alias("label"), "embedding")).alias("row"))
     one = written(one.select("vec_id", "row.*", is_anchor.alias("anchor")), "vectors")
     anchors, rows = one.where("anchor").drop("anchor"), one.drop("anchor")
-    unbounded = F.lit(None).cast("double")
+    unbounded = F.lit(None).cast("long")
     asked = anchors.withColumns({"window": F.lit(0).cast("long"), "low": unbounded, "high": unbounded})
     found = written(_searched(rows, asked, positives, True).select("anchor_id", F.col("vec_id").alias("positive_id"), F.col("score").alias("window")), "positives")
     # One search for each score that a positive has: its window's bounds are whole numbers.
-    window = F.col("window")
-    scores = found.select(F.col("anchor_id").alias("vec_id"), "window").distinct().where(window * low <= window * high)
-    bounds = {"low": F.ceil(window * low / 100).cast("double"), "high": F.floor(window * high / 100).cast("double")}
+    window = F.col("window").cast("decimal(20,0)")
+    bounds = {"low": F.ceil(window * low / 100).cast("long"), "high": F.floor(window * high / 100).cast("long")}
+    scores = found.select(F.col("anchor_id").alias("vec_id"), "window").distinct().where(bounds["low"] <= bounds["high"])
     worst = _searched(rows, anchors.join(scores, "vec_id").withColumns(bounds), negatives, False)
     out = found.join(worst, ["anchor_id", "window"])
     return out.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("vec_id").alias("negative_id"), F.col("window").alias("positive_score"), F.col("score").alias("negative_score"))
