@@ -171,7 +171,7 @@ def test_negatives_of_large_numbers_and_of_few_rows(spark):
 def test_nodes_out_of_the_window_are_not_searched(monkeypatch):
     monkeypatch.setattr(negatives, "LEAF", 32)
     rng = np.random.default_rng(2)
-    rows = np.floor(rng.normal(size=(4000, 4)) * 50)
+    rows = np.floor(rng.normal(size=(4000, 2)) * 50)
     tree = negatives.Tree(np.arange(4000), np.zeros(4000, np.int64), rows.copy())
     asked = negatives.Asked(np.array([-1]), np.array([1]), rows[:1].copy(), np.array([100]), np.array([2000]), np.array([-(1 << 63)]), False)
     reached, exact = [], negatives._products
