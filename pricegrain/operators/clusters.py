@@ -7,13 +7,20 @@ one, so these groups are not the components of a graph.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import heapq
+import math
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pricegrain.functions import text
 from pricegrain.functions.numbers import cents, containment, jaccard
 from pricegrain.functions.vocabulary import RETAILERS
 from pricegrain.operators.pages import held
+from pricegrain.operators.rows import rare_first
 
 #: Overlap that makes two titles one product: of all words, or of the shorter title's if it has enough of them.
 SAME_WORDS, CONTAINED, CONTAINED_LEAST = 0.6, 0.85, 3
@@ -45,27 +52,102 @@ def same_product(a: Column, b: Column, by_colour: bool = False) -> Column:
     return ~conflict & (shared > 0) & alike
 
 
+class _Founders:
+    """The founders of one part of a search, in order, under their words.
+
+    A title that is one product with another shares enough of the shorter one's words (as similar.py says
+    it), so a title is compared only with founders that have one of its rarest words, or one of whose
+    rarest words it has; these come in the order of founding, until one fits.
+    """
+
+    def __init__(self, by_colour: bool):
+        self.by_colour = by_colour
+        self.founders: list[tuple] = []
+        self.all: dict[str, list[int]] = {}
+        self.first: dict[str, list[int]] = {}
+        self.known: dict[tuple, int] = {}
+
+    def home(self, seq: int, e: dict) -> int:
+        words = [w["word"] for w in e["ranked"] or []]
+        one = (frozenset(words), frozenset(e["sizes"]), frozenset(e["numbers"]), e["brand"], e["accessory"], e["size"], e["colour"])
+        found = self.known.get(one)
+        if found is None:
+            found = self._search(one, words)
+            if found is None:
+                found = len(self.founders)
+                self.founders.append((seq, one))
+                for w in words:
+                    self.all.setdefault(w, []).append(found)
+                for w in words[: _looked_at(len(words))]:
+                    self.first.setdefault(w, []).append(found)
+            if words:
+                self.known[one] = found
+        return self.founders[found][0]
+
+    def _search(self, one: tuple, words: list[str]) -> int | None:
+        lists = [self.all[w] for w in words[: _looked_at(len(words))] if w in self.all] + [self.first[w] for w in words if w in self.first]
+        last = -1
+        for i in heapq.merge(*lists):
+            if i != last and self._fits(self.founders[i][1], one):
+                return i
+            last = i
+        return None
+
+    def _fits(self, a: tuple, b: tuple) -> bool:
+        """same_product() of two identities as tuples."""
+        if (a[3] and b[3] and a[3] != b[3]) or a[4] != b[4] or (self.by_colour and a[6] != b[6]):
+            return False
+        if any(x and y and x.isdisjoint(y) for x, y in ((a[1], b[1]), (a[2], b[2]))):
+            return False
+        shared, least = len(a[0] & b[0]), min(len(a[0]), len(b[0]))
+        if not shared:
+            return False
+        alike = shared / (len(a[0]) + len(b[0]) - shared) >= SAME_WORDS
+        return alike or (shared >= CONTAINED_LEAST and shared / least >= CONTAINED) or (a[5] != "" and a[5] == b[5] and shared >= 2 and shared == least)
+
+
+def _looked_at(n: int) -> int:
+    """Of n words, rarest first, how many hold a word of every title that shares SAME_WORDS of them."""
+    return n - math.ceil(n * SAME_WORDS - 1e-9) + 1 if n else 0
+
+
+def _homes(by_colour: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, founders = None, _Founders(by_colour)
+        for batch in batches:
+            keys, homes = batch.column("_key").to_pylist(), []
+            for key, seq, e in zip(keys, batch.column("seq").to_pylist(), batch.column("_e").to_pylist(), strict=True):
+                if key != part:
+                    part, founders = key, _Founders(by_colour)
+                homes.append(founders.home(seq, e))
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("seq"), pa.array(homes, batch.schema.field("seq").type)], ["query_id", "seq", "founder"])
+
+    return run
+
+
 def clusters(offers: DataFrame, by_colour: bool = False, brand: str | None = None) -> DataFrame:
     """offers with founder: the seq of the offer that founded their group, within each query_id.
 
-    Two brands are never one product, so a search is cut by brand and each part folded by itself; only
-    where a title names no brand at all, and so may join any, a search stays whole. A part is one row
-    with its offers' identities, small structs, as a fold needs their order.
+    Two brands are never one product, so a search is cut by brand; offers whose titles name no brand but
+    have a number share a part with the brands that have one of these numbers. Within a part an order
+    is followed: its offers come sorted, a batch at a time, and its founders are what is kept of them. So
+    a large search costs memory for its different products, and time in proportion to its offers.
     """
     hint = F.lit(brand) if brand is not None else None
-    rows = held(offers, _id=identity(text.without_stores(F.coalesce("title", F.lit(""))), hint))
-    whole = F.max((F.col("_id.brand") == "").cast("int")).over(Window.partitionBy("query_id"))
-    rows = rows.withColumn("_part", F.when(whole == 1, "").otherwise(F.col("_id.brand")))
-    parts = rows.groupBy("query_id", "_part").agg(F.array_sort(F.collect_list(F.struct("seq", "_id"))).alias("log"))
-    start = F.struct(F.slice("log", 1, 0).alias("founders"), F.array().cast(f"array<{dict(offers.dtypes)['seq']}>").alias("homes"))
-
-    def step(state: Column, e: Column) -> Column:
-        home = F.try_element_at(F.filter(state["founders"], lambda f: same_product(f["_id"], e["_id"], by_colour)), F.lit(1))["seq"]
-        founders = F.when(home.isNull(), F.concat(state["founders"], F.array(e))).otherwise(state["founders"])
-        return F.struct(founders.alias("founders"), F.concat(state["homes"], F.array(F.coalesce(home, e["seq"]))).alias("homes"))
-
-    folded = parts.select("query_id", F.inline(F.arrays_zip(F.col("log.seq").alias("seq"), F.aggregate("log", start, step)["homes"].alias("founder"))))
-    return offers.join(folded, ["query_id", "seq"])
+    rows = held(offers.select("query_id", "seq", "title"), _id=identity(text.without_stores(F.coalesce("title", F.lit(""))), hint)).drop("title")
+    # Numbers of titles that name no brand, and the brands with such a number.
+    number = lambda some: some.select("query_id", F.col("_id.brand").alias("brand"), F.explode("_id.numbers").alias("number"))
+    open_ = number(rows.where(F.col("_id.brand") == "")).select("query_id", "number").distinct()
+    joined = number(rows.where(F.col("_id.brand") != "")).join(open_, ["query_id", "number"], "left_semi").select("query_id", "brand").distinct().withColumn("_joined", F.lit(True))
+    rows = rows.withColumn("brand", F.col("_id.brand")).join(joined, ["query_id", "brand"], "left")
+    rows = rows.withColumn("_part", F.when(F.col("_joined"), "").otherwise(F.col("brand"))).drop("brand", "_joined")
+    ranked = rare_first(rows, ["query_id"], "seq", F.col("_id.words"))
+    full = rows.join(ranked, ["query_id", "seq"], "left")
+    e = F.struct("ranked", *(F.col("_id")[n].alias(n) for n in ("brand", "accessory", "size", "colour", "sizes", "numbers")))
+    dealt = full.select(F.struct("query_id", "_part").alias("_key"), "query_id", "seq", e.alias("_e")).repartition("_key").sortWithinPartitions("_key", "seq")
+    kinds = {f.name: f.dataType for f in offers.schema}
+    schema = T.StructType([T.StructField("query_id", kinds["query_id"]), T.StructField("seq", kinds["seq"]), T.StructField("founder", kinds["seq"])])
+    return offers.join(dealt.mapInArrow(_homes(by_colour), schema), ["query_id", "seq"])
 
 
 def _of_kind(key: Column, category: str) -> Column:

@@ -1,4 +1,4 @@
-"""One row for each key, by partial aggregation and not by sorting whole groups."""
+"""One row for each key, by partial aggregation and not by sorting whole groups; and words by how rare they are."""
 
 from __future__ import annotations
 
@@ -21,3 +21,10 @@ def first_per(df: DataFrame, keys: list[str], order: list[Column | str]) -> Data
 
 def last_per(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     return _one(df, keys, order, F.max)
+
+
+def rare_first(rows: DataFrame, group: list[str], key: str, words: Column) -> DataFrame:
+    """(group, key, ranked) of rows with any word: their words as (n, word), n being how many rows of the group have it; rarest first."""
+    each = rows.select(*group, key, F.explode(F.array_distinct(words)).alias("word"))
+    counts = each.groupBy(*group, "word").agg(F.count("*").alias("n"))
+    return each.join(counts, [*group, "word"]).groupBy(*group, key).agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("ranked"))

@@ -12,13 +12,13 @@ from pricegrain.plans.registering import Queries
 from pricegrain.plans.roles import table
 
 _TAIL = "CASE p_size % 5 WHEN 0 THEN ' inch Carry-On' WHEN 1 THEN ' Large Check-In' WHEN 2 THEN ' ice Blue TSA lock' WHEN 3 THEN ' Luggage Cover' ELSE ' rose gold Walmart.ca' END"
-_TITLE = f"concat(p_brand, ' ', p_name, ' ', p_type, ' ', cast(p_size + 10 AS VARCHAR(9)), {_TAIL})"
+TITLE = f"concat(p_brand, ' ', p_name, ' ', p_type, ' ', cast(p_size + 10 AS VARCHAR(9)), {_TAIL})"
 _QUERY = "concat(p_name, ' under $', cast(p_size * 100 AS VARCHAR(9)), ' luggage')"
-Q = Queries(f"WITH titles AS (SELECT p_partkey AS id, {_TITLE} AS title, {_QUERY} AS query FROM part)")
+Q = Queries(f"WITH titles AS (SELECT p_partkey AS id, {TITLE} AS title, {_QUERY} AS query FROM part)")
 
 
 def _titles(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "part").select(F.col("p_partkey").alias("id"), F.expr(_TITLE).alias("title"), F.expr(_QUERY).alias("query"))
+    return table(s, d, "part").select(F.col("p_partkey").alias("id"), F.expr(TITLE).alias("title"), F.expr(_QUERY).alias("query"))
 
 
 def _add(name: str, column, sql: str | None, of: str = "title") -> None:  # noqa: ANN001

@@ -301,3 +301,64 @@ def test_decisions_on_odd_rows(spark):
     rows = spark.createDataFrame([("a", True, -1.0), ("a", False, 1.0), ("b", True, 0.0)], "brand string, in_stock boolean, change double")
     assert decisions.filtered(rows).count() == 3 and decisions.filtered(rows, "a", "out", "up").count() == 1 and decisions.filtered(rows, "all", "in", "flat").count() == 1
     assert decisions.faceted(rows, brand="all").count() == 3 and decisions.faceted(rows, brand="b").count() == 1
+
+
+def nested(depth, rng, leaf):
+    """leaf under so many entities of any kind, each with other things beside it."""
+    for _ in range(depth):
+        kind = rng.choice(["mainEntity", "itemListElement", "item", "@graph", "list"])
+        leaf = [{"@type": "Thing"}, leaf] if kind == "list" else {"@type": ["WebPage", 3], kind: leaf, "other": {"@type": "Product", "name": "not walked"}}
+    return leaf
+
+
+def walked(value, found):
+    """The rule in plain words, by recursion."""
+    if isinstance(value, list):
+        for v_ in value:
+            walked(v_, found)
+    elif isinstance(value, dict):
+        walked(value.get("@graph"), found)
+        kinds = value.get("@type")
+        if {"Product", "ProductGroup", "IndividualProduct"} & {k for k in (kinds if isinstance(kinds, list) else [kinds]) if isinstance(k, str)}:
+            found.append(value["name"])
+        else:
+            for k in ("mainEntity", "itemListElement", "item"):
+                walked(value.get(k), found)
+
+
+def page_of(value):
+    return f'<script type="application/ld+json">{json.dumps(value)}</script>'
+
+
+def test_products_are_found_at_any_depth_in_the_order_of_the_text(spark):
+    rng = random.Random(5)
+    product = lambda i: {"@type": rng.choice(["Product", ["ProductGroup"], "IndividualProduct"]), "name": f"p{i}", "mainEntity": {"@type": "Product", "name": "inside"}}
+    values = [nested(d, rng, product(d)) for d in range(0, 51)] + [nested(400, rng, product(400))]
+    values.append([nested(rng.randint(0, 6), rng, [product(f"{i}a"), product(f"{i}b")]) for i in range(20)])
+    values.append({"@type": "Product", "name": "outer", "@graph": [product("g")]})
+    got = {r.id: [p.name for p in r.products] for r in structured.extracted(spark.createDataFrame([(i, page_of(x)) for i, x in enumerate(values)], "id int, html string")).collect()}
+    for i, value in enumerate(values):
+        want: list = []
+        walked(value, want)
+        assert got[i] == want and want, i
+
+
+def test_variants_offers_and_odd_values_of_structured_data(spark):
+    chain = {"@type": "ProductGroup", "name": "top", "hasVariant": [{"sku": 1, "hasVariant": [{"sku": 2.0, "hasVariant": [{"sku": "3"}]}, {"sku": 4}]}, {"sku": 5}, "none", None, []]}
+    nest = {"@type": "Product", "name": {"name": {"name": " deep "}}, "brand": ["no"], "sku": True, "gtin": " ", "isbn": "none", "size": 1.5, "offers": {"@type": ["AggregateOffer"], "lowPrice": None, "price": "1.2.3", "highPrice": "9 $", "offers": [{"@type": "AggregateOffer", "lowPrice": 3, "offers": {"price": "call us"}}, {"price": " "}, 7, None]}}
+    specs = {"@type": "Product", "name": "\ud800x", "offers": [{"priceSpecification": [{"price": "12"}, {"price": 15, "priceCurrency": "CAD"}, {"priceType": "MSRP", "price": 20}]}, {"price": 5, "seller": {"name": "s"}, "availability": "in", "url": "u", "priceValidUntil": "d", "priceSpecification": {"priceType": "x"}}]}
+    pages_ = [page_of(chain), page_of(nest), page_of(specs), page_of(chain) * 2 + "<script type='application/ld+json'>NaN</script>" + page_of("text") + '<script type="application/ld+json"></script>', None, page_of({"@type": "Product"})]
+    frame = spark.createDataFrame([(i, h, "own") for i, h in enumerate(pages_)], "id int, html string, meta string")
+    got = {r.id: r for r in structured.extracted(frame).collect()}
+    top = got[0].products[0]
+    assert [(x.sku, x.within) for x in top.variants] == [("1", None), ("2", 1), ("3", 2), ("4", 1), ("5", None), (None, None)]
+    odd = got[1].products[0]
+    assert (odd.name, odd.brand, odd.sku, odd.gtin, odd.size) == ("deep", None, None, "none", "1.5")
+    assert [(o.price, o.list_price) for o in odd.offers] == [(None, 9.0), (3.0, None), (0.0, None), (None, None)]
+    first, second = got[2].products[0].offers
+    assert (first.price, first.currency, first.list_price) == (12.0, "CAD", 20.0)
+    assert (second.price, second.seller, second.availability, second.url, second.valid_until, second.list_price) == (5.0, "s", "in", "u", "d", None)
+    assert got[2].products[0].name == "�x"
+    assert (got[3].blocks, got[3].parse_errors, len(got[3].products)) == (5, 2, 2)
+    assert (got[4].blocks, got[4].products, got[4].meta) == (0, [], {}) and got[5].products[0].name is None
+    assert structured.extracted(frame.limit(0)).count() == 0
