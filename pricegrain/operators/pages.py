@@ -21,7 +21,7 @@ LOW, HIGH, MOST_TEXT, LIST_TEXT, LIST_PRICES = 15.0, 6000.0, 60_000, 12_000, 8
 # Shapes of amounts, and what stands around those that are the price, or are not.
 NUMBER = r"(?:\d{1,3}(?:,\d{3})+|\d{1,6})"
 LEADING = rf"(?:CA\$|C\$|CAD\s?\$?|US\$|USD\s?\$?|\$)\s?{NUMBER}(?:\.\d{{1,2}})?(?!\d)"
-TRAILING = rf"{NUMBER}\.\d{{2}}\s?(?:CAD|USD)\b"
+TRAILING = rf"{NUMBER}\.\d{{2}}\s?(?:CAD|USD)(?!\w)"
 FRENCH = "(?:\\d{1,3}(?:[   ]\\d{3})+|\\d{1,6}),\\d{2}\\s?\\$"
 NEGATIVE_BEFORE = r"(?iu)(?:\bto|\d\s*[-–—]|save|you save|savings|off|reg\.?|regular(?: price)?|was|compare at|compared at|list price|list|original price|msrp|orders?(?: of| over)?|spend|over|shipping|delivery|gift card|coupon|rebate|reward|points|deposit|as low as|up to|payments? of|installments? of|valued at|value|économisez|prix courant|prix régulier|avant)\s*[:\-–]?\s*\z"
 NEGATIVE_AFTER = r"(?iu)^\s*(?:(?:to|[-–—])\s*(?:CA\$|C\$|CAD|\$)\s?\d|/\s*(?:mo|month|wk|week|yr)\b|per\s+(?:mo|month|week|year)\b|a\s+month\b|monthly\b|x\s*\d|×\s*\d|off\b|savings?\b|discount\b|or more\b|and up\b|\+|/mois\b|par mois\b|de rabais\b)"
@@ -50,7 +50,7 @@ MOST_COLOURS, MOST_SPOTS, MOST_TOKENS = 12, 20, 6
 
 AMOUNT = rf"{LEADING}|{TRAILING}|{FRENCH}"
 #: A code that ends one amount begins no other.
-_SCANNED = rf"(?:{LEADING}|(?:{TRAILING})(?:\s?\$?\s?{NUMBER}(?:\.\d{{1,2}})?(?!\d))?|{FRENCH})"
+SCANNED = rf"(?:{LEADING}|(?:{TRAILING})(?:\s?\$?\s?{NUMBER}(?:\.\d{{1,2}})?(?!\d))?|{FRENCH})"
 _CUT = "\u0001"
 
 
@@ -80,7 +80,7 @@ def amount_value(amount: Column) -> Column:
 
 def amounts(text: Column) -> Column:
     """All amounts of a text, from left to right, without overlaps."""
-    pieces = F.split(F.regexp_replace(text, f"({_SCANNED})", f"{_CUT}$1{_CUT}"), _CUT)
+    pieces = F.split(F.regexp_replace(text, f"({SCANNED})", f"{_CUT}$1{_CUT}"), _CUT)
     sizes = F.transform(pieces, F.length)
     # Two by two: what stands before an amount, and the amount.
     nth = F.when(F.size(pieces) > 1, F.sequence(F.lit(1), F.size(pieces) - 1, F.lit(2))).otherwise(F.array().cast("array<int>"))

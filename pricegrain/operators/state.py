@@ -1,31 +1,41 @@
 """State machines over event logs, as windows where the state is a sum and as ordered folds where it is not.
 
-Events have key, seq and ts or moment. A fold takes one key's events in order of seq, in one pass over a
-group that Spark has gathered and sorted; a key's log must fit a task, and logs are cut by period (the
-key holds it) as quotas are.
+Events have key, seq and ts or moment. A fold takes one key's events in order of seq, from sorted batches:
+what is kept of a log is its state, so that a long one needs no memory of its own, and one task's time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+_KINDS = {"boolean": pa.bool_(), "int": pa.int32(), "long": pa.int64()}
 
-def folded(events: DataFrame, added: str, start: Callable[[], list], step: Callable[[list, dict], tuple], key: str = "key") -> DataFrame:
-    """events with the columns `added`: what step(state, event) returns for each, as it changes the key's state in order of seq."""
-    names = [c.split()[0] for c in added.split(",")]
 
-    def one(log: pd.DataFrame) -> pd.DataFrame:
-        log = log.sort_values("seq", kind="stable")
-        state = start()
-        rows = [step(state, e) for e in log.to_dict("records")]
-        return log.assign(**{n: [r[i] for r in rows] for i, n in enumerate(names)})
+def folded(events: DataFrame, added: str, start: Callable[[], list], step: Callable[..., tuple], uses: list[str], key: str = "key", order: tuple[str, ...] = ("seq",)) -> DataFrame:
+    """events with the columns `added`: what step(state, *uses) returns for each, as it changes the key's state in order.
+
+    A null key is a key; an empty log gives an empty result.
+    """
+    fields = [c.split() for c in added.split(",")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: object = run
+        state: list = []
+        for batch in batches:
+            rows = []
+            for k, *values in zip(*(batch.column(c).to_pylist() for c in (key, *uses)), strict=True):
+                if k != at:
+                    at, state = k, start()
+                rows.append(step(state, *values))
+            made = [pa.array([r[i] for r in rows], _KINDS[kind]) for i, (_, kind) in enumerate(fields)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *(n for n, _ in fields)])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields), added])
-    return events.groupBy(key).applyInPandas(one, schema)
+    return events.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
 def bounded_counter(events: DataFrame, step: int = 5) -> DataFrame:
@@ -66,15 +76,21 @@ def empty_pauses(events: DataFrame, limit: int = 3, pause: int = 86_400) -> Data
     Calls in a pause are not made; cached answers say nothing.
     """
 
-    def step(state: list, e: dict) -> tuple:
-        skipped = e["moment"] < state[1]
-        if not skipped and not e["cached"]:
-            state[0] = state[0] + 1 if e["empty"] else 0
+    return folded(events, "skipped boolean, streak int, paused_until long", lambda: [0, 0], pause_step(limit, pause), ["moment", "empty", "cached"])
+
+
+def pause_step(limit: int, pause: int) -> Callable[..., tuple]:
+    """The step of empty_pauses() on a state [streak, until]."""
+
+    def step(state: list, moment: int, empty: bool, cached: bool) -> tuple:
+        skipped = moment < state[1]
+        if not skipped and not cached:
+            state[0] = state[0] + 1 if empty else 0
             if state[0] >= limit:
-                state[:] = [0, e["moment"] + pause]
+                state[:] = [0, moment + pause]
         return skipped, state[0], state[1]
 
-    return folded(events, "skipped boolean, streak int, paused_until long", lambda: [0, 0], step)
+    return step
 
 
 def live(cache: DataFrame, now: Column) -> DataFrame:
@@ -95,8 +111,7 @@ def quota(events: DataFrame, limit: int, most: int = 5) -> DataFrame:
     `most`: what it refuses is not counted, and lets the call through. The key holds the period.
     """
 
-    def step(state: list, e: dict) -> tuple:
-        units = e["units"]
+    def step(state: list, units: int) -> tuple:
         if abs(units) > most:
             return True, state[0]
         state[0] = max(0, state[0] + units)
@@ -105,7 +120,7 @@ def quota(events: DataFrame, limit: int, most: int = 5) -> DataFrame:
             return False, state[0]
         return True, state[0]
 
-    return folded(events, "allowed boolean, total long", lambda: [0], step)
+    return folded(events, "allowed boolean, total long", lambda: [0], step, ["units"])
 
 
 def ledger(local: DataFrame, remote: DataFrame, pending: DataFrame, cap: int, remote_caps: DataFrame) -> DataFrame:
@@ -121,6 +136,22 @@ def ledger(local: DataFrame, remote: DataFrame, pending: DataFrame, cap: int, re
     return shown.select("*", left.alias("remaining"), low_budget(left), (left == 0).alias("exhausted"))
 
 
+def budget_report(usage: DataFrame, allowances: DataFrame) -> DataFrame:
+    """(period, provider, label, used, cap, remaining, exhausted, low, note) from a table of one column a provider.
+
+    usage: period, and the calls of each provider in a column of its name. allowances: provider, label, cap,
+    monthly, and counted, the provider's own count or null. The larger count holds; a provider without an
+    allowance has no row, and one not used in a period zero calls.
+    """
+    providers = [c for c in usage.columns if c != "period"]
+    rows = usage.unpivot(["period"], providers, "provider", "calls").join(allowances, "provider")
+    used = F.greatest(F.coalesce("calls", F.lit(0)), F.coalesce("counted", F.lit(0))).cast("long")
+    note = F.when(F.col("counted").isNotNull(), "Stops before the limit").when(F.col("monthly"), "Starts again each month").otherwise("Given once")
+    shown = rows.select("period", "provider", "label", used.alias("used"), F.col("cap").cast("long").alias("cap"), note.alias("note"))
+    left = F.greatest(F.col("cap") - F.col("used"), F.lit(0))
+    return shown.select("period", "provider", "label", "used", "cap", left.alias("remaining"), (left == 0).alias("exhausted"), low_budget(left), "note")
+
+
 def low_budget(remaining: Column, few: int = 25) -> Column:
     return ((remaining <= few) & (remaining > 0)).alias("low")
 

@@ -120,6 +120,42 @@ def classify(rows: DataFrame) -> DataFrame:
     return rows.withColumn("section", section)
 
 
+#: The ways in which a list of tracked products is sorted; unknown prices come last, never checked ones first.
+SORTS = {
+    "name": ("name",), "price-asc": (F.asc_nulls_last, "lowest_price"), "price-desc": (F.desc_nulls_last, "lowest_price"), "drop": ("change",),
+    "recent": (F.desc_nulls_last, "tracked_at"), "stale": (F.asc_nulls_first, "last_checked"),
+}
+
+
+def client_order(by: str) -> list[Column]:
+    """The order columns of a way to sort; equal rows keep the order of product_id."""
+    *how, column = SORTS[by]
+    return [how[0](column) if how else F.asc(column), F.asc("product_id")]
+
+
+def report_lists(rows: DataFrame, offers: DataFrame, most: int = 5) -> DataFrame:
+    """(user_id, list, product_id, retailer, amount) of the lists of each user's report.
+
+    rows: user_id, product_id, lowest_price, lowest_retailer, previous_low, change, alert_enabled, target_price.
+    drops and increases have the change of products whose earlier low is known, out_of_stock the offers
+    that are not in stock, lowest the `most` lowest prices, alerts the prices at or under their targets. A list is
+    read by amount, then product_id.
+    """
+    cheapest = F.row_number().over(Window.partitionBy("user_id").orderBy("lowest_price", "product_id"))
+    entry = lambda df, name, amount, retailer="lowest_retailer": df.select("user_id", F.lit(name).alias("list"), "product_id", F.col(retailer).alias("retailer"), F.col(amount).cast("double").alias("amount"))
+    moved = rows.where("lowest_price is not null and previous_low is not null")
+    gone = rows.select("user_id", "product_id").join(offers.where("not in_stock").select("product_id", "retailer", "price"), "product_id")
+    reached = rows.where("coalesce(alert_enabled, true) and lowest_price <= target_price")
+    lists = [
+        entry(moved.where("change < 0"), "drops", "change"), entry(moved.where("change > 0"), "increases", "change"), entry(gone, "out_of_stock", "price", "retailer"),
+        entry(rows.where("lowest_price is not null").withColumn("_n", cheapest).where(F.col("_n") <= most), "lowest", "lowest_price"), entry(reached, "alerts", "lowest_price"),
+    ]
+    out = lists[0]
+    for one in lists[1:]:
+        out = out.unionByName(one)
+    return out
+
+
 def stalest_first(rows: DataFrame, n: int) -> DataFrame:
     """The next n to refresh: never checked first, then the longest ago."""
     return rows.orderBy(F.asc_nulls_first("last_checked"), "product_id").limit(n)

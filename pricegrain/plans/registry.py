@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pricegrain.plans import pages, search, small, state, text, titles, tracking
+from pricegrain.plans import documents, pages, search, small, state, text, titles, tracking
 
-_PARTS = [tracking.Q, search.Q, state.Q, text.Q, pages.Q, small.Q, titles.Q]
+_PARTS = [tracking.Q, search.Q, state.Q, text.Q, pages.Q, small.Q, titles.Q, documents.Q, documents.T]
 QUERIES = {name: query for part in _PARTS for name, query in part.queries.items()}
 ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.sql.items()}

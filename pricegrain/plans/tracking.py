@@ -16,7 +16,7 @@ Q = Queries(roles.SQL)
 USER, PRODUCT = 7, 11
 
 
-def _rows(spark: SparkSession, d: str) -> DataFrame:
+def tracked_rows(spark: SparkSession, d: str) -> DataFrame:
     return op.tracked_products(roles.products(spark, d), roles.offers(spark, d), roles.history(spark, d), roles.tracked(spark, d))
 
 
@@ -25,7 +25,7 @@ def _recent(spark: SparkSession, d: str, days: int = 365) -> DataFrame:
     return op.since(roles.history(spark, d).crossJoin(F.broadcast(day)), F.col("as_of"), days).drop("as_of")
 
 
-Q.add("tracked_products", _rows, "SELECT * FROM rows")
+Q.add("tracked_products", tracked_rows, "SELECT * FROM rows")
 Q.add("s1_tracked_of_user", lambda s, d: roles.tracked(s, d).where(F.col("user_id") == USER), f"SELECT * FROM tracked WHERE user_id = {USER}")
 Q.add(
     "s2_history_of_user",
@@ -89,7 +89,7 @@ Q.add(
     "SELECT product_id, coalesce(last_checked, DATE '1970-01-01') AS last_checked FROM products LEFT JOIN summary USING (product_id)",
 )
 Q.add("a8_distinct_retailers", lambda s, d: op.of_products(roles.offers(s, d), roles.tracked(s, d)).agg(F.countDistinct("retailer").alias("retailers")), "SELECT count(DISTINCT retailer) AS retailers FROM offers WHERE product_id IN (SELECT product_id FROM tracked)")
-Q.add("a9_change_counts", lambda s, d: op.change_counts(_rows(s, d)), "SELECT count(*) FILTER (change < 0) AS drops, count(*) FILTER (change > 0) AS rises, min(change) FILTER (change < 0) AS best_drop, min(last_checked) AS stalest FROM rows")
+Q.add("a9_change_counts", lambda s, d: op.change_counts(tracked_rows(s, d)), "SELECT count(*) FILTER (change < 0) AS drops, count(*) FILTER (change > 0) AS rises, min(change) FILTER (change < 0) AS best_drop, min(last_checked) AS stalest FROM rows")
 Q.add(
     "a10_facets",
     lambda s, d: roles.products(s, d).select(F.explode(F.array(F.struct(F.lit("brand").alias("facet"), F.trim("brand").alias("value")), F.struct(F.lit("type").alias("facet"), F.trim("model").alias("value")), F.struct(F.lit("size").alias("facet"), F.col("size").cast("string").alias("value")))).alias("f")).select("f.*").where("value <> ''").distinct(),
@@ -99,10 +99,10 @@ Q.add("a11_families", lambda s, d: op.families(roles.products(s, d)), "SELECT lo
 Q.add("a12_products_per_user", lambda s, d: op.per_user(roles.tracked(s, d)), "SELECT user_id, count(DISTINCT product_id) AS products FROM tracked GROUP BY 1")
 Q.add(
     "a13_job_summary",
-    lambda s, d: roles.tracked(s, d).join(_rows(s, d), "product_id").groupBy("user_id").agg(F.count("*").alias("checked"), F.count_if(F.col("change") != 0).alias("updated"), F.count_if(~F.col("in_stock")).alias("failed")).agg(F.sum("checked").alias("checked"), F.sum("updated").alias("updated"), F.sum("failed").alias("failed"), F.count("*").alias("users")),
+    lambda s, d: roles.tracked(s, d).join(tracked_rows(s, d), "product_id").groupBy("user_id").agg(F.count("*").alias("checked"), F.count_if(F.col("change") != 0).alias("updated"), F.count_if(~F.col("in_stock")).alias("failed")).agg(F.sum("checked").alias("checked"), F.sum("updated").alias("updated"), F.sum("failed").alias("failed"), F.count("*").alias("users")),
     "SELECT CAST(count(*) AS BIGINT) AS checked, CAST(count(*) FILTER (change <> 0) AS BIGINT) AS updated, CAST(count(*) FILTER (NOT in_stock) AS BIGINT) AS failed, count(DISTINCT user_id) AS users FROM tracked JOIN rows USING (product_id)",
 )
-Q.add("a14_refresh_summary", lambda s, d: _rows(s, d).agg(F.count_if(F.col("previous_low").isNotNull()).alias("updated"), F.count_if(F.col("change") < 0).alias("drops"), F.greatest(F.lit(0), F.count("*") - 8).alias("remaining")), "SELECT count(*) FILTER (previous_low IS NOT NULL) AS updated, count(*) FILTER (change < 0) AS drops, greatest(0, count(*) - 8) AS remaining FROM rows")
+Q.add("a14_refresh_summary", lambda s, d: tracked_rows(s, d).agg(F.count_if(F.col("previous_low").isNotNull()).alias("updated"), F.count_if(F.col("change") < 0).alias("drops"), F.greatest(F.lit(0), F.count("*") - 8).alias("remaining")), "SELECT count(*) FILTER (previous_low IS NOT NULL) AS updated, count(*) FILTER (change < 0) AS drops, greatest(0, count(*) - 8) AS remaining FROM rows")
 Q.add("a15_median", lambda s, d: roles.offers(s, d).groupBy("product_id").agg(F.median("price").alias("median")), "SELECT product_id, median(price) AS median FROM offers GROUP BY 1")
 Q.add(
     "a16_upper_median",
@@ -111,7 +111,7 @@ Q.add(
 )
 Q.add("a28_best_offer", lambda s, d: op.best_offers(roles.offers(s, d)), "SELECT * FROM best")
 Q.add("w1_previous_low", lambda s, d: op.previous_low(roles.history(s, d)), "SELECT * FROM previous")
-Q.add("w2_change", lambda s, d: _rows(s, d).select("product_id", "change", F.when(F.abs("change") < 0.005, "flat").when(F.col("change") < 0, "down").otherwise("up").alias("trend")), "SELECT product_id, change, CASE WHEN abs(change) < 0.005 THEN 'flat' WHEN change < 0 THEN 'down' ELSE 'up' END AS trend FROM rows")
+Q.add("w2_change", lambda s, d: tracked_rows(s, d).select("product_id", "change", F.when(F.abs("change") < 0.005, "flat").when(F.col("change") < 0, "down").otherwise("up").alias("trend")), "SELECT product_id, change, CASE WHEN abs(change) < 0.005 THEN 'flat' WHEN change < 0 THEN 'down' ELSE 'up' END AS trend FROM rows")
 Q.add(
     "w5_last_points",
     lambda s, d: op.last_points(op.daily_low(roles.history(s, d))),
@@ -130,15 +130,15 @@ Q.add(
 )
 Q.add("r3_pivot", lambda s, d: op.pivot_series(roles.history(s, d), [str(i) for i in range(1, 6)]), "SELECT date, " + ", ".join(f'min(price) FILTER (retailer = {i}) AS "{i}"' for i in range(1, 6)) + " FROM history GROUP BY 1")
 Q.add("t1_offers_by_price", lambda s, d: roles.offers(s, d).withColumn("place", F.row_number().over(Window.partitionBy("product_id").orderBy("price", "seq"))).select("product_id", "retailer", "place"), "SELECT product_id, retailer, row_number() OVER (PARTITION BY product_id ORDER BY price, seq)::INT AS place FROM offers")
-Q.add("t5_stalest_first", lambda s, d: op.stalest_first(_rows(s, d), 8).select("product_id", "last_checked"), "SELECT product_id, last_checked FROM rows ORDER BY last_checked NULLS FIRST, product_id LIMIT 8")
+Q.add("t5_stalest_first", lambda s, d: op.stalest_first(tracked_rows(s, d), 8).select("product_id", "last_checked"), "SELECT product_id, last_checked FROM rows ORDER BY last_checked NULLS FIRST, product_id LIMIT 8")
 Q.add(
     "t6_report",
-    lambda s, d: op.classify(_rows(s, d)).where("section = 'drop'").orderBy("change", "product_id").limit(5).select("product_id", "change").withColumn("list", F.lit("drops")).unionByName(_rows(s, d).orderBy("lowest_price", "product_id").limit(5).select("product_id", F.col("lowest_price").alias("change"), F.lit("lowest").alias("list"))),
+    lambda s, d: op.classify(tracked_rows(s, d)).where("section = 'drop'").orderBy("change", "product_id").limit(5).select("product_id", "change").withColumn("list", F.lit("drops")).unionByName(tracked_rows(s, d).orderBy("lowest_price", "product_id").limit(5).select("product_id", F.col("lowest_price").alias("change"), F.lit("lowest").alias("list"))),
     "(SELECT product_id, change, 'drops' AS list FROM rows WHERE in_stock AND change < 0 ORDER BY change, product_id LIMIT 5) UNION ALL (SELECT product_id, lowest_price AS change, 'lowest' AS list FROM rows ORDER BY lowest_price, product_id LIMIT 5)",
 )
 Q.add(
     "t7_client_sorts",
-    lambda s, d: roles.tracked(s, d).select("user_id", "product_id").join(_rows(s, d), "product_id").select(
+    lambda s, d: roles.tracked(s, d).select("user_id", "product_id").join(tracked_rows(s, d), "product_id").select(
         "user_id",
         "product_id",
         F.row_number().over(Window.partitionBy("user_id").orderBy("name", "product_id")).alias("by_name"),
@@ -149,15 +149,15 @@ Q.add(
     """SELECT user_id, product_id, row_number() OVER (PARTITION BY user_id ORDER BY name, product_id)::INT AS by_name, row_number() OVER (PARTITION BY user_id ORDER BY lowest_price NULLS LAST, product_id)::INT AS by_price,
     row_number() OVER (PARTITION BY user_id ORDER BY lowest_price DESC NULLS LAST, product_id)::INT AS by_price_down, row_number() OVER (PARTITION BY user_id ORDER BY change, product_id)::INT AS by_drop FROM tracked JOIN rows USING (product_id)""",
 )
-Q.add("f14_client_filters", lambda s, d: decide.filtered(_rows(s, d), "Brand#11", "in", "down").select("product_id", "change"), "SELECT product_id, change FROM rows WHERE brand = 'Brand#11' AND in_stock AND change < 0")
+Q.add("f14_client_filters", lambda s, d: decide.filtered(tracked_rows(s, d), "Brand#11", "in", "down").select("product_id", "change"), "SELECT product_id, change FROM rows WHERE brand = 'Brand#11' AND in_stock AND change < 0")
 Q.add("f15_facet_filters", lambda s, d: decide.faceted(roles.products(s, d), model="all", size=10).select("product_id", "model"), "SELECT product_id, model FROM products WHERE size = 10")
-Q.add("f19_price_alerts", lambda s, d: op.alerts(_rows(s, d), roles.tracked(s, d)), "SELECT user_id, t.product_id, lowest_price, target_price FROM tracked t JOIN rows r USING (product_id) WHERE alert_enabled AND lowest_price <= target_price")
+Q.add("f19_price_alerts", lambda s, d: op.alerts(tracked_rows(s, d), roles.tracked(s, d)), "SELECT user_id, t.product_id, lowest_price, target_price FROM tracked t JOIN rows r USING (product_id) WHERE alert_enabled AND lowest_price <= target_price")
 Q.add(
     "f27_change_badge",
-    lambda s, d: _rows(s, d).select("product_id", F.when(F.abs("change") < 0.005, "=").when(F.col("change") < 0, "-").otherwise("+").alias("badge"), numbers.cents(F.abs("change")).alias("amount")),
+    lambda s, d: tracked_rows(s, d).select("product_id", F.when(F.abs("change") < 0.005, "=").when(F.col("change") < 0, "-").otherwise("+").alias("badge"), numbers.cents(F.abs("change")).alias("amount")),
     "SELECT product_id, CASE WHEN abs(change) < 0.005 THEN '=' WHEN change < 0 THEN '-' ELSE '+' END AS badge, floor(abs(change) * 100 + 0.5) / 100 AS amount FROM rows",
 )
-Q.add("n7_target_default", lambda s, d: _rows(s, d).select("product_id", numbers.target_default(F.col("lowest_price")).alias("target")), "SELECT product_id, CAST(floor(lowest_price * 0.9) AS BIGINT) AS target FROM rows")
+Q.add("n7_target_default", lambda s, d: tracked_rows(s, d).select("product_id", numbers.target_default(F.col("lowest_price")).alias("target")), "SELECT product_id, CAST(floor(lowest_price * 0.9) AS BIGINT) AS target FROM rows")
 Q.add("u6_first_owner", lambda s, d: op.first_owner(roles.tracked(s, d)), "SELECT product_id, min(user_id) AS user_id FROM tracked GROUP BY 1")
 
 

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import SparkSession
 
+#: Where intermediate files go if the session names no spark.checkpoint.dir and runs on this machine alone, as in tests.
+LOCAL_FILES = "file:///tmp/pricegrain"
+
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A local session: UTC, adaptive execution, as many shuffle partitions as asked for.
@@ -23,3 +29,14 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf:
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the driver and all executors share, deleted when the driver ends."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    path = f"{(shared or LOCAL_FILES).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
