@@ -14,17 +14,6 @@ from pyspark.sql import functions as F
 #: Used only where the session names no spark.checkpoint.dir and runs on this machine alone, as in tests.
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
 
-#: Bytes of an Arrow batch, about: of long texts the usual number of rows is tens of megabytes, several times over in the JVM and in Python.
-BATCH_BYTES = 8 << 20
-_BATCH, _UNSET = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Keep the session's Arrow batches to BATCH_BYTES, unless it has a bound of its own."""
-    if spark.conf.get(_BATCH) == _UNSET:
-        spark.conf.set(_BATCH, str(BATCH_BYTES))
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -51,7 +40,6 @@ def delete_at_end(spark: SparkSession, path: str) -> None:
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """df as a table in the shared folder: later reads neither recompute it nor need its executors."""
     spark = df.sparkSession
-    bound_batches(spark)
     path = scratch(spark, name)
     df.write.options(**options).parquet(path)
     delete_at_end(spark, path)
@@ -68,7 +56,6 @@ def forget(*tables: DataFrame) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
