@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pricegrain.llm.shared import byte_table, flat, forget, runs, word_spans, written
+from pricegrain.llm.shared import byte_table, flat, forget, kept_for, runs, word_spans, written
 
 WINDOW = 10
 #: Bytes of benchmark text in one automaton: it takes some 25 bytes of memory for each of them, which is what is broadcast.
@@ -195,6 +195,7 @@ _OWN = ("n_words", "n_hit", "marks", "items")
 
 def _scanner(broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_for("decontamination")
         automaton = broadcast.value
         for batch in batches:
             data, at = flat(batch.column("text"))

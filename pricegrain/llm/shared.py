@@ -14,6 +14,19 @@ from pyspark.sql import functions as F
 #: Used only where the session names no spark.checkpoint.dir and runs on this machine alone, as in tests.
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
 
+_KEPT: dict[str, dict] = {}
+
+
+def kept_for(operator: str) -> dict:
+    """What this Python worker keeps from one task of an operator to the next; what it kept for others goes.
+
+    Spark gives a worker tasks of many stages, and their tables would add up otherwise.
+    """
+    if _KEPT.keys() - {operator}:
+        _KEPT.clear()
+    return _KEPT.setdefault(operator, {})
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share."""
     named = spark.conf.get("spark.checkpoint.dir", None)

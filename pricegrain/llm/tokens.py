@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import gc
 import os
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from pricegrain.llm.shared import kept_for
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 END_ID = 2
 #: Pieces kept in the memo; beyond them only those of the texts at hand stay. This bounds memory only, results don't depend on it.
@@ -149,6 +150,10 @@ class Encoder:
         return ids, np.add.reduceat(n, at, dtype=np.int64)
 
 
-@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    """The encoder of a vocabulary file, which a worker keeps while it has tasks that need one."""
+    kept = kept_for("tokens")
+    if path not in kept:
+        kept.clear()
+        kept[path] = Encoder(path)
+    return kept[path]

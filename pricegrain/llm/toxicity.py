@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pricegrain.llm.features import fold_table, grams
-from pricegrain.llm.shared import flat, forget, held_out, runs, written
+from pricegrain.llm.shared import flat, forget, held_out, kept_for, runs, written
 
 SIZES = (3, 4, 5, 6, 7, 8)
 BITS = 20
@@ -66,6 +66,7 @@ def _present(column: pa.Array, used: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(feature, toxic, clean): in how many toxic and clean texts of this partition each feature is present."""
+    kept_for("toxicity")
     toxic, clean, every = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64), np.ones(1 << BITS, bool)
     for batch in batches:
         label = batch.column("toxic").to_numpy() == 1
@@ -79,6 +80,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _chosen(broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_for("toxicity")
         used = broadcast.value
         for batch in batches:
             text, feature = _present(batch.column("text"), used)
@@ -148,6 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
 
 def _scorer(broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_for("toxicity")
         model = broadcast.value
         used = model.weights != 0
         for batch in batches:
