@@ -4,6 +4,10 @@ Two fingerprints of 64 bits that differ in at most three bits are cut into two s
 one of these then differs in at most one bit. (For at most five bits it is three segments, and so on.)
 Each segment is indexed under its variants in which one bit is a wildcard, so both fingerprints meet in
 some variant by equality; the whole fingerprints are then compared.
+
+Sets of shingles that are 0.8 similar differ in more bits than that more often than not. So where
+similar documents are dropped, least hashes of the same shingles bring candidates too, and every
+candidate of either kind is judged by its shingles themselves.
 """
 
 from __future__ import annotations
@@ -14,11 +18,11 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricegrain.llm.components import components
-from pricegrain.llm.shared import BLANK, flat, forget, partitions, written
+from pricegrain.llm.shared import BLANK, flat, forget, kept_for, partitions, written
 
 SEED = 42
 SHINGLE = 3
@@ -26,6 +30,12 @@ MAX_BITS = 3
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _FOLD = bytes(32 if c in BLANK else b for c, b in enumerate(_LOWER))
 _LANES = np.uint64(0x0101010101010101)
+#: Bands of least hashes, and how many make one: sets that are 0.8 similar share one of these bands with a probability of 0.986.
+BANDS, IN_BAND = 14, 6
+#: How many documents that share bands with one are compared with it.
+HEADS = 3
+_ODD = np.random.default_rng(SEED).integers(1 << 62, dtype=np.uint64, size=(BANDS * IN_BAND, 1)) * np.uint64(2) + np.uint64(1)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_hashes(text: bytes, size: int = SHINGLE, seed: int = SEED) -> list[int]:
@@ -59,22 +69,47 @@ def fingerprint(hashes: list[int]) -> int:
     return int(np.packbits(on, bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+def bands_of(hashes: list[int]) -> np.ndarray:
+    """BANDS numbers, each of IN_BAND least hashes of the set; none without hashes."""
+    if not hashes:
+        return np.zeros(0, np.int64)
+    values = np.array(hashes, np.uint64)
+    least = np.full(len(_ODD), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(values), 4096):
+        mixed = _ODD * values[at : at + 4096]
+        mixed ^= mixed >> np.uint64(31)
+        mixed *= _MIX
+        np.minimum(least, mixed.min(1), out=least)
+    bands = np.zeros(BANDS, np.uint64)
+    for column in least.reshape(BANDS, IN_BAND).T:
+        bands = (bands ^ column) * _MIX
+        bands ^= bands >> np.uint64(29)
+    return bands.view(np.int64)
+
+
+def _fingerprints(batches: Iterator[pa.RecordBatch], size: int, banded: bool) -> Iterator[pa.RecordBatch]:
+    kept_for("simhash")
     for batch in batches:
         data, at = flat(batch.column("text"))
         raw, at = data.tobytes(), at.tolist()
-        prints = np.array([fingerprint(shingle_hashes(raw[a:b], size)) for a, b in zip(at, at[1:], strict=False)], np.uint64)
-        rest = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "text"]
-        yield pa.RecordBatch.from_arrays([*rest, pa.array(prints.view(np.int64))], [*(n for n in batch.schema.names if n != "text"), "fp"])
+        prints, bands = np.zeros(len(at) - 1, np.uint64), []
+        for i, (a, b) in enumerate(zip(at, at[1:], strict=False)):
+            hashes = shingle_hashes(raw[a:b], size)
+            prints[i] = fingerprint(hashes)
+            if banded:
+                bands.append(bands_of(hashes))
+        names = [n for n in batch.schema.names if n != "text"]
+        columns = [*(batch.column(n) for n in names), pa.array(prints.view(np.int64))]
+        yield pa.RecordBatch.from_arrays(columns + [pa.array(bands, pa.list_(pa.int64()))] * banded, names + ["fp"] + ["bands"] * banded)
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, one, two, fp) of every document; fp is the fingerprint as a signed long, one and two tell texts apart.
+def fingerprints(docs: DataFrame, size: int = SHINGLE, banded: bool = False) -> DataFrame:
+    """(doc_id, one, two, fp) of every document, and bands where asked for; fp is the fingerprint as a signed long, one and two tell texts apart.
 
-    Null and wordless texts have the fingerprint zero.
+    Null and wordless texts have the fingerprint zero and no band.
     """
     texts = docs.select("doc_id", F.xxhash64("text").alias("one"), F.xxhash64("text", F.lit(1)).alias("two"), "text")
-    return texts.mapInArrow(partial(_fingerprints, size=size), "doc_id long, one long, two long, fp long")
+    return texts.mapInArrow(partial(_fingerprints, size=size, banded=banded), "doc_id long, one long, two long, fp long" + ", bands array<long>" * banded)
 
 
 def _links(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +203,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, most: int = MAX_BITS)
     search. Rows with a null doc_id get a null component_id and link nothing; repeated doc_ids are
     repeated rows with the component of each one's fingerprint. An empty table gives an empty result.
     """
-    prints = written(fingerprints(docs, size), "fingerprints")
+    return _linked(written(fingerprints(docs, size), "fingerprints"), most)
+
+
+def _linked(prints: DataFrame, most: int) -> DataFrame:
+    """near_duplicates() of fingerprints()."""
     classes = written(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "classes")
     # Two classes may share their least doc_id where doc_ids repeat: such a row links them.
     found = components(links(classes, most))
@@ -194,23 +233,48 @@ def _similar(batches: Iterator[pa.RecordBatch], size: int, least: float) -> Iter
         yield batch.select(["doc_id", "one", "two"]).filter(pa.array(good, pa.bool_()))
 
 
+def _banded(texts: DataFrame) -> DataFrame:
+    """(one, two, head) of texts (one, two, node, bands): of the least nodes in a text's bands the HEADS that are so in most, without its own.
+
+    A band's least doc_id is aggregated before the band's texts are joined with it, so that no group of texts
+    is held, and Spark splits a band that very many texts share.
+    """
+    each = written(texts.select("one", "two", "node", F.posexplode("bands").alias("at", "band")), "bands")
+    least = written(each.groupBy("at", "band").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("at", "band", "head"), "heads")
+    met = each.join(least, ["at", "band"]).where("head < node").groupBy("one", "two", "head").agg(F.count("*").alias("n"))
+    # At most BANDS rows for each text.
+    place = F.row_number().over(Window.partitionBy("one", "two").orderBy(F.desc("n"), "head"))
+    return met.withColumn("place", place).where(F.col("place") <= HEADS).select("one", "two", "head")
+
+
 def without_near_duplicates(docs: DataFrame, size: int = 5, most: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs without near copies of a document that stays: the one of least doc_id in each group of linked fingerprints.
+    """docs without near copies of a document of lesser doc_id: one of each group stays, that of least doc_id.
 
-    A document goes only if it has the same text as that one, or if their sets of shingles have a Jaccard
-    similarity of at least `similarity`; others of the group stay. Rows with a null doc_id stay, and rows
-    that repeat the doc_id which stays. Texts are compared only where they differ, each with one other.
+    Candidates for a document are the least doc_id of its group of linked fingerprints, and the least ones that
+    share most of its bands of least hashes. It goes only if it repeats a text, or
+    if their sets of shingles have a Jaccard similarity of at least `similarity`; a candidate may itself go
+    for one before it. Rows with a null doc_id stay, and rows that repeat the doc_id which stays. Texts are
+    compared only where they differ, each with HEADS + 1 others at most.
     """
-    found = written(near_duplicates(docs, size, most), "found")
+    prints = written(fingerprints(docs, size, banded=True), "fingerprints")
+    found = written(_linked(prints, most), "found")
     ids = ["doc_id", "one", "two"]
-    others = found.where("component_id <> doc_id").select(*ids, "component_id").distinct()
-    heads = found.where("component_id = doc_id").select(F.col("doc_id").alias("component_id"), F.struct("one", "two").alias("head")).distinct()
-    judged = written(others.join(heads, "component_id").withColumn("same", F.col("head") == F.struct("one", "two")).drop("head"), "judged")
-    texts = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("one"), F.xxhash64("text", F.lit(1)).alias("two"), "text")
-    unlike = judged.where("not same").select(*ids, "component_id").distinct()
-    mine = written(texts.join(unlike.hint("shuffle_hash"), ids).select(*ids, "component_id", "text").distinct(), "mine")
-    kept = written(docs.select(F.col("doc_id").alias("component_id"), F.col("text").alias("kept")).join(unlike.select("component_id").distinct().hint("shuffle_hash"), "component_id", "left_semi"), "kept")
-    similar = mine.join(kept, "component_id").select(*ids, "text", "kept").mapInArrow(partial(_similar, size=size, least=similarity), "doc_id long, one long, two long")
-    gone = written(judged.where("same").select(*ids).union(similar).distinct(), "gone")
-    forget(mine, kept, judged, found)
-    return docs.withColumns({"_one": F.xxhash64("text"), "_two": F.xxhash64("text", F.lit(1))}).join(gone.select("doc_id", F.col("one").alias("_one"), F.col("two").alias("_two")).hint("shuffle_hash"), ["doc_id", "_one", "_two"], "left_anti").select(*docs.columns)
+    linked = found.where("component_id <> doc_id").select(*ids, F.col("component_id").alias("head_id")).distinct()
+    # One row for each different text, with its least doc_id: what else has the text goes.
+    texts = written(prints.where("doc_id is not null").groupBy("one", "two").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "texts")
+    copies = prints.select(*ids).join(texts.select("one", "two", "node"), ["one", "two"]).where("doc_id <> node").select(*ids)
+    banded = _banded(texts)
+    similar_ = texts.join(banded, ["one", "two"]).select(F.col("node").alias("doc_id"), "one", "two", F.col("head").alias("head_id"))
+    others = linked.join(texts.select(F.col("node").alias("doc_id"), "one", "two"), ids, "left_semi").union(similar_).distinct()
+    heads = prints.select(F.col("doc_id").alias("head_id"), F.struct("one", "two").alias("head")).join(others.select("head_id").distinct(), "head_id", "left_semi").distinct()
+    unlike = written(others.join(heads, "head_id").where(F.col("head") != F.struct("one", "two")).select(*ids, "head_id").distinct(), "unlike")
+    whole = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("one"), F.xxhash64("text", F.lit(1)).alias("two"), "text")
+    mine = written(whole.join(unlike.hint("shuffle_hash"), ids).select(*ids, "head_id", "text").distinct(), "mine")
+    kept = written(docs.select(F.col("doc_id").alias("head_id"), F.col("text").alias("kept")).join(unlike.select("head_id").distinct().hint("shuffle_hash"), "head_id", "left_semi"), "kept")
+    similar = mine.join(kept, "head_id").select(*ids, "text", "kept").mapInArrow(partial(_similar, size=size, least=similarity), "doc_id long, one long, two long")
+    # Of a text that goes all copies do, and they are among copies already.
+    gone = written(similar.union(copies).distinct(), "gone")
+    forget(mine, kept, found, prints, unlike, texts)
+    row = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_one"), F.xxhash64("text", F.lit(1)).alias("_two"))
+    left = row.join(gone.select(F.col("doc_id").alias("_doc"), F.col("one").alias("_one"), F.col("two").alias("_two")).hint("shuffle_hash"), ["_doc", "_one", "_two"], "left_anti")
+    return left.select(*(F.col("_row")[c].alias(c) for c in docs.columns))

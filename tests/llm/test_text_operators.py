@@ -77,6 +77,35 @@ def test_near_duplicates_go_only_if_similar_to_the_one_that_stays(frame):
     rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(base)), (4, " ".join(base[:200])), (5, None), (6, ""), (7, "other"), (None, "other")]
     assert {r.doc_id for r in simhash.without_near_duplicates(frame(rows)).collect()} == {1, 4, 5, 7, None}
     assert {r.doc_id for r in simhash.without_near_duplicates(frame(rows), similarity=1.0).collect()} == {1, 2, 4, 5, 7, None}
+    own = frame(rows).withColumns({"_one": simhash.F.lit(7), "_two": simhash.F.lit("x"), "_doc": simhash.F.lit(1), "one": simhash.F.col("text"), "bands": simhash.F.col("doc_id")})
+    assert {(r.doc_id, r._one, r._two, r.one, r.bands) for r in simhash.without_near_duplicates(own).collect()} == {(d, 7, "x", t, d) for d, t in rows if d in (1, 4, 5, 7, None)}
+
+
+def test_near_duplicates_that_are_similar_go_and_others_stay(frame):
+    """Planted copies with words changed here and there, of a similarity around the bound, in groups, beside a hot group and texts that share a half."""
+    rng = np.random.default_rng(21)
+    rows, words = [], lambda n: [f"w{i}" for i in rng.integers(0, 4000, n)]
+    for i in range(60):
+        base = words(int(rng.integers(60, 400)))
+        rows.append((10 * i, " ".join(base)))
+        for k in range(1, 6):
+            other = base.copy()
+            for at in rng.integers(0, len(base), max(1, len(base) * k // 120)):
+                other[at] = f"x{rng.integers(1 << 30)}"
+            rows.append((10 * i + k, " ".join(other)))
+        rows.append((10 * i + 6, " ".join(base[: len(base) // 2] + words(len(base) // 2))))
+    hot = words(200)
+    for i in range(300):
+        hot[int(rng.integers(200))] = f"y{i}"
+        rows.append((1000 + i, " ".join(hot)))
+    rows += [(5000 + i, "one two three four five six") for i in range(50)]
+    kept = {r.doc_id for r in simhash.without_near_duplicates(frame(rows)).collect()}
+    sets, order = {d: set(shingles(t, 5)) for d, t in rows}, sorted(d for d, _ in rows)
+    similar = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8
+    near = {d: [c for c in order if c < d and (c // 1000 == d // 1000) and similar(c, d)] for d in order}
+    due, gone = {d for d in order if near[d]}, {d for d in order if d not in kept}
+    assert gone <= due and len(gone) >= 0.95 * len(due) and len(due) > 300
+    assert all(d in kept for d in range(6, 600, 10))
 
 
 def test_components_of_a_long_path_and_a_star(spark):
