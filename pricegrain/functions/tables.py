@@ -2,29 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from pricegrain.operators.pages import FRENCH, LEADING, NUMBER, SCANNED, TRAILING
-
-_SCANNED, _TRAILING = re.compile(SCANNED, re.ASCII), re.compile(TRAILING, re.ASCII)
-_NUMBER, _FRENCH = re.compile(rf"{NUMBER}(?:\.\d{{1,2}})?", re.ASCII), re.compile(FRENCH, re.ASCII)
-
-
-def scanned(text: str) -> Iterator[tuple[int, int, float, bool]]:
-    """(start, stop, value, usd) of each amount, from left to right; places count code points from 0."""
-    for m in _SCANNED.finditer(text):
-        own = _TRAILING.match(m[0]) or m
-        amount = own[0]
-        if _FRENCH.fullmatch(amount):
-            value = re.sub(r"[\s  $]", "", amount).replace(",", ".")
-        else:
-            value = _NUMBER.search(amount)[0].replace(",", "")
-        usd = amount.endswith("USD") if amount[0].isdigit() else amount.startswith("US")
-        yield m.start(), m.start() + len(amount), float(value), usd
+from pricegrain.functions.amounts import scanned
 
 
 class PriceCandidates:

@@ -2,7 +2,7 @@
 
 A page has a url, a title, an excerpt (content) and a text (raw), any of which may be null. All of this
 is a row's own affair: arrays of amounts are cut, judged and chosen from by expressions, so that no
-operator here moves a row. An amount is a struct (start, stop, value, usd), in characters from 0.
+operator here moves a row. An amount is a struct (start, stop, value, usd, in_row), in characters from 0.
 """
 
 from __future__ import annotations
@@ -12,17 +12,14 @@ from pyspark.sql import functions as F
 
 from pricegrain.functions import text as words
 from pricegrain.functions import urls
+from pricegrain.functions.amounts import AMOUNT, LOW, NUMBER, SCANNED, TRAILING, found
 from pricegrain.functions.numbers import cents
 from pricegrain.functions.vocabulary import ANCHOR_STOPWORDS, COLOUR_MODIFIERS, COLOURS, RETAILERS
 
 #: Prices that are believed, characters of a page that are looked at (what follows are footers), and of it those that tell a list of products.
-LOW, HIGH, MOST_TEXT, LIST_TEXT, LIST_PRICES = 15.0, 6000.0, 60_000, 12_000, 8
+HIGH, MOST_TEXT, LIST_TEXT, LIST_PRICES = 6000.0, 60_000, 12_000, 8
 
 # Shapes of amounts, and what stands around those that are the price, or are not.
-NUMBER = r"(?:\d{1,3}(?:,\d{3})+|\d{1,6})"
-LEADING = rf"(?:CA\$|C\$|CAD\s?\$?|US\$|USD\s?\$?|\$)\s?{NUMBER}(?:\.\d{{1,2}})?(?!\d)"
-TRAILING = rf"{NUMBER}\.\d{{2}}\s?(?:CAD|USD)(?!\w)"
-FRENCH = "(?:\\d{1,3}(?:[   ]\\d{3})+|\\d{1,6}),\\d{2}\\s?\\$"
 NEGATIVE_BEFORE = r"(?iu)(?:\bto|\d\s*[-–—]|save|you save|savings|off|reg\.?|regular(?: price)?|was|compare at|compared at|list price|list|original price|msrp|orders?(?: of| over)?|spend|over|shipping|delivery|gift card|coupon|rebate|reward|points|deposit|as low as|up to|payments? of|installments? of|valued at|value|économisez|prix courant|prix régulier|avant)\s*[:\-–]?\s*\z"
 NEGATIVE_AFTER = r"(?iu)^\s*(?:(?:to|[-–—])\s*(?:CA\$|C\$|CAD|\$)\s?\d|/\s*(?:mo|month|wk|week|yr)\b|per\s+(?:mo|month|week|year)\b|a\s+month\b|monthly\b|x\s*\d|×\s*\d|off\b|savings?\b|discount\b|or more\b|and up\b|\+|/mois\b|par mois\b|de rabais\b)"
 POSITIVE_BEFORE = r"(?iu)(?:price|sale|sale price|now|our price|your price|current price|special|today|deal|one-time purchase|prix|prix de vente|maintenant|solde)\s*[:\-–]?\s*\z"
@@ -48,9 +45,6 @@ WARRANTY = r"(?i)\b(\d{1,2})[- ]year\b[^.\n]{0,25}warrant(?:y|ie)|\b(limited lif
 COLOUR_LABEL = r"(?i)\b(?:colou?rs?|couleurs?)\b\s*(?::|\(|available|options?)"
 MOST_COLOURS, MOST_SPOTS, MOST_TOKENS = 12, 20, 6
 
-AMOUNT = rf"{LEADING}|{TRAILING}|{FRENCH}"
-#: A code that ends one amount begins no other.
-SCANNED = rf"(?:{LEADING}|(?:{TRAILING})(?:\s?\$?\s?{NUMBER}(?:\.\d{{1,2}})?(?!\d))?|{FRENCH})"
 _CUT = "\u0001"
 
 
@@ -79,7 +73,15 @@ def amount_value(amount: Column) -> Column:
 
 
 def amounts(text: Column) -> Column:
-    """All amounts of a text, from left to right, without overlaps."""
+    """All amounts of a text, from left to right, without overlaps, as (start, stop, value, usd, in_row); none for a null text.
+
+    in_row tells whether an amount stands in a table row with several prices. The text is read once.
+    """
+    return found(text)
+
+
+def amounts_expression(text: Column) -> Column:
+    """The same, without in_row, as an expression of Spark's own functions; it takes many times as long."""
     pieces = F.split(F.regexp_replace(text, f"({SCANNED})", f"{_CUT}$1{_CUT}"), _CUT)
     sizes = F.transform(pieces, F.length)
     # Two by two: what stands before an amount, and the amount.
@@ -156,9 +158,9 @@ def listing_price(df: DataFrame, text: str, title: str, to: str, snippet: bool =
         before = part(t, c["start"] - 40, c["start"])
         labelled = before.rlike(POSITIVE_BEFORE)
         boxed = labelled & F.exists("_spots", lambda s: (c["start"] > s) & (c["start"] - s <= 400))
-        return F.struct(c["start"].alias("start"), c["stop"].alias("stop"), c["value"].alias("value"), c["usd"].alias("usd"), before.alias("before"), labelled.alias("labelled"), boxed.alias("boxed"))
+        return F.struct(c["start"].alias("start"), c["stop"].alias("stop"), c["value"].alias("value"), c["usd"].alias("usd"), c["in_row"].alias("in_row"), before.alias("before"), labelled.alias("labelled"), boxed.alias("boxed"))
 
-    df = held(df, _all=F.filter(F.transform("_all", marked), lambda c: ((c["start"] < F.col("_cutoff")) | c["boxed"]) & believed(c) & ~in_price_row(t, c)))
+    df = held(df, _all=F.filter(F.transform("_all", marked), lambda c: ((c["start"] < F.col("_cutoff")) | c["boxed"]) & believed(c) & ~c["in_row"]))
     if snippet:
         def joined(c: Column, i: Column) -> Column:
             alone = (i == 0) & part(t, c["start"] - 80, c["stop"] + 80).rlike(OWN_PRICE) & ~part(t, zero, c["start"]).rlike(GAP)
@@ -277,11 +279,13 @@ def analysed(pages: DataFrame) -> DataFrame:
         .when(is_listing_page(url, F.col("_source"), F.col("title")), "search or category page, not a single product")
     )
     df = held(df, _reason=reason)
-    df = held(df, _product=urls.is_product_url(url))
-    df = listing_price(df, "raw", "name", "_full", product_url=F.col("_product"))
-    df = listing_price(df, "content", "name", "_excerpt", snippet=True, product_url=F.col("_product"))
+    # Texts of pages that have a reason by now are not read for prices and specifications.
+    left = lambda column: F.when(F.col("_reason").isNull(), column)
+    df = held(df, _product=urls.is_product_url(url), _raw=left(F.col("raw")), _content=left(F.col("content")), _left=left(F.col("_source")))
+    df = listing_price(df, "_raw", "name", "_full", product_url=F.col("_product"))
+    df = listing_price(df, "_content", "name", "_excerpt", snippet=True, product_url=F.col("_product"))
     full, excerpt = F.col("_full"), F.col("_excerpt")
-    df = details(held(df, _pick=F.when(excerpt["score"] > F.coalesce(full["score"], F.lit(-1)), excerpt).otherwise(full)), "_source", "name", "_details")
+    df = details(held(df, _pick=F.when(excerpt["score"] > F.coalesce(full["score"], F.lit(-1)), excerpt).otherwise(full)), "_left", "name", "_details")
     pick = F.when(F.col("_reason").isNull(), F.col("_pick"))
     offer = F.when(pick.isNotNull(), F.struct(pick["price"].alias("price"), pick["evidence"].alias("evidence"), in_stock(F.col("_source"), F.col("name")).alias("in_stock"), words.colour_of(F.col("name")).alias("colour"), F.col("_details").alias("details")))
     why = F.coalesce("_reason", F.when(F.col("_pick").isNull(), "no clear price on the page"))
@@ -295,7 +299,7 @@ def tiles(df: DataFrame, text: str, terms: Column, to: str = "tiles") -> DataFra
     """df with `to`: (name, price, evidence) of each product that a listing names with all asked words right before its price."""
     df = held(df, _text=F.substring(F.coalesce(F.col(text), F.lit("")), 1, MOST_TEXT))
     t = F.col("_text")
-    df = held(df, _all=F.filter(amounts(t), lambda c: believed(c) & ~in_price_row(t, c)))
+    df = held(df, _all=F.filter(amounts(t), lambda c: believed(c) & ~c["in_row"]))
 
     def with_before(c: Column) -> Column:
         before = part(t, c["start"] - 200, c["start"])

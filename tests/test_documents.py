@@ -87,10 +87,13 @@ def test_json_files_with_bad_ones_among_them(spark, tmp_path):
 
 def test_price_candidates_are_the_amounts_of_the_expression(spark):
     rng = random.Random(3)
-    parts = ["$", "CA$", "US$", "CAD ", "USD", "1,299.99", "99.5", "12", "1234567", " ", "19,99 $", "1 299,99 $", ".", "x", "45.00 CAD", "5.00USD", "é😀", "\n", ",", "-"]
+    parts = ["$", "CA$", "US$", "CAD ", "USD", "1,299.99", "99.5", "12", "1234567", " ", "19,99 $", "1 299,99 $", ".", "x", "45.00 CAD", "5.00USD", "é😀", "\n", ",", "-", "| $20 | $30 |\n", "|", " | "]
     texts = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(600)] + [None, ""]
-    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").withColumn("a", pages.amounts(F.col("t")))
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").withColumn("a", pages.amounts_expression(F.col("t")))
     want = {r.i: [tuple(x) for x in r.a or []] for r in df.collect()}
+    rows = df.select("i", "t", pages.amounts(F.col("t")).alias("a")).withColumn("r", F.transform("a", lambda c: pages.in_price_row(F.col("t"), c))).collect()
+    assert {r.i: [tuple(x)[:4] for x in r.a] for r in rows} == want
+    assert all([x.in_row for x in r.a] == list(r.r) for r in rows) and any(x.in_row for r in rows for x in r.a)
     found = df.select("i", "t").lateralJoin(tables.price_candidates(F.col("t").outer())).collect()
     got = {i: [] for i in want}
     for r in sorted(found, key=lambda r: (r.i, r.nth)):
