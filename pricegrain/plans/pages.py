@@ -112,7 +112,7 @@ Q.add("e8_tiles", _tiles, f"SELECT id, {_TITLE} AS name, round((100 + p_partkey
 
 
 def _tile_offers(s: SparkSession, d: str) -> DataFrame:
-    base = table(s, d, "part").where("p_name LIKE '% widget'")
+    base = table(s, d, "part")
     title = F.expr(_TITLE)
     listing = base.select(F.col("p_partkey").alias("query_id"), F.lit(0).alias("seq"), F.lit("https://www.shop.ca/collections/all").alias("url"), F.lit("All bags").alias("title"), F.lit(None).cast("string").alias("content"), F.expr(_TILES).alias("raw"))
     own = base.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("query_id"), F.lit(1).alias("seq"), F.concat(F.lit("https://www.shop.ca/products/"), F.col("p_partkey")).alias("url"), title.alias("title"), F.lit(None).cast("string").alias("content"), F.lit("").alias("raw"))
