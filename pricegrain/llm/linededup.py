@@ -109,12 +109,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """docs with repeated chunks taken out of their texts; rows and columns stay as they are."""
-    counts = ("n_lines", "n_removed_lines", "n_removed_chunks")
-    kept = [c for c in docs.columns if c not in counts]
-    if len(kept) == len(docs.columns):
-        return deduplicate(docs).select(*docs.columns)
-    renamed = docs.select(*(F.col(c).alias(f"own_{c}" if c in counts else c) for c in docs.columns))
-    return deduplicate(renamed).select(*(F.col(f"own_{c}").alias(c) if c in counts else F.col(c) for c in docs.columns))
+    # Other columns go under numbers, which clash with nothing.
+    names = {c: c if c in ("doc_id", "text") else f"_{i}" for i, c in enumerate(docs.columns)}
+    return deduplicate(docs.select(*(F.col(c).alias(n) for c, n in names.items()))).select(*(F.col(n).alias(c) for c, n in names.items()))
 
 
 #: The same rows as the registered query, in DuckDB's SQL.
@@ -141,4 +138,5 @@ SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, CAST(coalesce(sum(n) FILTER (g
   CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed_chunks,
   sha256(coalesce(string_agg(text, chr(10) ORDER BY start) FILTER (NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id
+UNION ALL SELECT doc_id, 0, 0, 0, NULL FROM documents WHERE text IS NULL
 """

@@ -415,13 +415,27 @@ def viterbi(field: Field, found: Tokens) -> np.ndarray:
 def certainty(field: Field, features: np.ndarray) -> np.ndarray:
     """Of each token of one line the marginal probability that a secret begins there (forward-backward)."""
     score = field.weights[features].sum(1).astype(np.float64)
-    ahead, back = score.copy(), np.zeros_like(score)
-    ahead[0, IN] = -1e4
-    for t in range(1, len(score)):
-        ahead[t] += _logsum(ahead[t - 1][:, None] + field.moves, 0)
-    for t in range(len(score) - 2, -1, -1):
-        back[t] = _logsum(field.moves + (score[t + 1] + back[t + 1])[None, :], 1)
-    return np.exp(ahead[:, BEGIN] + back[:, BEGIN] - _logsum(ahead[-1], 0))
+    # Sums over paths are brought to one at each token, so that no line is too long.
+    emit, moves = np.exp(score - score.max(1, keepdims=True)).tolist(), np.exp(field.moves - field.moves.max()).tolist()
+    (aa, ab, ac), (ba, bb, bc), (ca, cb, cc) = moves
+    ahead, back = np.empty((len(emit), 3)), np.ones((len(emit), 3))
+    x, y, z = (0.0 if k == IN else e for k, e in enumerate(emit[0]))
+    for t, (p, q, r) in enumerate(emit):
+        if t:
+            x, y, z = (x * aa + y * ba + z * ca) * p, (x * ab + y * bb + z * cb) * q, (x * ac + y * bc + z * cc) * r
+        total = x + y + z
+        x, y, z = x / total, y / total, z / total
+        ahead[t] = x, y, z
+    x = y = z = 1.0
+    for t in range(len(emit) - 2, -1, -1):
+        p, q, r = emit[t + 1]
+        p, q, r = p * x, q * y, r * z
+        x, y, z = p * aa + q * ab + r * ac, p * ba + q * bb + r * bc, p * ca + q * cb + r * cc
+        total = x + y + z
+        x, y, z = x / total, y / total, z / total
+        back[t] = x, y, z
+    both = ahead * back
+    return both[:, BEGIN] / both.sum(1)
 
 
 def found_spans(field: Field, found: Tokens) -> tuple[np.ndarray, np.ndarray]:
@@ -437,13 +451,8 @@ def found_spans(field: Field, found: Tokens) -> tuple[np.ndarray, np.ndarray]:
     of = np.searchsorted(lines, begins, "right") - 1
     sure = np.zeros(len(begins))
     for line in np.unique(of).tolist():
-        # What stands over 200 tokens away has no influence on a marginal.
-        mine = np.flatnonzero(of == line)
-        for k in mine.tolist() if lines[line + 1] - lines[line] > 400 else mine[:1].tolist():
-            a, b = (max(lines[line], begins[k] - 200), min(lines[line + 1], begins[k] + 200)) if lines[line + 1] - lines[line] > 400 else (lines[line], lines[line + 1])
-            here = certainty(field, found.features[a:b])
-            which = mine if b - a == lines[line + 1] - lines[line] else np.array([k])
-            sure[which] = here[begins[which] - a]
+        mine = of == line
+        sure[mine] = certainty(field, found.features[lines[line] : lines[line + 1]])[begins[mine] - lines[line]]
     return begins[sure >= SURE], ends[sure >= SURE]
 
 

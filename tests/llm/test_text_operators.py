@@ -532,6 +532,33 @@ def test_certainty_is_the_marginal_of_all_paths():
     assert np.allclose(secrets.certainty(field, found.features), want, atol=1e-5)
 
 
+def test_secrets_on_a_long_line_are_those_of_the_whole_line(frame):
+    """A line of thousands of tokens is one sequence: by logarithms over the whole line, and through the query's operator."""
+    rng = np.random.default_rng(15)
+    words = ["".join(rng.choice(list("abcdefgh"), int(rng.integers(2, 9)))) for _ in range(3000)]
+    for i in range(100, 3000, 400):
+        words[i : i + 2] = ["auth_key:", "".join(rng.choice(list("abcdef0123456789XYZ"), 24))]
+    text = " ".join(words)
+    found = secrets.tokens(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+    field = secrets.Field(rng.normal(size=(secrets.OFFSETS[-1], 3)).astype(np.float32), rng.normal(size=(3, 3)))
+    field.moves[secrets.OUT, secrets.IN] = -1e4
+    score = field.weights[found.features].sum(1).astype(np.float64)
+    ahead, back = score.copy(), np.zeros_like(score)
+    ahead[0, secrets.IN] = -1e4
+    for t in range(1, len(score)):
+        ahead[t] += np.logaddexp.reduce(ahead[t - 1][:, None] + field.moves, 0)
+    for t in range(len(score) - 2, -1, -1):
+        back[t] = np.logaddexp.reduce(field.moves + (score[t + 1] + back[t + 1])[None, :], 1)
+    want = np.exp(ahead[:, secrets.BEGIN] + back[:, secrets.BEGIN] - np.logaddexp.reduce(ahead[-1]))
+    assert len(score) > 2500 and np.allclose(secrets.certainty(field, found.features), want, atol=1e-9)
+    begins, ends = secrets.found_spans(field, found)
+    sure = np.flatnonzero((secrets.viterbi(field, found) == secrets.BEGIN) & (want >= secrets.SURE))
+    assert begins.tolist() == sure.tolist() and len(begins)
+    got = {r.doc_id: [(x.start, x.end) for x in r.spans if x.kind == "crf"] for r in secrets.find(frame([(1, text), (2, text + "\n" + text)]), field).collect()}
+    shift = len(text) + 1
+    assert got[1] and [x for x in got[2] if x[0] < shift] == got[1] and [(a - shift, b - shift) for a, b in got[2] if a >= shift] == got[1]
+
+
 def test_viterbi_finds_the_best_path():
     rng = np.random.default_rng(0)
     data = np.frombuffer(b"ab cd9f\nx=12ab yy zz q9q9\n\nlast one", np.uint8)
@@ -596,6 +623,17 @@ def test_substring_dedup_rows_that_share_an_id(frame):
     assert got == [(0, 0), (1, 0), (2, 60), (2, 60)]
 
 
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    lines = "\n".join(f"line {i} {i * i}" for i in range(12))
+    names = ["doc_id", "text", "n_lines", "own_n_lines", "row", "rest", "gone", "chunks", "lines"]
+    docs = spark.createDataFrame([(1, lines, 5, 6, 7, 8, 9, 10, 11), (2, lines, 15, 16, 17, 18, 19, 20, 21), (3, None, 1, 1, 1, 1, 1, 1, 1)], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names[2:]))
+    out = linededup.without_repeated_lines(docs)
+    got = {r.doc_id: tuple(r)[2:] for r in out.collect()}
+    assert out.columns == names and got == {1: (5, 6, 7, 8, 9, 10, 11), 2: (15, 16, 17, 18, 19, 20, 21), 3: (1,) * 7}
+    texts = {r.doc_id: r.text for r in out.collect()}
+    assert texts[1] == lines and texts[2] != lines and texts[3] is None
+
+
 def test_stages_keep_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "a\nb", 7, "x"), (2, "c", 8, "y")], "doc_id long, text string, n_lines int, items string")
     assert linededup.without_repeated_lines(docs).columns == docs.columns
