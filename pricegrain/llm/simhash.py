@@ -265,16 +265,18 @@ def without_near_duplicates(docs: DataFrame, size: int = 5, most: int = 5, simil
     copies = prints.select(*ids).join(texts.select("one", "two", "node"), ["one", "two"]).where("doc_id <> node").select(*ids)
     banded = _banded(texts)
     similar_ = texts.join(banded, ["one", "two"]).select(F.col("node").alias("doc_id"), "one", "two", F.col("head").alias("head_id"))
-    others = linked.join(texts.select(F.col("node").alias("doc_id"), "one", "two"), ids, "left_semi").union(similar_).distinct()
-    heads = prints.select(F.col("doc_id").alias("head_id"), F.struct("one", "two").alias("head")).join(others.select("head_id").distinct(), "head_id", "left_semi").distinct()
-    unlike = written(others.join(heads, "head_id").where(F.col("head") != F.struct("one", "two")).select(*ids, "head_id").distinct(), "unlike")
+    others = written(linked.join(texts.select(F.col("node").alias("doc_id"), "one", "two"), ids, "left_semi").union(similar_).distinct(), "others")
+    heads = prints.select(F.col("doc_id").alias("head_id"), F.struct("one", "two").alias("head")).join(others.select("head_id").distinct(), "head_id", "left_semi")
+    heads = written(heads.distinct(), "heads")
+    # Nothing is grouped after the join, so that Spark splits a head that very many documents have.
+    unlike = written(others.join(heads, "head_id").where(F.col("head") != F.struct("one", "two")).select(*ids, "head_id"), "unlike")
     whole = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("one"), F.xxhash64("text", F.lit(1)).alias("two"), "text")
     mine = written(whole.join(unlike.hint("shuffle_hash"), ids).select(*ids, "head_id", "text").distinct(), "mine")
     kept = written(docs.select(F.col("doc_id").alias("head_id"), F.col("text").alias("kept")).join(unlike.select("head_id").distinct().hint("shuffle_hash"), "head_id", "left_semi"), "kept")
     similar = mine.join(kept, "head_id").select(*ids, "text", "kept").mapInArrow(partial(_similar, size=size, least=similarity), "doc_id long, one long, two long")
     # Of a text that goes all copies do, and they are among copies already.
     gone = written(similar.union(copies).distinct(), "gone")
-    forget(mine, kept, found, prints, unlike, texts)
+    forget(mine, kept, found, prints, others, heads, unlike, texts)
     row = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_one"), F.xxhash64("text", F.lit(1)).alias("_two"))
     left = row.join(gone.select(F.col("doc_id").alias("_doc"), F.col("one").alias("_one"), F.col("two").alias("_two")).hint("shuffle_hash"), ["_doc", "_one", "_two"], "left_anti")
     return left.select(*(F.col("_row")[c].alias(c) for c in docs.columns))
