@@ -32,9 +32,13 @@ def best_offers(offers: DataFrame) -> DataFrame:
 
 def offer_summary(offers: DataFrame) -> DataFrame:
     """Counts and extremes over all offers of a product; the spread is 0 where there is one."""
+    return offers.groupBy("product_id").agg(*_summary())
+
+
+def _summary() -> list[Column]:
     spread = F.when(F.count("*") > 1, cents(F.max("price") - F.min("price"))).otherwise(0.0)
     in_stock = F.max(F.coalesce("in_stock", F.lit(True)).cast("int")) == 1
-    return offers.groupBy("product_id").agg(F.count("*").alias("retailer_count"), spread.alias("spread"), in_stock.alias("in_stock"), F.max("checked_at").alias("last_checked"))
+    return [F.count("*").alias("retailer_count"), spread.alias("spread"), in_stock.alias("in_stock"), F.max("checked_at").alias("last_checked")]
 
 
 def daily_low(history: DataFrame) -> DataFrame:
@@ -53,10 +57,12 @@ def tracked_products(products: DataFrame, offers: DataFrame, history: DataFrame,
 
     The change is the best offer's price, not the last point's, against the previous low; 0 if either is unknown.
     """
-    wanted = tracked.select("product_id").distinct()
-    best = best_offers(offers).select("product_id", F.col("price").alias("lowest_price"), F.col("retailer").alias("lowest_retailer"))
-    out = products.join(wanted, "product_id", "left_semi").select("product_id", "name", "brand")
-    for part in (best, offer_summary(offers), previous_low(history)):
+    # best_offers() and offer_summary() in one aggregation.
+    first = F.min(F.struct((~F.coalesce("in_stock", F.lit(True))).alias("gone"), "price", "seq", "retailer"))
+    facts = offers.groupBy("product_id").agg(first.alias("best"), *_summary())
+    facts = facts.select("product_id", F.col("best.price").alias("lowest_price"), F.col("best.retailer").alias("lowest_retailer"), "retailer_count", "spread", "in_stock", "last_checked")
+    out = products.join(tracked.select("product_id"), "product_id", "left_semi").select("product_id", "name", "brand")
+    for part in (facts, previous_low(history)):
         out = out.join(part, "product_id", "left")
     change = F.coalesce(cents(F.col("lowest_price") - F.col("previous_low")), F.lit(0.0))
     return out.select(
