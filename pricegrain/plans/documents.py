@@ -14,7 +14,7 @@ from pricegrain.plans.registering import Queries
 from pricegrain.plans.roles import table
 from pricegrain.plans.tracking import tracked_rows
 from pricegrain.session import scratch
-from pricegrain.sources import feeds, structured
+from pricegrain.sources import crawling, feeds, structured
 from pricegrain.streaming import tables as streams
 
 Q = Queries()
@@ -84,6 +84,31 @@ Q.add(
     "SELECT CAST(l_orderkey AS VARCHAR) AS key, greatest(CAST(floor((60030 - l_orderkey * 60) / 60.0 + 0.5) AS BIGINT), 0) AS age_minutes FROM (SELECT DISTINCT l_orderkey FROM lineitem) WHERE l_orderkey % 7 <> 0 AND l_orderkey * 60 + 21600 >= 60030",
 )
 
+
+
+def _sitemaps(s: SparkSession, d: str) -> DataFrame:
+    """A sitemap for each supplier: every third an index of one for each letter of the parts' names, of which some were read."""
+    loc = lambda u: F.concat(F.lit("<url><loc>"), u, F.lit("</loc></url>"))
+    host = F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(".ca"))
+    child = F.concat(F.lit("https://"), host, F.lit("/map-"), (F.col("s_suppkey") % 10).cast("string"), F.lit(".xml"))
+    index = F.concat(F.lit("<sitemapindex>"), loc(child), loc(F.lit("https://x.ca/other.xml")), F.lit("</sitemapindex>"))
+    own = F.concat(F.lit("<urlset>"), loc(F.concat(F.lit("https://"), host, F.lit("/products/"), F.col("s_suppkey").cast("string"))), F.lit("<lastmod>2024</lastmod></urlset>"))
+    roots = table(s, d, "supplier").select(host.alias("host"), F.when(F.col("s_suppkey") % 3 == 0, index).otherwise(own).alias("text"))
+    parts = table(s, d, "part").select((F.col("p_partkey") % 10).alias("n"), "p_partkey", loc(F.concat(F.when(F.col("p_size") % 2 == 0, "https://x.ca/products/").otherwise("https://x.ca/blog/"), F.col("p_partkey").cast("string"))).alias("u"))
+    maps = parts.groupBy("n").agg(F.concat(F.lit("<urlset>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "u"))), lambda x: x["u"]), ""), F.lit("</urlset>")).alias("text"))
+    fetched = table(s, d, "supplier").where("s_suppkey % 2 = 0").select(child.alias("url"), (F.col("s_suppkey") % 10).alias("n")).join(maps, "n").select("url", "text")
+    return crawling.followed_sitemaps(roots, fetched).select("host", "read_from", F.size("locations").alias("locations"), "products", "dated")
+
+
+Q.add(
+    "s16_followed_sitemaps",
+    _sitemaps,
+    """WITH maps AS (SELECT p_partkey % 10 AS n, CAST(count(*) AS INT) AS locations, CAST(count(*) FILTER (p_size % 2 = 0) AS INT) AS products FROM part GROUP BY 1)
+SELECT concat('s', s_suppkey, '.ca') AS host, CASE WHEN s_suppkey % 3 = 0 THEN concat('https://s', s_suppkey, '.ca/map-', s_suppkey % 10, '.xml') END AS read_from,
+  CASE WHEN s_suppkey % 3 <> 0 THEN 1 WHEN s_suppkey % 2 = 0 THEN coalesce(locations, 2) ELSE 2 END AS locations, CASE WHEN s_suppkey % 3 <> 0 THEN 1 WHEN s_suppkey % 2 = 0 THEN coalesce(products, 0) ELSE 0 END AS products, s_suppkey % 3 <> 0 AS dated
+FROM supplier LEFT JOIN maps ON s_suppkey % 10 = n""",
+)
+
 _DOMAIN = "CASE l_suppkey % 4 WHEN 0 THEN 'www.amazon.ca' WHEN 1 THEN 'shop.tumi.com' WHEN 2 THEN 'notamazon.ca' ELSE 'walmart.ca' END"
 _LISTED = f"concat('https://', {_DOMAIN}, '/p/', l_partkey)"
 

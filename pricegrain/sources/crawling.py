@@ -72,6 +72,21 @@ def sitemap(text: Column) -> Column:
     return F.struct(locations.alias("locations"), F.size(F.filter(locations, urls.is_product_url)).alias("products"), F.coalesce(text.rlike("(?i)<lastmod>"), F.lit(False)).alias("dated"), F.coalesce(text.rlike("(?i)<sitemapindex"), F.lit(False)).alias("is_index"))
 
 
+def followed_sitemaps(sitemaps: DataFrame, fetched: DataFrame) -> DataFrame:
+    """sitemaps (host, text) with read_from, locations, products, dated: of a sitemap itself or, if it is an index, of its first child.
+
+    fetched (url, text) holds what was read of children; read_from is the child's address, or null for a sitemap
+    that is no index. Where the child was not read, the index's own addresses stand. Of an address that was read twice
+    the first text, in order of its bytes, counts.
+    """
+    rows = sitemaps.select("host", sitemap(F.col("text")).alias("own"))
+    child = F.when(F.col("own.is_index"), F.try_element_at("own.locations", F.lit(1)))
+    texts = fetched.groupBy("url").agg(F.min("text").alias("child_text"))
+    joined = rows.withColumn("read_from", child).join(texts, F.col("read_from") == F.col("url"), "left")
+    shown = F.when(F.col("child_text").isNotNull(), sitemap(F.col("child_text"))).otherwise(F.col("own"))
+    return joined.select("host", "read_from", shown.alias("m")).select("host", "read_from", "m.locations", "m.products", "m.dated")
+
+
 def outcome(status: Column, body: Column, mitigated: Column | None = None) -> Column:
     """What came of a fetch: challenge, rate_limited, not_found, blocked, ok or error; mitigated marks answers that say so themselves."""
     head = F.coalesce(F.substring(body, 1, 20_000), F.lit(""))

@@ -11,7 +11,7 @@ from test_streaming import streamed
 
 from pricegrain.functions import tables
 from pricegrain.operators import hosts, intervals, pages, payloads, sinks, state, tracking
-from pricegrain.sources import feeds
+from pricegrain.sources import crawling, feeds
 from pricegrain.streaming import hosts as host_streams
 from pricegrain.streaming import tables as stream_tables
 
@@ -85,6 +85,17 @@ def test_json_files_with_bad_ones_among_them(spark, tmp_path):
     assert {r.file: r.text for r in bad.collect()} == {"b.json": files["b.json"], "e.json": "text"}
 
 
+def test_an_index_of_sitemaps_is_read_by_its_first_child(spark):
+    index = "<SitemapIndex><sitemap><loc> https://a.ca/one.xml?x=1&amp;y=2 </loc></sitemap><sitemap><loc>https://a.ca/two.xml</loc></sitemap></SitemapIndex>"
+    roots = [("a.ca", index), ("b.ca", "<urlset><url><loc>https://b.ca/products/1</loc></url></urlset>"), ("c.ca", "<sitemapindex></sitemapindex>"), ("d.ca", None), ("e.ca", index.replace("a.ca", "e.ca"))]
+    child = "<urlset><url><loc>https://a.ca/products/1</loc><lastmod>x</lastmod></url><url><loc>https://a.ca/about</loc></url></urlset>"
+    fetched = [("https://a.ca/one.xml?x=1&y=2", child), ("https://a.ca/one.xml?x=1&y=2", "later"), ("https://a.ca/two.xml", "<urlset></urlset>")]
+    got = crawling.followed_sitemaps(spark.createDataFrame(roots, "host string, text string"), spark.createDataFrame(fetched, "url string, text string")).collect()
+    assert {r.host: (r.read_from, len(r.locations), r.products, r.dated) for r in got} == {
+        "a.ca": ("https://a.ca/one.xml?x=1&y=2", 2, 1, True), "b.ca": (None, 1, 1, False), "c.ca": (None, 0, 0, False), "d.ca": (None, 0, 0, False), "e.ca": ("https://e.ca/one.xml?x=1&y=2", 2, 0, False),
+    }
+
+
 def test_price_candidates_are_the_amounts_of_the_expression(spark):
     rng = random.Random(3)
     parts = ["$", "CA$", "US$", "CAD ", "USD", "1,299.99", "99.5", "12", "1234567", " ", "19,99 $", "1 299,99 $", ".", "x", "45.00 CAD", "5.00USD", "é😀", "\n", ",", "-", "| $20 | $30 |\n", "|", " | "]
