@@ -96,6 +96,20 @@ def test_an_index_of_sitemaps_is_read_by_its_first_child(spark):
     }
 
 
+def test_a_text_of_many_addresses_is_read_once_and_by_pieces(spark):
+    """Addresses that share a text of three pieces; neither the text nor its locations are joined where only counts are asked for."""
+    index = lambda h: f"<sitemapindex><loc>https://{h}/m.xml</loc><loc>https://{h}/n.xml</loc></sitemapindex>"
+    roots = spark.createDataFrame([(h, index(h)) for h in ("a", "b", "c", "d")], "host string, text string")
+    pieces = [(7, k, "".join(f"<loc>https://x.ca/products/{k}-{i}</loc>" for i in range(1000)) + "<lastmod>x</lastmod>" * (k == 1)) for k in (2, 0, 1)] + [(9, 0, "<loc>https://x.ca/other</loc>")]
+    fetched = spark.createDataFrame([("https://a/m.xml", 7), ("https://b/m.xml", 7), ("https://b/m.xml", 9), ("https://c/m.xml", 9), ("https://d/m.xml", 11)], "url string, body int")
+    found = crawling.followed_sitemaps(roots, fetched, spark.createDataFrame(pieces, "body int, piece int, text string"))
+    got = {r.host: (len(r.locations), r.locations[0], r.listed, r.products, r.dated) for r in found.collect()}
+    first = "https://x.ca/products/0-0"
+    assert got == {"a": (3000, first, 3000, 3000, True), "b": (3000, first, 3000, 3000, True), "c": (1, "https://x.ca/other", 1, 0, False), "d": (2, "https://d/m.xml", 2, 0, False)}
+    counts = found.select("host", "listed", "products")
+    assert "collect_list" not in counts._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_price_candidates_are_the_amounts_of_the_expression(spark):
     rng = random.Random(3)
     parts = ["$", "CA$", "US$", "CAD ", "USD", "1,299.99", "99.5", "12", "1234567", " ", "19,99 $", "1 299,99 $", ".", "x", "45.00 CAD", "5.00USD", "é😀", "\n", ",", "-", "| $20 | $30 |\n", "|", " | "]
