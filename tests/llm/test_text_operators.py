@@ -108,6 +108,25 @@ def test_near_duplicates_that_are_similar_go_and_others_stay(frame):
     assert all(d in kept for d in range(6, 600, 10))
 
 
+def test_every_document_similar_to_an_earlier_one_goes(frame, monkeypatch):
+    """No pair is missed, though a document shares bands with many before it and only one is looked at first; texts without a word are one another's copies."""
+    monkeypatch.setattr(simhash, "HEADS", 1)
+    rng = np.random.default_rng(4)
+    rows = [(0, " "), (1, "\n\n"), (2, None)]
+    for i in range(40):
+        base = [f"w{k}" for k in rng.integers(0, 3000, 120)]
+        # Members drift apart, so that most are like a few of those before them but not like the first.
+        for k in range(12):
+            for at in rng.integers(0, len(base), 2):
+                base[at] = f"x{rng.integers(1 << 30)}"
+            rows.append((100 * (i + 1) + k, " ".join(base)))
+    sets = {d: set(shingles(t or "", 5)) for d, t in rows}
+    similar = lambda a, b: len(a & b) / len(a | b) >= 0.8 if a | b else True
+    due = {d for d in sets if any(c < d and similar(sets[c], sets[d]) for c in sets)}
+    kept = {r.doc_id for r in simhash.without_near_duplicates(frame(rows)).collect()}
+    assert kept == sets.keys() - due and len(due) > 300
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 400)] + [(0, i) for i in range(1, 60)] + [(7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
