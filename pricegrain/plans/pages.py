@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pricegrain.operators import clusters as c
 from pricegrain.operators import pages as p
 from pricegrain.plans.registering import Queries
-from pricegrain.plans.roles import table
+from pricegrain.plans.roles import spread, table
 from pricegrain.sources import crawling as cr
 from pricegrain.sources import jsons as j
 from pricegrain.sources import shops as sh
@@ -47,7 +47,7 @@ Q = Queries()
 
 
 def _parts(s: SparkSession, d: str, **columns: str) -> DataFrame:
-    return table(s, d, "part").select(F.col("p_partkey").alias("id"), *(F.expr(e).alias(n) for n, e in columns.items()))
+    return spread(s, d, "part", "p_partkey").select(F.col("p_partkey").alias("id"), *(F.expr(e).alias(n) for n, e in columns.items()))
 
 
 _NONE = "CAST(NULL AS DOUBLE)"
@@ -112,7 +112,7 @@ Q.add("e8_tiles", _tiles, f"SELECT id, {_TITLE} AS name, round((100 + p_partkey
 
 
 def _tile_offers(s: SparkSession, d: str) -> DataFrame:
-    base = table(s, d, "part")
+    base = spread(s, d, "part", "p_partkey")
     title = F.expr(_TITLE)
     listing = base.select(F.col("p_partkey").alias("query_id"), F.lit(0).alias("seq"), F.lit("https://www.shop.ca/collections/all").alias("url"), F.lit("All bags").alias("title"), F.lit(None).cast("string").alias("content"), F.expr(_TILES).alias("raw"))
     own = base.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("query_id"), F.lit(1).alias("seq"), F.concat(F.lit("https://www.shop.ca/products/"), F.col("p_partkey")).alias("url"), title.alias("title"), F.lit(None).cast("string").alias("content"), F.lit("").alias("raw"))

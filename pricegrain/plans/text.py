@@ -9,7 +9,7 @@ from pricegrain.functions import text as x
 from pricegrain.functions import urls as u
 from pricegrain.functions.vocabulary import COLOUR_MODIFIERS, COLOURS
 from pricegrain.plans.registering import Queries
-from pricegrain.plans.roles import table
+from pricegrain.plans.roles import spread, table
 
 _TAIL = "CASE p_size % 5 WHEN 0 THEN ' inch Carry-On' WHEN 1 THEN ' Large Check-In' WHEN 2 THEN ' ice Blue TSA lock' WHEN 3 THEN ' Luggage Cover' ELSE ' rose gold Walmart.ca' END"
 TITLE = f"concat(p_brand, ' ', p_name, ' ', p_type, ' ', cast(p_size + 10 AS VARCHAR(9)), {_TAIL})"
@@ -18,7 +18,7 @@ Q = Queries(f"WITH titles AS (SELECT p_partkey AS id, {TITLE} AS title, {_QUERY}
 
 
 def _titles(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "part").select(F.col("p_partkey").alias("id"), F.expr(TITLE).alias("title"), F.expr(_QUERY).alias("query"))
+    return spread(s, d, "part", "p_partkey").select(F.col("p_partkey").alias("id"), F.expr(TITLE).alias("title"), F.expr(_QUERY).alias("query"))
 
 
 def _add(name: str, column, sql: str | None, of: str = "title") -> None:  # noqa: ANN001

@@ -10,7 +10,7 @@ from pricegrain.functions.vocabulary import COLOUR_MODIFIERS, COLOURS, NOISE_WOR
 from pricegrain.operators import similar
 from pricegrain.operators.clusters import CONTAINED, CONTAINED_LEAST, SAME_WORDS
 from pricegrain.plans.registering import Queries
-from pricegrain.plans.roles import table
+from pricegrain.plans.roles import spread
 from pricegrain.plans.text import TITLE
 
 _quoted = lambda s: s.replace("'", "''")
@@ -38,7 +38,7 @@ Q = Queries()
 
 
 def _classes(s: SparkSession, d: str, group: list[str]) -> DataFrame:
-    titles = table(s, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 10).alias("query_id"), F.expr(TITLE).alias("title"))
+    titles = spread(s, d, "part", "p_partkey").select(F.col("p_partkey").alias("id"), (F.col("p_size") % 10).alias("query_id"), F.expr(TITLE).alias("title"))
     return similar.title_classes(titles.select("id", *group, "title"), group)
 
 
