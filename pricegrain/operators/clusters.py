@@ -21,6 +21,7 @@ from pricegrain.functions.numbers import cents, containment, jaccard
 from pricegrain.functions.vocabulary import RETAILERS
 from pricegrain.operators.pages import held
 from pricegrain.operators.rows import rare_first
+from pricegrain.session import once
 
 #: Overlap that makes two titles one product: of all words, or of the shorter title's if it has enough of them.
 SAME_WORDS, CONTAINED, CONTAINED_LEAST = 0.6, 0.85, 3
@@ -32,11 +33,11 @@ MOST_COLOURS, LONGEST_NAME = 16, 140
 def identity(title: Column, brand: Column | None = None) -> Column:
     """What tells products apart: words, their brand, sizes, colour, and whether it is an accessory."""
     full = text.with_brand(title, brand) if brand is not None else title
-    words = text.identity_words(full)
-    return F.struct(
-        words.alias("words"), text.brand_word(words).alias("brand"), text.size_of(full).alias("size"), text.size_tags(full).alias("sizes"),
-        F.lower(text.colour_of(full)).alias("colour"), text.is_accessory(full).alias("accessory"), F.filter(words, lambda w: w.rlike(r"^\d+$")).alias("numbers"),
+    of = lambda t, words: F.struct(
+        words.alias("words"), text.brand_word(words).alias("brand"), text.size_of(t).alias("size"), text.size_tags(t).alias("sizes"),
+        F.lower(text.colour_of(t)).alias("colour"), text.is_accessory(t).alias("accessory"), F.filter(words, lambda w: w.rlike(r"^\d+$")).alias("numbers"),
     )
+    return text.let(full, lambda t: text.let(text.identity_words(t), lambda words: of(t, words)))
 
 
 def same_product(a: Column, b: Column, by_colour: bool = False) -> Column:
@@ -134,7 +135,7 @@ def clusters(offers: DataFrame, by_colour: bool = False, brand: str | None = Non
     a large search costs memory for its different products, and time in proportion to its offers.
     """
     hint = F.lit(brand) if brand is not None else None
-    rows = held(offers.select("query_id", "seq", "title"), _id=identity(text.without_stores(F.coalesce("title", F.lit(""))), hint)).drop("title")
+    rows = once(held(offers.select("query_id", "seq", "title"), _id=identity(text.without_stores(F.coalesce("title", F.lit(""))), hint)).drop("title"), "identities")
     # Numbers of titles that name no brand, and the brands with such a number.
     number = lambda some: some.select("query_id", F.col("_id.brand").alias("brand"), F.explode("_id.numbers").alias("number"))
     open_ = number(rows.where(F.col("_id.brand") == "")).select("query_id", "number").distinct()

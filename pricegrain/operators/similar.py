@@ -15,6 +15,7 @@ from pricegrain.functions import text
 from pricegrain.operators.clusters import CONTAINED, CONTAINED_LEAST, SAME_WORDS, identity, same_product
 from pricegrain.operators.pages import held
 from pricegrain.operators.rows import rare_first
+from pricegrain.session import once
 
 #: Titles of one word that meet in one cell, about.
 CELL = 4_096
@@ -32,7 +33,7 @@ def title_classes(titles: DataFrame, group: list[str], by_colour: bool = False,
     rows = held(titles, _id=identity(text.without_stores(F.coalesce("title", F.lit(""))), hint))
     i = F.col("_id")
     fields = {n: F.array_sort(i[n]) for n in ("words", "sizes", "numbers")} | {n: i[n] for n in ("brand", "size", "accessory")} | {"colour": i["colour"] if by_colour else F.lit("")}
-    rows = rows.select(*titles.columns, F.struct(*(c.alias(n) for n, c in fields.items())).alias("identity"))
+    rows = once(rows.select(*titles.columns, F.struct(*(c.alias(n) for n, c in fields.items())).alias("identity")), "identities")
     reps = rows.groupBy(*group, "identity").agg(F.min("id").alias("rep"))
     return rows.join(reps, [*group, "identity"])
 
@@ -43,7 +44,7 @@ def similar_titles(classes: DataFrame, group: list[str], by_colour: bool = False
     Titles of one class are one product by themselves where they have any word, and are not paired. A title without a word is no
     product's. Every pair is found; none is formed that shares no word of the shorter title's first.
     """
-    reps = classes.where("id = rep").select(*group, "rep", "identity").dropDuplicates([*group, "rep"]).where(F.size("identity.words") > 0)
+    reps = once(classes.where("id = rep").select(*group, "rep", "identity").dropDuplicates([*group, "rep"]).where(F.size("identity.words") > 0), "representatives")
     ranked = rare_first(reps, group, "rep", F.col("identity.words")).join(reps, [*group, "rep"])
     n = F.size("ranked")
     ranked = ranked.withColumns({"size": n, "alike": prefix(n, SAME_WORDS), "inside": F.when(n == 2, 1).otherwise(prefix(n, CONTAINED, CONTAINED_LEAST))})
