@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pricegrain.functions import text, urls
 from pricegrain.functions.vocabulary import RETAILERS
 from pricegrain.plans import registry, roles
+from pricegrain.sources import feeds
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,3 +39,9 @@ def test_retailers_by_one_pattern_are_those_by_each(spark):
     assert all(r.got == r.want for r in df.collect())
     plan = spark.range(1).select(urls.retailer_of_url(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
     assert plan.lower().count("parse_url") <= 2
+
+
+def test_answers_are_read_as_json_once(spark):
+    answers = spark.range(1).select(F.col("id").alias("query_id"), F.col("id").cast("string").alias("text"))
+    plan = feeds.judged_offers(answers).where("reason is not null").groupBy("reason").count()._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"from_json|JsonToStructs|jsontostructs", plan)) + plan.lower().count("evaluate(") <= 2
