@@ -39,6 +39,8 @@ BANDS, IN_BAND = 14, 6
 HEADS = 3
 #: Shingles that several of so many sampled documents have come last in the order of prefixes, at most MOST_COMMON of them. The sample decides the cost only.
 SAMPLED, SEVERAL, MOST_COMMON = 2_000, 3, 100_000
+#: Tables of at most so many ids are sent to all executors instead of moving the texts they are joined with.
+FEW = 250_000
 _ODD = np.random.default_rng(SEED).integers(1 << 62, dtype=np.uint64, size=(BANDS * IN_BAND, 1)) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -112,6 +114,24 @@ def prefix_of(hashes: list[int], similarity: float, common: np.ndarray) -> tuple
     return len(values), order.view(np.int64)
 
 
+def parities_of(hashes: list[int]) -> np.ndarray:
+    """Of each of some bits, twice as many as there are different hashes or more, whether an odd number of these fall on it; 64 bits to a word.
+
+    Every bit in which two sets differ needs a hash that only one of them has.
+    """
+    values = np.unique(np.array(hashes, np.uint64))
+    bits = max(64, 1 << (2 * len(values) - 1).bit_length()) if len(values) else 64
+    odd = np.bincount((values & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
+
+
+def differing(a: np.ndarray, b: np.ndarray) -> int:
+    """Bits in which two parities_of() differ, the longer one folded to the shorter: no more than the sets have hashes that the other has not."""
+    words = min(len(a), len(b))
+    a, b = (np.bitwise_xor.reduce(x.reshape(-1, words), 0) for x in (a, b))
+    return int(np.bitwise_count((a ^ b).view(np.uint64)).sum())
+
+
 def _shingled(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """The different shingles of each text."""
     for batch in batches:
@@ -135,33 +155,34 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], size: int, banded: bool, si
     for batch in batches:
         data, at = flat(batch.column("text"))
         raw, at = data.tobytes(), at.tolist()
-        prints, bands, prefixes = np.zeros(len(at) - 1, np.uint64), [], []
+        prints, bands, prefixes, parities = np.zeros(len(at) - 1, np.uint64), [], [], []
         for i, (a, b) in enumerate(zip(at, at[1:], strict=False)):
             hashes = shingle_hashes(raw[a:b], size)
             prints[i] = fingerprint(hashes)
             if banded:
                 bands.append(bands_of(hashes))
                 prefixes.append(prefix_of(hashes, similarity, common))
+                parities.append(parities_of(hashes))
         names = [n for n in batch.schema.names if n != "text"]
         columns = [*(batch.column(n) for n in names), pa.array(prints.view(np.int64))]
         if banded:
             longs = pa.list_(pa.int64())
-            columns += [pa.array(bands, longs), pa.array([n for n, _ in prefixes], pa.int32()), pa.array([x for _, x in prefixes], longs)]
-            names += ["fp", "bands", "n", "prefix"]
+            columns += [pa.array(bands, longs), pa.array([n for n, _ in prefixes], pa.int32()), pa.array([x for _, x in prefixes], longs), pa.array(parities, longs)]
+            names += ["fp", "bands", "n", "prefix", "parities"]
         else:
             names += ["fp"]
         yield pa.RecordBatch.from_arrays(columns, names)
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE, banded: bool = False, similarity: float = 1.0) -> DataFrame:
-    """(doc_id, one, two, fp) of every document, and bands, n and prefix_of() where asked for; fp is the fingerprint as a signed long, one and two tell texts apart.
+    """(doc_id, one, two, fp) of every document, and bands, n, prefix_of() and parities where asked for; fp is the fingerprint as a signed long, one and two tell texts apart.
 
     Null and wordless texts have the fingerprint zero and no band.
     """
     texts = docs.select("doc_id", F.xxhash64("text").alias("one"), F.xxhash64("text", F.lit(1)).alias("two"), "text")
     common = _common(docs, size) if banded else np.zeros(0, np.uint64)
     run = partial(_fingerprints, size=size, banded=banded, similarity=similarity, common=common)
-    return texts.mapInArrow(run, "doc_id long, one long, two long, fp long" + ", bands array<long>, n int, prefix array<long>" * banded)
+    return texts.mapInArrow(run, "doc_id long, one long, two long, fp long" + ", bands array<long>, n int, prefix array<long>, parities array<long>" * banded)
 
 
 def _links(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -299,34 +320,71 @@ def _banded(texts: DataFrame) -> DataFrame:
     return met.withColumn("place", place).where(F.col("place") <= HEADS).select("one", "two", "head")
 
 
-def _prefixed(texts: DataFrame, left: DataFrame, similarity: float) -> DataFrame:
-    """(node, head) of texts (node, n, prefix): each text in left (node) with every text of lesser node that may be so similar.
+def _shared(texts: DataFrame) -> DataFrame:
+    """(token, node, n, at) of the hashes in prefixes of texts (node, n, prefix) that more than one node has.
+
+    Most hashes are one text's only and join with nothing: all are dealt by hash once, and only shared ones go on.
+    """
+    each = texts.select("node", "n", F.posexplode("prefix").alias("at", "token"))
+    of_token = Window.partitionBy("token")
+    several = each.withColumn("least", F.min("node").over(of_token)).withColumn("most", F.max("node").over(of_token)).where("least < most")
+    return several.select("token", "node", "n", "at").distinct()
+
+
+def _prefixed(shared: DataFrame, left: DataFrame, similarity: float) -> DataFrame:
+    """(node, head) of _shared(): each text in left (node) with every text of lesser node that may be so similar.
 
     They share a hash of their prefixes, neither is too small for the other, and behind the first hash they share enough is left.
     """
-    each = lambda df: df.select("node", "n", F.posexplode("prefix").alias("at", "token"))
-    mine = each(texts.join(left, "node", "left_semi")).alias("a")
-    other = each(texts).alias("b")
+    mine = shared.join(left, "node", "left_semi").alias("a")
+    other = shared.alias("b")
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-    shared = F.least(a("n") - a("at"), b("n") - b("at"))
-    near = (F.least(a("n"), b("n")) >= F.greatest(a("n"), b("n")) * similarity - 1e-9) & (shared * (1 + similarity) >= (a("n") + b("n")) * similarity - 1e-9)
+    behind = F.least(a("n") - a("at"), b("n") - b("at"))
+    near = (F.least(a("n"), b("n")) >= F.greatest(a("n"), b("n")) * similarity - 1e-9) & (behind * (1 + similarity) >= (a("n") + b("n")) * similarity - 1e-9)
     met = mine.join(other, (a("token") == b("token")) & (b("node") < a("node")) & (near | (a("n") + b("n") == 0)))
     return met.select(a("node").alias("node"), b("node").alias("head")).distinct()
 
 
-def _judged(docs: DataFrame, prints: DataFrame, others: DataFrame, size: int, similarity: float) -> DataFrame:
+def _few(ids: DataFrame) -> DataFrame:
+    """A written table of ids as one side of a join with whole texts: if it has at most FEW rows each executor gets it, so that texts are not moved; else both are dealt, and texts not sorted."""
+    return ids.hint("broadcast" if ids.count() <= FEW else "shuffle_hash")
+
+
+def _possible(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """(node, head, apart) of pairs whose sets do not differ in too many parities to be so similar."""
+    for batch in batches:
+        own, other = batch.column("parities").to_pylist(), batch.column("head_parities").to_pylist()
+        apart = np.array([differing(np.array(a, np.int64), np.array(b, np.int64)) for a, b in zip(own, other, strict=True)], np.int32)
+        sizes = batch.column("n").to_numpy() + batch.column("head_n").to_numpy()
+        good = apart * (1 + similarity) <= sizes * (1 - similarity) + 1e-6
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("head"), pa.array(apart)], ["node", "head", "apart"]).filter(pa.array(good))
+
+
+def _not_apart(pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """(node, head, apart) of pairs (node, head) without those that the parities of rows (node, n, parities) rule out; apart is how many differ.
+
+    Of sets that are so similar at most (1 - similarity) / (1 + similarity) of both sizes are not shared.
+    """
+    asked = pairs.select("node").union(pairs.select("head")).distinct()
+    sides = written(rows.select("node", "n", "parities").join(asked, "node", "left_semi").distinct(), "sides")
+    heads = sides.select(F.col("node").alias("head"), F.col("n").alias("head_n"), F.col("parities").alias("head_parities"))
+    both = pairs.join(sides, "node").join(heads, "head").select("node", "head", "n", "head_n", "parities", "head_parities")
+    return both.mapInArrow(partial(_possible, similarity=similarity), "node long, head long, apart int").groupBy("node", "head").agg(F.min("apart").alias("apart"))
+
+
+def _judged(docs: DataFrame, others: DataFrame, size: int, similarity: float) -> DataFrame:
     """(doc_id, one, two) of others (doc_id, one, two, head_id) whose text is so similar to a different one of the document head_id."""
     ids = ["doc_id", "one", "two"]
-    heads = prints.select(F.col("doc_id").alias("head_id"), F.struct("one", "two").alias("head")).join(others.select("head_id").distinct(), "head_id", "left_semi")
-    heads = written(heads.distinct(), "heads")
+    asked = written(others.select("doc_id").union(others.select("head_id")).distinct(), "asked")
+    whole = docs.select("doc_id", F.xxhash64("text").alias("one"), F.xxhash64("text", F.lit(1)).alias("two"), "text")
+    texts = written(whole.join(_few(asked), "doc_id", "left_semi"), "looked_at")
+    mine = written(texts.join(others, ids).select(*ids, "head_id", "text").distinct(), "mine")
+    heads = others.select(F.col("head_id").alias("doc_id")).distinct()
+    kept = written(texts.join(heads, "doc_id", "left_semi").select(F.col("doc_id").alias("head_id"), F.struct("one", "two").alias("head"), F.col("text").alias("kept")).distinct(), "kept")
     # Nothing is grouped after the join, so that Spark splits a head that very many documents have.
-    unlike = written(others.join(heads, "head_id").where(F.col("head") != F.struct("one", "two")).select(*ids, "head_id"), "unlike")
-    whole = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("one"), F.xxhash64("text", F.lit(1)).alias("two"), "text")
-    mine = written(whole.join(unlike.hint("shuffle_hash"), ids).select(*ids, "head_id", "text").distinct(), "mine")
-    kept = written(docs.select(F.col("doc_id").alias("head_id"), F.col("text").alias("kept")).join(unlike.select("head_id").distinct().hint("shuffle_hash"), "head_id", "left_semi"), "kept")
-    similar = mine.join(kept, "head_id").select(*ids, "text", "kept").mapInArrow(partial(_similar, size=size, least=similarity), "doc_id long, one long, two long")
-    similar = written(similar, "similar")
-    forget(heads, unlike, mine, kept)
+    pairs = mine.join(kept, "head_id").where(F.col("head") != F.struct("one", "two")).select(*ids, "text", "kept")
+    similar = written(pairs.mapInArrow(partial(_similar, size=size, least=similarity), "doc_id long, one long, two long"), "similar")
+    forget(asked, texts, mine, kept)
     return similar
 
 
@@ -340,27 +398,36 @@ def without_near_duplicates(docs: DataFrame, size: int = 5, most: int = 5, simil
     rows that repeat the doc_id which stays. Texts are compared only where they differ.
     """
     prints = written(fingerprints(docs, size, banded=True, similarity=similarity), "fingerprints")
-    found = written(_linked(prints.drop("bands", "n", "prefix"), most), "found")
+    found = written(_linked(prints.select("doc_id", "one", "two", "fp"), most), "found")
     ids = ["doc_id", "one", "two"]
     linked = found.where("component_id <> doc_id").select(*ids, F.col("component_id").alias("head_id")).distinct()
     # One row for each different text, with its least doc_id: what else has the text goes.
     texts = written(prints.where("doc_id is not null").groupBy("one", "two").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "texts")
-    copies = prints.select(*ids).join(texts.select("one", "two", "node"), ["one", "two"]).where("doc_id <> node").select(*ids)
+    copies = written(prints.select(*ids).join(texts.select("one", "two", "node"), ["one", "two"]).where("doc_id <> node").select(*ids).distinct(), "copies")
     banded = _banded(texts)
     similar_ = texts.join(banded, ["one", "two"]).select(F.col("node").alias("doc_id"), "one", "two", F.col("head").alias("head_id"))
     own = texts.select(F.col("node").alias("doc_id"), "one", "two")
     others = written(linked.join(own, ids, "left_semi").union(similar_).distinct(), "others")
-    similar = _judged(docs, prints, others, size, similarity)
+    similar = _judged(docs, others, size, similarity)
     forget(found, others)
-    left = own.join(similar, ids, "left_anti")
-    rows = prints.select(*ids, "n", "prefix").join(own, ids, "left_semi").dropDuplicates(ids).select(F.col("doc_id").alias("node"), "n", "prefix")
-    pairs = written(_prefixed(rows, left.select(F.col("doc_id").alias("node")).distinct(), similarity), "pairs")
-    rest = written(pairs.select(F.col("node").alias("doc_id"), F.col("head").alias("head_id")).join(left, "doc_id").select(*ids, "head_id"), "rest")
+    left = written(own.join(similar, ids, "left_anti"), "left")
+    # The arrays of prefixes are not moved to leave copies out, where these are few.
+    rows = prints.where("doc_id is not null").join(_few(copies), ids, "left_anti").select(F.col("doc_id").alias("node"), "n", "prefix", "parities")
+    shared = written(_shared(rows), "shared")
+    met = written(_prefixed(shared, left.select(F.col("doc_id").alias("node")).distinct(), similarity), "met")
+    forget(shared)
+    pairs = written(_not_apart(met, rows, similarity), "pairs")
+    forget(met, prints)
+    # Only the texts of what is left are moved, first one pair of each document: the one that differs least.
+    nearest = F.row_number().over(Window.partitionBy("node").orderBy("apart", "head"))
+    placed = written(pairs.select(F.col("node").alias("doc_id"), F.col("head").alias("head_id"), nearest.alias("place")).join(left, "doc_id").select(*ids, "head_id", "place"), "placed")
     forget(pairs)
-    similar = similar.union(_judged(docs, prints, rest, size, similarity))
+    first = _judged(docs, placed.where("place = 1").drop("place"), size, similarity)
+    rest = written(placed.where("place > 1").join(first, ids, "left_anti").select(*ids, "head_id"), "rest")
+    similar = similar.union(first).union(_judged(docs, rest, size, similarity))
     # Of a text that goes all copies do, and they are among copies already.
     gone = written(similar.union(copies).distinct(), "gone")
-    forget(prints, texts, rest)
+    forget(texts, left, placed, rest, copies)
     row = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_one"), F.xxhash64("text", F.lit(1)).alias("_two"))
-    left = row.join(gone.select(F.col("doc_id").alias("_doc"), F.col("one").alias("_one"), F.col("two").alias("_two")).hint("shuffle_hash"), ["_doc", "_one", "_two"], "left_anti")
+    left = row.join(_few(gone.select(F.col("doc_id").alias("_doc"), F.col("one").alias("_one"), F.col("two").alias("_two"))), ["_doc", "_one", "_two"], "left_anti")
     return left.select(*(F.col("_row")[c].alias(c) for c in docs.columns))

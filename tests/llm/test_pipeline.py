@@ -1,11 +1,12 @@
 """The pipeline against a plain version of each stage, on whole small tables."""
 
+import numpy as np
 import pyarrow as pa
 from test_models import plain_score
 from test_text_operators import line_dedup, passages, shingles
 
 import corpus_pipeline
-from pricegrain.llm import toxicity
+from pricegrain.llm import simhash, toxicity
 from pricegrain.llm.shared import table
 from pricegrain.llm.tokens import Encoder, default_tokenizer
 
@@ -49,3 +50,34 @@ def test_stages_take_empty_and_odd_documents(spark, frame):
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, docs, SF).collect()
     assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, frame(rows), SF).collect()} == {None, 1, 4}
+
+
+def test_only_hashes_that_several_texts_have_are_joined(spark):
+    rows = [(1, 3, [5, 6, 7]), (2, 3, [6, 8, 9]), (2, 3, [6, 8, 9]), (3, 1, [10]), (3, 1, [10])]
+    shared = simhash._shared(spark.createDataFrame(rows, "node long, n int, prefix array<long>")).collect()
+    assert sorted(tuple(r) for r in shared) == [(6, 1, 3, 1), (6, 2, 3, 0)]
+
+
+def test_texts_are_not_moved_for_few_ids_and_many_give_the_same(spark, frame, corpus, monkeypatch):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    few = simhash.without_near_duplicates(frame(corpus))
+    monkeypatch.setattr(simhash, "FEW", 0)
+    many = simhash.without_near_duplicates(frame(corpus))
+    assert "ShuffledHashJoin" not in plan(few) and "ShuffledHashJoin" in plan(many)
+    assert 0 < few.count() < len(corpus) and {tuple(r) for r in few.collect()} == {tuple(r) for r in many.collect()}
+
+
+def test_parities_rule_out_no_pair_that_is_similar(spark):
+    rng = np.random.default_rng(3)
+    sets = []
+    for n in (0, 1, 5, 33, 200, 260, 3000):
+        base = rng.integers(0, 1 << 63, n).tolist()
+        sets += [base, base[: n * 9 // 10], base[: n * 4 // 5], base[: n // 2], [*base[: n // 2], *rng.integers(0, 1 << 63, n - n // 2).tolist()]]
+    rows = [(i, len(set(x)), simhash.parities_of(x).tolist()) for i, x in enumerate(sets)]
+    unlike = lambda a, b: len(set(a) ^ set(b))
+    assert all(simhash.differing(simhash.parities_of(a), simhash.parities_of(b)) <= unlike(a, b) for a in sets for b in sets)
+    sizes = [len(set(x)) for x in sets]
+    asked = [(i, j) for i in range(len(sets)) for j in range(i) if min(sizes[i], sizes[j]) >= 0.8 * max(sizes[i], sizes[j])]
+    found = {(r.node, r.head) for r in simhash._not_apart(spark.createDataFrame(asked, "node long, head long"), spark.createDataFrame(rows, "node long, n int, parities array<long>"), 0.8).collect()}
+    due = {(i, j) for i, j in asked if 9 * unlike(sets[i], sets[j]) <= sizes[i] + sizes[j]}
+    assert due <= found and len(due) > 30 and len(found) <= 1.1 * len(due) < len(asked)
