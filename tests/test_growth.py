@@ -5,7 +5,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from pricegrain.functions import text, urls
+from pricegrain.functions import tables, text, urls
+from pricegrain.functions.amounts import candidates
 from pricegrain.functions.vocabulary import RETAILERS
 from pricegrain.plans import registry, roles
 from pricegrain.sources import feeds
@@ -45,3 +46,14 @@ def test_answers_are_read_as_json_once(spark):
     answers = spark.range(1).select(F.col("id").alias("query_id"), F.col("id").cast("string").alias("text"))
     plan = feeds.judged_offers(answers).where("reason is not null").groupBy("reason").count()._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"from_json|JsonToStructs|jsontostructs", plan)) + plan.lower().count("evaluate(") <= 2
+
+
+def test_price_candidates_are_found_batch_by_batch(spark):
+    found = registry.QUERIES["e1_price_candidates"](spark, SF)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "EvalPythonUDTF" not in plan
+    texts = [None, "", "x", "CA$12.50; US$1,234.00, 12.34 CAD and 1 234,56 $", "US$ 5 99.00 USD"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    by_row = df.lateralJoin(tables.price_candidates(F.col("t").outer())).select("i", "nth", "start", "stop", "value", "usd").collect()
+    by_batch = df.select("i", F.posexplode(candidates(F.col("t"))).alias("nth", "c")).select("i", "nth", "c.*").collect()
+    assert len(by_row) >= 5 and {tuple(r) for r in by_row} == {tuple(r) for r in by_batch}
