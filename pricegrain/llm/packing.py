@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricegrain.llm.shared import partitions, written
+from pricegrain.llm.shared import partitions, small_batches, written
 from pricegrain.llm.tokenfile import text_chunks
 from pricegrain.llm.tokens import default_tokenizer, encoder
 
@@ -169,4 +169,6 @@ def pack_documents(docs: DataFrame, capacity: Capacity = Capacity(), rule: Rule
     are pieces of their own. An empty table gives an empty result; other columns are not read. Pieces are
     written once to the shared folder, so that no text is tokenized twice.
     """
-    return pack(written(cut_documents(docs, capacity, tokenizer), "pieces"), capacity, rule)
+    with small_batches(docs.sparkSession):
+        pieces = written(cut_documents(docs, capacity, tokenizer), "pieces")
+    return pack(pieces, capacity, rule)

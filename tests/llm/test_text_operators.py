@@ -10,6 +10,8 @@ import pyarrow as pa
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 from pricegrain.llm import decontam, linededup, packing, secrets, simhash, substring, tokenfile, tokens
 from pricegrain.llm.components import components
 
@@ -466,6 +468,27 @@ def plan_states(made, counts, capacity):
     return sorted(map(tuple, left.values()))
 
 
+def test_packing_gives_workers_small_batches(spark, monkeypatch):
+    def sizes(batches):
+        for batch in batches:
+            n = len(batch)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([0] * n, pa.int32()), pa.array([batch.nbytes] * n, pa.int64()), pa.array([1] * n, pa.int64()), pa.array([0] * n, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    monkeypatch.setattr(packing, "_cut", lambda *a: sizes)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("words of a text "), 500).alias("text"))
+    rows = packing.pack_documents(docs).collect()
+    assert len(rows) == 3000 and max(r.start for r in rows) < 6_000_000 and spark.conf.get(name) == before
+
+
+def test_encoder_forgets_pieces_before_they_fill_a_worker():
+    encoder = tokens.Encoder(tokens.default_tokenizer())
+    for k in range(6):
+        encoder.encode(pa.array([" ".join(f"w{k}x{i:x}" for i in range(100_000))]))
+    assert len(encoder.memo) <= 500_000
+
+
 @pytest.mark.parametrize("capacity", [packing.Capacity(100, 100, 10_000), packing.Capacity(97, 5, 4100), packing.Capacity(128, 4, 6000)])
 def test_plan_equals_the_vector_rule_piece_by_piece(capacity):
     lengths = np.random.default_rng(4).integers(1, capacity.piece + 1, 400).tolist()
