@@ -28,6 +28,14 @@ def test_what_several_steps_read_is_computed_once(spark, name, table):
     assert any(f"/{table}-" in f for f in registry.QUERIES[name](spark, SF).inputFiles())
 
 
+@pytest.mark.parametrize(("name", "keys"), [("a12_products_per_user", r"user_id#\d+L?, product_id#\d+L?")])
+def test_tasks_take_so_many_rows_however_large_the_tables(spark, monkeypatch, name, keys):
+    monkeypatch.setattr(roles, "TASK_ROWS", 100)
+    tasks = -(-roles.table(spark, SF, "lineitem").count() // 100)
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(rf"RepartitionByExpression \[{keys}\], {tasks}\b", plan)
+
+
 def test_broader_queries_name_each_expression_once(spark):
     plan = spark.range(1).select(text.broader(F.lit("x").substr(F.col("id"), F.lit(9)))).select("*")._jdf.queryExecution().analyzed().toString()
     assert len(re.findall("regexp_replace", plan)) < 20
