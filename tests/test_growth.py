@@ -28,7 +28,7 @@ def test_what_several_steps_read_is_computed_once(spark, name, table):
     assert any(f"/{table}-" in f for f in registry.QUERIES[name](spark, SF).inputFiles())
 
 
-@pytest.mark.parametrize(("name", "keys"), [("a12_products_per_user", r"user_id#\d+L?, product_id#\d+L?")])
+@pytest.mark.parametrize(("name", "keys"), [("a12_products_per_user", r"user_id#\d+L?, product_id#\d+L?"), ("t7_all_sorts", r"user_id#\d+L?")])
 def test_tasks_take_so_many_rows_however_large_the_tables(spark, monkeypatch, name, keys):
     monkeypatch.setattr(roles, "TASK_ROWS", 100)
     tasks = -(-roles.table(spark, SF, "lineitem").count() // 100)
