@@ -37,8 +37,11 @@ _LANES = np.uint64(0x0101010101010101)
 BANDS, IN_BAND = 14, 6
 #: How many documents that share bands with one are compared with it first; those left are joined with all.
 HEADS = 3
-#: Shingles that several of so many sampled documents have come last in the order of prefixes, at most MOST_COMMON of them. The sample decides the cost only.
-SAMPLED, SEVERAL, MOST_COMMON = 2_000, 3, 100_000
+#: Shingles that several sampled documents have come last in the order of prefixes, rarer ones first, at most MOST_COMMON of them. One document in ONE_IN
+#: is sampled (more if that is less than SAMPLED), so that what counts as common is a number of documents, whatever the input. The sample decides the cost only.
+ONE_IN, SAMPLED, SEVERAL, MOST_COMMON = 16, 2_000, 3, 300_000
+#: The order of prefixes in one number: how common a shingle is stands in the upper bits, a hash of it below.
+_LEVEL_AT = np.uint64(57)
 #: Tables of at most so many ids are sent to all executors instead of moving the texts they are joined with.
 FEW = 250_000
 _ODD = np.random.default_rng(SEED).integers(1 << 62, dtype=np.uint64, size=(BANDS * IN_BAND, 1)) * np.uint64(2) + np.uint64(1)
@@ -94,8 +97,8 @@ def bands_of(hashes: list[int]) -> np.ndarray:
     return bands.view(np.int64)
 
 
-def prefix_of(hashes: list[int], similarity: float, common: np.ndarray) -> tuple[int, np.ndarray]:
-    """How many different hashes there are, and the first in an order that puts common ones (sorted) last: as many as a set so similar may miss, and one more.
+def prefix_of(hashes: list[int], similarity: float, common: np.ndarray, levels: np.ndarray) -> tuple[int, np.ndarray]:
+    """How many different hashes there are, and the first in an order that puts common ones (sorted) last, by their levels (1 to 63): as many as a set so similar may miss, and one more.
 
     Without hashes it is one number, so that texts without a word meet.
     """
@@ -103,10 +106,10 @@ def prefix_of(hashes: list[int], similarity: float, common: np.ndarray) -> tuple
     if not len(values):
         return 0, np.zeros(1, np.int64)
     order = (values * _ODD[0]) ^ (values >> np.uint64(31))
-    order >>= np.uint64(1)
+    order >>= np.uint64(64) - _LEVEL_AT
     if len(common):
         at = np.minimum(np.searchsorted(common, values), len(common) - 1)
-        order[common[at] == values] |= np.uint64(1 << 63)
+        order |= np.where(common[at] == values, levels[at].astype(np.uint64) << _LEVEL_AT, np.uint64(0))
     first = len(values) - math.ceil(len(values) * similarity - 1e-9) + 1
     first = min(first, len(values))
     order = np.partition(order, first - 1)[:first]
@@ -141,16 +144,22 @@ def _shingled(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.array(shingle_hashes(raw[a:b], size), np.uint64)).view(np.int64))], ["shingle"])
 
 
-def _common(docs: DataFrame, size: int) -> np.ndarray:
-    """Shingles of more than one in some hundred documents, sorted, as a sample of about SAMPLED documents shows."""
-    step = max(docs.count() // SAMPLED, 1)
+def _common(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of SEVERAL documents of a sample, sorted, and how common each is: four times the logarithm of their number.
+
+    With a sample of a fixed size a shingle that is not common would have more and more documents as the
+    input grows, and the pairs that meet by it would grow with the square.
+    """
+    step = min(max(docs.count() // SAMPLED, 1), ONE_IN)
     some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).select("text")
     counts = some.mapInArrow(partial(_shingled, size=size), "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= SEVERAL)
-    rows = counts.orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).select("shingle").toArrow()
-    return np.sort(rows.column(0).to_numpy().astype(np.int64).view(np.uint64))
+    rows = counts.orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).toArrow()
+    common, n = rows.column("shingle").to_numpy().astype(np.int64).view(np.uint64), rows.column("n").to_numpy()
+    order = np.argsort(common)
+    return common[order], np.minimum(4 * np.log2(n[order]), 63).astype(np.uint8)
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch], size: int, banded: bool, similarity: float, common: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _fingerprints(batches: Iterator[pa.RecordBatch], size: int, banded: bool, similarity: float, common: np.ndarray, levels: np.ndarray) -> Iterator[pa.RecordBatch]:
     kept_for("simhash")
     for batch in batches:
         data, at = flat(batch.column("text"))
@@ -161,7 +170,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], size: int, banded: bool, si
             prints[i] = fingerprint(hashes)
             if banded:
                 bands.append(bands_of(hashes))
-                prefixes.append(prefix_of(hashes, similarity, common))
+                prefixes.append(prefix_of(hashes, similarity, common, levels))
                 parities.append(parities_of(hashes))
         names = [n for n in batch.schema.names if n != "text"]
         columns = [*(batch.column(n) for n in names), pa.array(prints.view(np.int64))]
@@ -180,8 +189,8 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE, banded: bool = False, sim
     Null and wordless texts have the fingerprint zero and no band.
     """
     texts = docs.select("doc_id", F.xxhash64("text").alias("one"), F.xxhash64("text", F.lit(1)).alias("two"), "text")
-    common = _common(docs, size) if banded else np.zeros(0, np.uint64)
-    run = partial(_fingerprints, size=size, banded=banded, similarity=similarity, common=common)
+    common, levels = _common(docs, size) if banded else (np.zeros(0, np.uint64), np.zeros(0, np.uint8))
+    run = partial(_fingerprints, size=size, banded=banded, similarity=similarity, common=common, levels=levels)
     return texts.mapInArrow(run, "doc_id long, one long, two long, fp long" + ", bands array<long>, n int, prefix array<long>, parities array<long>" * banded)
 
 

@@ -129,6 +129,19 @@ def test_every_document_similar_to_an_earlier_one_goes(frame, monkeypatch):
     assert kept == sets.keys() - due and len(due) > 300
 
 
+def test_pairs_that_meet_by_prefixes_grow_with_the_input(frame, monkeypatch):
+    """Each text holds one of twenty passages, so that ever more texts have the same one; what the sample calls common may not depend on the input."""
+    monkeypatch.setattr(simhash, "SAMPLED", 5)
+    rng, made = np.random.default_rng(6), {}
+    passages_ = [[f"p{k}x{i}" for i in range(16)] for k in range(20)]
+    for n in (640, 3200):
+        rows = [(d, " ".join(passages_[d % 20] + [f"w{i}" for i in rng.integers(0, 1 << 30, 24)])) for d in range(n)]
+        prints = simhash.fingerprints(frame(rows), 5, banded=True, similarity=0.8)
+        nodes = prints.select(F.col("doc_id").alias("node"), "n", "prefix")
+        made[n] = simhash._prefixed(simhash._shared(nodes), nodes.select("node"), 0.8).count()
+    assert made[3200] <= 5 * max(made[640], 640), made
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 400)] + [(0, i) for i in range(1, 60)] + [(7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
