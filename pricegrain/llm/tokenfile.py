@@ -19,7 +19,7 @@ from pricegrain.llm.tokens import default_tokenizer, encoder
 
 SCHEMA = "doc_id long, part int, local_start long, n_tokens int, ids array<int>"
 #: Bytes of text encoded at once; what is worked out of them takes some 20 times as much of a worker's memory.
-CHUNK = 2_000_000
+CHUNK = 6_000_000
 
 
 def text_chunks(batch: pa.RecordBatch, most: int = CHUNK) -> Iterator[tuple[int, pa.Array]]:

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import sys
 import zlib
 from collections import defaultdict
 
@@ -502,6 +503,13 @@ def test_encoder_forgets_pieces_before_they_fill_a_worker():
     assert len(encoder.memo) <= 500_000
 
 
+def test_pieces_in_the_memo_are_no_python_objects():
+    encoder = tokens.Encoder(tokens.default_tokenizer())
+    before = sys.getallocatedblocks()
+    encoder.encode(pa.array([" ".join(f"w{i:x}" for i in range(100_000))]))
+    assert len(encoder.memo) > 90_000 and sys.getallocatedblocks() - before < 20_000
+
+
 @pytest.mark.parametrize("capacity", [packing.Capacity(100, 100, 10_000), packing.Capacity(97, 5, 4100), packing.Capacity(128, 4, 6000)])
 def test_plan_equals_the_vector_rule_piece_by_piece(capacity):
     lengths = np.random.default_rng(4).integers(1, capacity.piece + 1, 400).tolist()
