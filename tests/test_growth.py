@@ -1,14 +1,19 @@
 """What queries do only once, and by how many tasks."""
 
 import re
+import time
+from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from pricegrain.functions import tables, text, urls
 from pricegrain.functions.amounts import candidates
 from pricegrain.functions.vocabulary import RETAILERS
-from pricegrain.plans import registry, roles
+from pricegrain.operators import tracking
+from pricegrain.plans import documents, registry, roles
+from pricegrain.session import REMOVES_SHUFFLES, once
 from pricegrain.sources import feeds
 
 SF = "/root/testdata/sf0.001"
@@ -36,6 +41,54 @@ def test_tasks_take_so_many_rows_however_large_the_tables(spark, monkeypatch, na
     assert re.search(rf"RepartitionByExpression \[{keys}\], {tasks}\b", plan)
 
 
+def test_reports_move_the_history_and_the_tracked_pairs_by_products_only(spark, monkeypatch):
+    plans = {}
+
+    def spy(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return once(df, name)
+
+    for module in (documents, tracking):
+        monkeypatch.setattr(module, "once", spy, raising=False)
+    last = registry.QUERIES["t6_report_lists"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    keys = {name: {re.sub(r"#\d+L?", "", k) for k in re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)} for name, plan in plans.items()}
+    assert keys["facts"] == {"product_id"} and {"product_id"} <= keys["report"] <= {"product_id", "o_orderkey", "l_orderkey"}
+    # Lines are read for the tracked pairs once, and not again for the lists.
+    assert len(re.findall(r"FileScan parquet \[l_", plans["report"])) == 1 and "FileScan parquet [l_" not in last
+
+
+def test_reports_of_repeated_parts_and_unknown_keys_are_the_sqls(spark, tmp_path):
+    con = duckdb.connect()
+    changed = {
+        "part": "SELECT * FROM {0} UNION ALL SELECT * FROM {0} WHERE p_partkey % 5 = 0 UNION ALL SELECT * REPLACE (NULL AS p_partkey) FROM {0} WHERE p_partkey < 3",
+        "orders": "SELECT * REPLACE (CASE WHEN o_orderkey % 11 <> 0 THEN o_custkey % 40 END AS o_custkey) FROM {0} WHERE o_orderkey % 17 <> 0",
+        "lineitem": "SELECT * REPLACE (CASE WHEN l_partkey % 7 <> 0 THEN l_partkey % 60 END AS l_partkey) FROM {0}",
+    }
+    for name, sql in changed.items():
+        con.execute(f"COPY ({sql.format(repr(f'{SF}/{name}.parquet'))}) TO '{tmp_path}/{name}.parquet'")
+    for name in (*changed, "supplier"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path if name in changed else SF}/{name}.parquet'")
+    want = Counter(con.execute(registry.ORACLE_SQL["t6_report_lists"]).fetchall())
+    assert Counter(map(tuple, registry.QUERIES["t6_report_lists"](spark, str(tmp_path)).collect())) == want and max(want.values()) == 4
+
+
+def test_the_shuffle_files_of_what_is_written_once_are_removed(spark):
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before, settings = files(), spark.conf.get(REMOVES_SHUFFLES)
+    try:
+        for own in (None, "true", "false"):
+            spark.conf.unset(REMOVES_SHUFFLES) if own is None else spark.conf.set(REMOVES_SHUFFLES, own)
+            assert len(once(spark.range(1000).repartition(3, "id").groupBy("id").count(), "counts").collect()) == 1000
+            assert spark.conf.get(REMOVES_SHUFFLES) == (own or settings)
+            # Soon: the driver's garbage collection would remove them some time.
+            for _ in range(10):
+                if left := files() - before:
+                    time.sleep(0.5)
+            assert not left
+    finally:
+        spark.conf.unset(REMOVES_SHUFFLES)
+
+
 def test_broader_queries_name_each_expression_once(spark):
     plan = spark.range(1).select(text.broader(F.lit("x").substr(F.col("id"), F.lit(9)))).select("*")._jdf.queryExecution().analyzed().toString()
     assert len(re.findall("regexp_replace", plan)) < 20
